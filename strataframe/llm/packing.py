@@ -19,6 +19,8 @@ result; other columns are ignored; very long texts give many whole sequences.
 
 from __future__ import annotations
 
+import os
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -33,8 +35,10 @@ from .common import WORD_BREAK_CHARS, ensure_checkpoint_dir, text_or_empty
 
 MAX_TOKENS = 2048
 END_ID = 1
-#: Entries of a worker's word cache; it starts anew when full, which changes no result.
-CACHE_WORDS = 400_000
+#: Entries from which a worker's word cache starts a new generation, which changes no result.
+CACHE_WORDS = 300_000
+#: Bytes of text, about, that are tokenised together.
+CHUNK_BYTES = 1 << 20
 
 
 class WordTokenizer:
@@ -51,62 +55,61 @@ class WordTokenizer:
         import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tok = Tokenizer.from_file(path)
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.words: dict[str, np.ndarray | tuple] = {}
-        self.pieces: dict[str, tuple] = {}
+        # Two generations each: a full young one becomes the old one, and words still in use come back from it.
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def _encode(self, strings: list[str]) -> list[bytes]:
+        """Ids as little-endian 32-bit bytes, so that a text's ids are one join."""
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tok.encode_batch(strings, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        cuts: dict[str, list[str]] = {}
         whole: list[str] = []
-        need: dict[str, None] = {}
+        cuts: list[tuple[str, list[str]]] = []
+        need: set[str] = set()
         for w in words:
-            if len(w) > 200 or "<|" in w or (not w.isascii() and max(w) > "ɏ"):
+            if (known := self.old_words.get(w)) is not None:
+                self.words[w] = known
+            elif len(w) > 200 or "<|" in w or (not w.isascii() and max(w) > "\u024f"):
                 whole.append(w)
-                continue
-            low = w.lower() if w.isascii() else unicodedata.normalize("NFC", w).lower()
-            cuts[w] = c = self.cut(low)
-            for p in c:
-                if p not in self.pieces:
-                    need[p] = None
-        fresh = list(need)
-        for p, e in zip(fresh, self.tok.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.pieces[p] = tuple(e.ids)
-        for w, e in zip(whole, self.tok.encode_batch(whole, add_special_tokens=False), strict=True):
-            self.words[w] = tuple(e.ids)
-        for w, c in cuts.items():
-            if len(c) == 1:
-                self.words[w] = self.pieces[c[0]]
             else:
-                self.words[w] = tuple(i for p in c for i in self.pieces[p])
-
-    def ids(self, text: str) -> np.ndarray:
-        """uint32 ids of the whole text, without an end mark."""
-        words = text.translate(_TO_SPACE).split(" ") if _needs_cut(text) else text.split(" ")
-        out: list[int] = []
-        for at in range(0, len(words), 50_000):  # a very long text must not empty its own cache entries
-            part = words[at : at + 50_000]
-            get = self.words.get
-            found = [get(w) for w in part]
-            if None in found:
-                missing = list(dict.fromkeys(w for w, f in zip(part, found, strict=True) if f is None))
-                self._learn(missing)
-                get = self.words.get
-                found = [get(w) if f is None else f for w, f in zip(part, found, strict=True)]
-            for f in found:
-                out += f
-        return np.array(out, np.uint32)
-
-
-_TO_SPACE = {ord(c): " " for c in WORD_BREAK_CHARS}
-
-
-def _needs_cut(text: str) -> bool:
-    return any(c in text for c in WORD_BREAK_CHARS[1:])
+                low = w.lower() if w.isascii() else unicodedata.normalize("NFC", w).lower()
+                c = [low] if low.isalpha() else self.cut(low)
+                cuts.append((w, c))
+                need.update(c)
+        need.difference_update(self.pieces)
+        fresh = []
+        for p in need:
+            if (known := self.old_pieces.get(p)) is not None:
+                self.pieces[p] = known
+            else:
+                fresh.append(p)
+        self.pieces.update(zip(fresh, self._encode(fresh), strict=True))
+        self.words.update(zip(whole, self._encode(whole), strict=True))
+        of = self.pieces.__getitem__
+        for w, c in cuts:
+            self.words[w] = of(c[0]) if len(c) == 1 else b"".join(map(of, c))
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """uint32 ids of each whole text, without an end mark."""
+        if len(self.words) > CACHE_WORDS:
+            self.old_words, self.words = self.words, {}
+        if len(self.pieces) > CACHE_WORDS:
+            self.old_pieces, self.pieces = self.pieces, {}
+        split = []
+        for t in texts:
+            for c in WORD_BREAK_CHARS[1:]:
+                if c in t:
+                    t = t.replace(c, " ")
+            split.append(t.split(" "))
+        self._learn(list(set().union(*split).difference(self.words)))
+        of = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(of, words)), "<u4") for words in split]
 
 
 @lru_cache(1)
@@ -130,8 +133,8 @@ def _piece_batches(tokenizer: str, max_tokens: int, end_id: int, salts: int):
         turn = 0
         for batch in batches:
             ids_, rows = batch.column("doc_id").to_pylist(), {k: [] for k in ("d", "s", "n", "c", "t", "z")}
-            for doc, text in zip(ids_, batch.column("text"), strict=True):
-                ids = np.append(tok.ids(text.as_py()), np.uint32(end_id)).astype("<u4")
+            for doc, ids in zip(ids_, _tokens(tok, batch.column("text")), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for s in range(0, len(ids), max_tokens):
                     part = ids[s : s + max_tokens]
                     turn += 1
@@ -145,6 +148,18 @@ def _piece_batches(tokenizer: str, max_tokens: int, end_id: int, salts: int):
     return run
 
 
+def _tokens(tok: WordTokenizer, column: pa.Array) -> Iterator[np.ndarray]:
+    texts: list[str] = []
+    held = 0
+    for t in column:
+        texts.append(t.as_py())
+        held += len(texts[-1])
+        if held >= CHUNK_BYTES:
+            yield from tok.ids_of(texts)
+            texts, held = [], 0
+    yield from tok.ids_of(texts)
+
+
 def shortest_pack_first(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[int, tuple[int, ...]]]:
     """(count, lengths of the pack) that hold every rest of the histogram exactly once."""
     open_: dict[int, dict[tuple[int, ...], int]] = {}  # tokens in the pack -> pattern -> count
