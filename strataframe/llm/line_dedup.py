@@ -16,8 +16,8 @@ altogether. Lines of fewer than ``min_tokens`` tokens are left alone: so short a
 evidence of a template.
 
 Counts go through two steps, (template, text) and then template, so a line that
-a third of all documents share is combined before it is exchanged. Texts
-are exchanged once, to be rebuilt; leaves are compared over lines of shared leaves only.
+a third of all documents share is combined before it is exchanged. Texts are
+exchanged twice: to read the tokens of lines in shared leaves, and to be rebuilt.
 
 Cases: null text stays null (n_lines 0); an empty text has one empty line, which is kept; ids rank
 null last; repeated rows are rebuilt alike; line ends stay as they are (only
@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import ensure_checkpoint_dir, words_of
 
 DEPTH = 3
 SIMILARITY = 0.7
@@ -42,7 +42,9 @@ ANY = "<*>"
 
 
 def masked_tokens(line: Column) -> Column:
-    return F.transform(words_of(line), lambda t: F.when(t.rlike("[0-9]"), F.lit(ANY)).otherwise(t))
+    """Words of a line, those with a digit masked; lines without a digit, most of them, are only split."""
+    masked = F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", ANY)
+    return words_of(F.when(line.rlike("[0-9]"), masked).otherwise(line))
 
 
 def _recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
@@ -52,21 +54,28 @@ def _recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc, body, at): lines to drop, by document, hash of its text and number of the line. docs(doc, body, text)."""
+    """(doc, body, at): lines to drop, by document, hash of its text and number of the line. docs(doc, body, text).
+
+    Only hashes of lines travel; the tokens are read again for lines of leaves that enough texts share. Each step's
+    small result is written to the checkpoint folder, so that nothing is made twice.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
     lines = docs.where("text is not null").select("doc", "body", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     lines = lines.withColumn("tokens", masked_tokens(F.col("line"))).where(F.size("tokens") >= min_tokens)
-    lines = lines.select(
-        "doc", "body", "at", "tokens", F.xxhash64("tokens").alias("same"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf")
-    )
-    slim = lines.select("doc", "body", "at", "same", "leaf")
-
-    equal = _recurring(slim, "same", min_docs)
+    slim = lines.select(
+        "doc", "body", "at", F.xxhash64("tokens").alias("same"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf")
+    ).checkpoint()
+    equal = _recurring(slim, "same", min_docs).checkpoint()
     first_kind = slim.join(equal, "same").where(F.col("doc") > F.col("first")).select("doc", "body", "at")
 
-    # Leaves that enough texts share, each with its generalised template.
-    rest = slim.join(equal.select("same"), "same", "left_anti")
+    # Lines of leaves that enough texts share, with their tokens.
+    rest = slim.join(equal.select("same"), "same", "left_anti").select("doc", "body", "at", "leaf").checkpoint()
     shared = _recurring(rest, "leaf", min_docs).select("leaf")
-    members = lines.join(shared, "leaf").join(equal.select("same"), "same", "left_anti")
+    wanted = rest.join(shared, "leaf").groupBy("doc", "body").agg(F.collect_set(F.struct("at", "leaf")).alias("wanted"))
+    read = docs.join(wanted, ["doc", "body"]).withColumn("lines", F.split("text", "\n", -1)).select("doc", "body", "lines", F.explode("wanted").alias("w"))
+    members = read.select("doc", "body", "w.at", "w.leaf", masked_tokens(F.get("lines", F.col("w.at"))).alias("tokens")).checkpoint()
+
+    # Each leaf's generalised template.
     places = members.select("leaf", F.posexplode("tokens").alias("place", "token"))
     votes = places.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("leaf", "place").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
@@ -75,7 +84,7 @@ def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SI
     matched = members.join(template, "leaf").where(
         F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: (a == b) & (b != ANY)), lambda hit: hit)) >= similarity * F.size("tokens")
     )
-    matched = matched.select("doc", "body", "at", "leaf")
+    matched = matched.select("doc", "body", "at", "leaf").checkpoint()
     general = _recurring(matched, "leaf", min_docs)
     second_kind = matched.join(general, "leaf").where(F.col("doc") > F.col("first")).select("doc", "body", "at")
     return first_kind.unionByName(second_kind)
