@@ -4,7 +4,7 @@ A line's tokens are its words; tokens with a digit are variable and read as
 ``<*>``. The tree has a fixed depth: a line goes to the leaf of its token count
 and its first ``depth`` tokens. In a leaf there are two kinds of template:
 
-* the lines that are equal after masking, and
+* the lines that are equal after masking, if at least ``similarity`` of their tokens are constant, and
 * one generalised template for the remaining lines: at each place the token that most lines
   have, or ``<*>`` where none has half of them. A line belongs to it if at
   least ``similarity`` of its tokens equal the template's constants.
@@ -62,10 +62,12 @@ def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SI
     ensure_checkpoint_dir(docs.sparkSession)
     lines = docs.where("text is not null").select("doc", "body", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     lines = lines.withColumn("tokens", masked_tokens(F.col("line"))).where(F.size("tokens") >= min_tokens)
+    constants = F.size(F.filter("tokens", lambda t: t != ANY))
+    fixed = F.when(F.contains("line", F.lit(ANY)) | F.col("line").rlike("[0-9]"), constants >= similarity * F.size("tokens")).otherwise(True)
     slim = lines.select(
-        "doc", "body", "at", F.xxhash64("tokens").alias("same"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf")
+        "doc", "body", "at", fixed.alias("fixed"), F.xxhash64("tokens").alias("same"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf")
     ).checkpoint()
-    equal = _recurring(slim, "same", min_docs).checkpoint()
+    equal = _recurring(slim.where("fixed"), "same", min_docs).checkpoint()
     first_kind = slim.join(equal, "same").where(F.col("doc") > F.col("first")).select("doc", "body", "at")
 
     # Lines of leaves that enough texts share, with their tokens.
