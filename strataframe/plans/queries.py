@@ -223,17 +223,18 @@ def rect_corners(b):
 
 # --- aggregates -----------------------------------------------------------------------
 
-_BOUNDS = (F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+def _bounds():
+    return F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy")
 
 
 @register((B,), "select min(minx) as minx, min(miny) as miny, max(maxx) as maxx, max(maxy) as maxy from fx_boxes")
 def extent_agg(b):
-    return b.agg(*_BOUNDS)
+    return b.agg(*_bounds())
 
 
 @register((B,), "select kind, count(*) as n, min(minx) as minx, min(miny) as miny, max(maxx) as maxx, max(maxy) as maxy from fx_boxes group by kind")
 def extent_by_kind(b):
-    return b.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *_BOUNDS)
+    return b.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *_bounds())
 
 
 @register((P, B), "select 'points' as name, count(*) as n from fx_points union all select 'boxes', count(*) from fx_boxes")
