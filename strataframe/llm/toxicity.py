@@ -24,7 +24,6 @@ score is 0.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,29 +52,29 @@ def word_set(text: str) -> set[str]:
     return words | {w[:5] + "*" for w in words if len(w) > 5} | {w[:7] + "*" for w in words if len(w) > 7}
 
 
-def _sparse(sets: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    rows, cols = [], []
-    for i, s in enumerate(sets):
-        hit = [index[w] for w in s if w in index]
-        rows += [i] * len(hit)
-        cols += hit
-    return np.array(rows, np.int64), np.array(cols, np.int64)
+def _sparse(docs: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the words in use; place: word number -> column or -1."""
+    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    cols = place[np.concatenate(docs)] if docs else np.empty(0, np.int64)
+    return rows[cols >= 0], cols[cols >= 0]
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, *, vocabulary: int = VOCABULARY, rounds: int = ROUNDS):
-    """(word -> weight, offset) by Adam steps on the non-negative risk, over the whole sample in each step."""
-    n_p, n_u = len(positive), max(len(unlabelled), 1)
-    in_p, in_u = Counter(w for s in positive for w in s), Counter(w for s in unlabelled for w in s)
-
-    def telling(w: str) -> float:
-        share = (in_p[w] + in_u[w] + 1) / (n_p + n_u + 2)
-        return abs(in_p[w] / n_p - in_u[w] / n_u) / math.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str], prior: float, *, vocabulary: int = VOCABULARY, rounds: int = ROUNDS):
+    """(word -> weight, offset) by Adam steps on the non-negative risk, over the whole sample in each step.
 
-    ranked = sorted((-telling(w), w) for w in in_p.keys() | in_u.keys() if w and in_p[w] + in_u[w] >= 3)
-    words = [w for z, w in ranked if z <= -TELLING][:vocabulary]
-    index = {w: i for i, w in enumerate(words)}
-    pr, pc = _sparse(positive, index)
-    ur, uc = _sparse(unlabelled, index)
+    Documents are arrays of word numbers, each once; names has the words.
+    """
+    n_p, n_u = len(positive), max(len(unlabelled), 1)
+    in_p, in_u = (np.bincount(np.concatenate(d) if d else np.empty(0, np.int64), minlength=len(names)) for d in (positive, unlabelled))
+    share = (in_p + in_u + 1) / (n_p + n_u + 2)
+    telling = np.abs(in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
+    used = np.flatnonzero((telling >= TELLING) & (in_p + in_u >= 3))
+    used = sorted((i for i in used.tolist() if names[i]), key=lambda i: (-telling[i], names[i]))[:vocabulary]
+    words = [names[i] for i in used]
+    place = np.full(len(names), -1, np.int64)
+    place[used] = np.arange(len(used))
+    pr, pc = _sparse(positive, place)
+    ur, uc = _sparse(unlabelled, place)
     v = len(words)
     w, m, s = np.zeros(v + 1), np.zeros(v + 1), np.zeros(v + 1)
     w[-1] = math.log(prior / (1 - prior))
@@ -100,16 +99,22 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, *, v
     return dict(zip(words, w[:v].tolist(), strict=True)), float(w[-1])
 
 
-def _sets(df: DataFrame) -> list[set[str]]:
-    """Word sets of a bounded sample, in the order of their ids; the texts are turned to sets on the executors."""
+def _numbered(df: DataFrame, index: dict[str, int]) -> list[np.ndarray]:
+    """Word numbers of a bounded sample, in the order of the ids. Texts become word lists on the executors, and each row
+    becomes numbers as it arrives, so the driver holds a distinct word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [sorted(word_set(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.string()))], names=["doc_id", "w"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [sorted(word_set(t)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.string()))], names=["doc_id", "w"])
 
-    rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, w array<string>").toLocalIterator()
-    return [set(r[1]) for r in sorted((r["doc_id"] or 0, r["w"]) for r in rows)]
+    rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, w array<string>")
+    out = []
+    for r in rows.toLocalIterator():
+        out.append((r["doc_id"] or 0, np.array([index.setdefault(w, len(index)) for w in r["w"]], np.int32)))
+    return [d for _, d in sorted(out, key=lambda x: (x[0], x[1].tobytes()))]
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
@@ -120,11 +125,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return None
     prior = min(max(n[1] / sum(n.values()), 0.001), 0.5)
     ids = known.where("toxic = 1").select("doc_id").distinct().where(hash_below("doc_id", sample_fraction(n[1], positives), 21))
-    pos = _sets(docs.join(F.broadcast(ids), "doc_id"))
-    unl = _sets(docs.where(hash_below("doc_id", sample_fraction(docs.count(), unlabelled), 22)))
+    index: dict[str, int] = {}
+    pos = _numbered(docs.join(F.broadcast(ids), "doc_id"), index)
+    unl = _numbered(docs.where(hash_below("doc_id", sample_fraction(docs.count(), unlabelled), 22)), index)
     if not pos:
         return None
-    return fit(pos, unl, prior)
+    return fit(pos, unl, list(index), prior)
 
 
 def _score_batches(weights: dict[str, float], offset: float, threshold: float):
