@@ -177,6 +177,10 @@ def test_word_tokenizer_equals_the_library():
     tok = packing.WordTokenizer(packing.public_path())
     hard = ["I'll DON'T ÉCLAIŔ x²½ Ⅷ 'S İstanbul ΣΑΣ a\xa0b 日本語 mixed日本 <|endoftext|> a<|startoftext|>b 12ab_c--d", "", " \n", "\t\x0b a\x0cb\r"]
     assert [list(x) for x in tok.ids_of(hard)] == [tok.tok.encode(t, add_special_tokens=False).ids for t in hard]
+    letters = random.Random(3)
+    mixed = ["".join(letters.choices("aZ'stredlm019 .,-<|>éÉßſİŉΣσ\u0301 \x1c\t\n日end", k=letters.randrange(30))) for _ in range(3000)]
+    for at in range(0, len(mixed), 100):  # one text's words must not change another's
+        assert [list(x) for x in tok.ids_of(mixed[at : at + 100])] == [tok.tok.encode(t, add_special_tokens=False).ids for t in mixed[at : at + 100]]
 
 
 def test_forward_sums_all_segmentations():
