@@ -20,11 +20,13 @@ result; other columns are ignored; very long texts give many whole sequences.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ MAX_TOKENS = 2048
 END_ID = 1
 #: Entries from which a worker's word cache starts a new generation, which changes no result.
 CACHE_WORDS = 400_000
+#: The last character of the blocks that are cut by a spelled-out pattern; NFC changes none of them.
+LATIN = 0x24F
 #: Runs that are encoded as one text.
 RUNS = 500
 #: Bytes of text, about, that are tokenised together.
@@ -46,24 +50,32 @@ CHUNK_BYTES = 1 << 20
 class WordTokenizer:
     """ids of a text by a tokenizers file that drops white space, word by word through a cache.
 
-    The file's pre-tokenizer never joins characters across white space, so the ids of a
-    text are those of its words, in order. Words that are not plain Latin, or hold a
-    special token's opening, go to the tokenizer as they are; others are first cut into
-    letter runs, digits and other runs, as the file's own pattern does, so that a
-    word with a comma shares the cached ids of the word. A run's last id, and no other, has the
-    vocabulary's word end, so that many runs are encoded as one text and told apart after.
+    The file's pre-tokenizer cuts lower-case text into runs: letters, single digits, others. A text
+    of Latin characters without a special token's opening is cut into its runs by the same pattern. Any other
+    is cut at white space, across which no run goes, and its words, where not plain, go to the tokenizer as
+    they are. Runs and words are looked up in one cache. A run's last id, and no other, has the vocabulary's
+    word end, so that many runs are encoded as one text and told apart after.
     """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tok = Tokenizer.from_file(path)
+        # For runs, which are normal already and stand between spaces.
+        self.run_tok = Tokenizer.from_file(path)
+        self.run_tok.normalizer = None
+        self.run_tok.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tok.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        # The same pattern up to LATIN, spelled out for the faster module.
+        latin = [chr(c) for c in range(0x80, LATIN + 1)]
+        letters, numbers = ("".join(c for c in latin if unicodedata.category(c)[0] == kind) for kind in "LN")
+        self.cut_latin = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{letters}]+|[0-9{numbers}]|[^\t-\r \x85\xa0a-z0-9{letters}{numbers}]+").findall
         # Two generations of words and runs: a full young one becomes the old one, and those still in use come back from it.
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
@@ -77,61 +89,59 @@ class WordTokenizer:
         if not runs:
             return []
         joined = [" ".join(runs[i : i + RUNS]) for i in range(0, len(runs), RUNS)]
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)])
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.run_tok.encode_batch_fast(joined, add_special_tokens=False)])
         ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
         if len(ends) != len(runs) or ends[-1] != 4 * len(ids):  # a vocabulary of another kind
             return self._encode(runs)
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _known(self, strings: set[str]) -> set[str]:
+        """Those not in the cache; those of the old generation come back into it."""
+        strings = {s for s in strings if s not in self.words}
+        back = {s: self.old_words[s] for s in strings if s in self.old_words}
+        self.words.update(back)
+        return strings.difference(back)
+
+    def _learn_runs(self, runs: set[str]) -> None:
+        fresh = list(self._known(runs))
+        self.words.update(zip(fresh, self._encode_runs(fresh), strict=True))
+
+    def _learn_words(self, words: set[str]) -> None:
         whole: list[str] = []
-        cuts: list[tuple[str, list[str]]] = []
-        need: set[str] = set()
-        for w in words:
-            if (known := self.old_words.get(w)) is not None:
-                self.words[w] = known
-            elif len(w) > 200 or "<|" in w or (not w.isascii() and max(w) > "\u024f"):
+        cuts: dict[str, list[str]] = {}
+        for w in self._known(words):
+            if len(w) > 200 or "<|" in w or (not w.isascii() and ord(max(w)) > LATIN):
                 whole.append(w)
             else:
-                low = w.lower() if w.isascii() else unicodedata.normalize("NFC", w).lower()
-                if low.isalpha():
-                    need.add(low)
-                    if low != w:
-                        cuts.append((w, [low]))
-                else:
-                    c = self.cut(low)
-                    need.update(c)
-                    if c != [w]:
-                        cuts.append((w, c))
-        need.difference_update(self.words)
-        fresh = []
-        for run in need:
-            if (known := self.old_words.get(run)) is not None:
-                self.words[run] = known
-            else:
-                fresh.append(run)
-        self.words.update(zip(fresh, self._encode_runs(fresh), strict=True))
+                cuts[w] = self.cut(w.lower() if w.isascii() else unicodedata.normalize("NFC", w).lower())
+        self._learn_runs(set().union(*cuts.values()))
         self.words.update(zip(whole, self._encode(whole), strict=True))
         of = self.words.__getitem__
-        for w, c in cuts:
-            self.words[w] = of(c[0]) if len(c) == 1 else b"".join(map(of, c))
+        self.words.update({w: b"".join(map(of, c)) for w, c in cuts.items()})
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each whole text, without an end mark."""
         if len(self.words) > CACHE_WORDS:
             self.old_words, self.words = self.words, {}
-        split = []
+        split: list[list[str]] = []
+        runs: set[str] = set()
+        words: set[str] = set()
+        held = self.words.__contains__
         for t in texts:
-            for c in WORD_BREAK_CHARS[1:]:
-                if c in t:
+            low = t.lower()
+            if "<|" not in t and (low.isascii() or np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4").max() <= LATIN):
+                split.append(self.cut_latin(low))
+                runs.update(filterfalse(held, split[-1]))
+            else:
+                for c in WORD_BREAK_CHARS[1:]:
                     t = t.replace(c, " ")
-            if t.isascii() and "<|" not in t:
-                t = t.lower()
-            split.append(t.split(" "))
-        self._learn(list(set().union(*split).difference(self.words)))
+                split.append(t.split(" "))
+                words.update(filterfalse(held, split[-1]))
+        self._learn_runs(runs)
+        self._learn_words(words)
         of = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(of, words)), "<u4") for words in split]
+        return [np.frombuffer(b"".join(map(of, strings)), "<u4") for strings in split]
 
 
 @lru_cache(1)
