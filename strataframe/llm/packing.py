@@ -26,7 +26,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -124,24 +123,27 @@ class WordTokenizer:
         """uint32 ids of each whole text, without an end mark."""
         if len(self.words) > CACHE_WORDS:
             self.old_words, self.words = self.words, {}
-        split: list[list[str]] = []
+        found: list[tuple[list[str], list[bytes | None], list[int]]] = []  # strings of a text, their ids, places without
         runs: set[str] = set()
         words: set[str] = set()
-        held = self.words.__contains__
         for t in texts:
             low = t.lower()
             if "<|" not in t and (low.isascii() or np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4").max() <= LATIN):
-                split.append(self.cut_latin(low))
-                runs.update(filterfalse(held, split[-1]))
+                strings, new = self.cut_latin(low), runs
             else:
                 for c in WORD_BREAK_CHARS[1:]:
                     t = t.replace(c, " ")
-                split.append(t.split(" "))
-                words.update(filterfalse(held, split[-1]))
+                strings, new = t.split(" "), words
+            ids = list(map(self.words.get, strings))
+            gaps = [i for i, known in enumerate(ids) if known is None]
+            new.update([strings[i] for i in gaps])
+            found.append((strings, ids, gaps))
         self._learn_runs(runs)
         self._learn_words(words)
-        of = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(of, strings)), "<u4") for strings in split]
+        for strings, ids, gaps in found:
+            for i in gaps:
+                ids[i] = self.words[strings[i]]
+        return [np.frombuffer(b"".join(ids), "<u4") for _, ids, _ in found]
 
 
 @lru_cache(1)
