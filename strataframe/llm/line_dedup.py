@@ -102,7 +102,9 @@ def drop_recurring_lines(docs: DataFrame, **options) -> DataFrame:
     )
     gone = dropped_lines(src.select("doc", "body", "text"), **options)
     gone = gone.groupBy("doc", "body").agg(F.sort_array(F.collect_set("at")).alias("gone"))
-    out = src.join(gone, ["doc", "body"], "left").withColumn("lines", F.split("text", "\n", -1))
+    # The text travels once, within the row.
+    out = src.drop("text").join(gone, ["doc", "body"], "left").withColumn("text", F.col("row").getField("text").cast("string"))
+    out = out.withColumn("lines", F.split("text", "\n", -1))
     # Slices between dropped lines, one after the other: linear in the number of lines.
     ends = F.concat("gone", F.array(F.size("lines")))
     before = lambda k: F.coalesce(F.get("gone", k - 1), F.lit(-1))
