@@ -5,8 +5,8 @@ into whole sequences and one rest; the rests are packed. The histogram of rest
 lengths has at most ``max_tokens`` entries however many documents there are, so
 packing happens on the driver over counts alone: lengths are placed longest
 first into the open packs with the fewest tokens that they fit (the shortest pack),
-and a placement moves as many packs of one pattern as there are rests. The
-result is a list of patterns (lengths) with counts. Patterns join back to
+and a placement moves as many packs of one pattern as there are rests. Rests that
+fit no open pack fill new ones, as many of a length in each as fit. The result is a list of patterns (lengths) with counts. Patterns join back to
 documents by rank: the k-th rest of a length takes the k-th slot of that length.
 
 Ranks come from counts per (length, salt) and a running sum over the salts, so
@@ -24,6 +24,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -210,7 +211,11 @@ def shortest_pack_first(histogram: dict[int, int], max_tokens: int = MAX_TOKENS)
         left = histogram[length]
         while left:
             if not totals or totals[0] + length > max_tokens:
-                put(length, (length,), left)
+                # As one at a time would: a new pack is the shortest until it is full.
+                most = max_tokens // length
+                for copies, n in ((most, left // most), (left % most, 1)):
+                    if copies and n:
+                        put(copies * length, (length,) * copies, n)
                 break
             shortest = totals[0]
             pattern, n = next(iter(open_[shortest].items()))
@@ -251,17 +256,17 @@ def pack_documents(
         before.append((length, salt, histogram.get(length, 0)))
         histogram[length] = histogram.get(length, 0) + n
     whole = histogram.pop(max_tokens, 0)
-    slots: list[tuple[int, int, int, int, int, int]] = []  # length, first rank, count, first sequence, offset
+    slots: list[tuple[int, int, int, int, int]] = []  # length, first rank, packs, first sequence, offset
     used: dict[int, int] = {}
     sequence = whole
     if whole:
         slots.append((max_tokens, 0, whole, 0, 0))
     for n, pattern in shortest_pack_first(histogram, max_tokens):
         offset = 0
-        for length in pattern:
+        for length, copies in Counter(pattern).items():  # longest first, as they stand in the pattern
             slots.append((length, used.get(length, 0), n, sequence, offset))
-            used[length] = used.get(length, 0) + n
-            offset += length
+            used[length] = used.get(length, 0) + n * copies
+            offset += length * copies
         sequence += n
     by_length: dict[int, list] = {}
     for s in sorted(slots):
@@ -293,8 +298,9 @@ def _slot_batches(by_length: dict[int, list]):
                 at = np.flatnonzero(length == k)
                 t = tables[int(k)]
                 row = t[np.searchsorted(t[:, 0], rank[at], "right") - 1]
-                seq[at] = row[:, 2] + rank[at] - row[:, 0]
-                off[at] = row[:, 3]
+                copy, pack = np.divmod(rank[at] - row[:, 0], row[:, 1])
+                seq[at] = row[:, 2] + pack
+                off[at] = row[:, 3] + copy * k
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [pa.array(seq), pa.array(off)],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],

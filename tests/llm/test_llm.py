@@ -173,6 +173,26 @@ def test_shortest_pack_first():
     assert back == hist
 
 
+def test_shortest_pack_first_fills_new_packs():
+    packs = lambda h: sum(n for n, _ in packing.shortest_pack_first(h))
+    assert packs({100: 100_000}) == 5000 and packs({1: 100_000}) == 49 and packs({2048: 3, 1024: 5}) == 6
+    rnd = random.Random(5)
+    hot = {n: rnd.randrange(100, 200) for n in range(200, 501)} | {200: 33_000}
+    assert packs(hot) < 1.03 * sum(k * n for k, n in hot.items()) / 2048
+
+
+def test_packing_of_equal_short_texts(spark):
+    made = [(i, "one and the same text" if i % 3 else None) for i in range(3000)]
+    got = packing.pack_documents(spark.createDataFrame(made, "doc_id bigint, text string")).collect()
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert len(got) == 3000 and max(ends.values()) <= 2048 and len(ends) == -(-sum(r.length for r in got) // 2048)
+    empties = spark.range(5000).selectExpr("id doc_id", "'' text")
+    assert packing.pack_documents(empties).select("sequence_id").distinct().count() == 3
+
+
 def test_word_tokenizer_equals_the_library():
     tok = packing.WordTokenizer(packing.public_path())
     hard = ["I'll DON'T ÉCLAIŔ x²½ Ⅷ 'S İstanbul ΣΑΣ a\xa0b 日本語 mixed日本 <|endoftext|> a<|startoftext|>b 12ab_c--d", "", " \n", "\t\x0b a\x0cb\r"]
