@@ -4,7 +4,8 @@ A line's tokens are its words; tokens with a digit are variable and read as
 ``<*>``. The tree has a fixed depth: a line goes to the leaf of its token count
 and its first ``depth`` tokens. In a leaf there are two kinds of template:
 
-* the lines that are equal after masking, if at least ``similarity`` of their tokens are constant, and
+* the lines that are equal after masking, if at least ``MIN_CONSTANTS`` of their tokens are constant words (lines with
+  fewer, variable fields all but for signs, only if they are wholly equal), and
 * one generalised template for the remaining lines: at each place the token that most lines
   have, or ``<*>`` where none has half of them. A line belongs to it if at
   least ``similarity`` of its tokens equal the template's constants.
@@ -37,6 +38,8 @@ DEPTH = 3
 SIMILARITY = 0.7
 MIN_DOCS = 10
 MIN_TOKENS = 4
+#: Words that a template with variable fields has at least, whatever their share.
+MIN_CONSTANTS = 2
 _LAST = 2**63 - 1
 ANY = "<*>"
 
@@ -47,6 +50,10 @@ def masked_tokens(line: Column) -> Column:
     return words_of(F.when(line.rlike("[0-9]"), masked).otherwise(line))
 
 
+def _is_word(token: Column) -> Column:
+    return (token != ANY) & token.rlike(r"\p{L}")
+
+
 def _recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
     """(key, first): templates in at least min_docs different texts, with the smallest document."""
     once = lines.groupBy(key, "body").agg(F.min("doc").alias("doc"))
@@ -62,16 +69,16 @@ def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SI
     ensure_checkpoint_dir(docs.sparkSession)
     lines = docs.where("text is not null").select("doc", "body", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     lines = lines.withColumn("tokens", masked_tokens(F.col("line"))).where(F.size("tokens") >= min_tokens)
-    constants = F.size(F.filter("tokens", lambda t: t != ANY))
-    fixed = F.when(F.contains("line", F.lit(ANY)) | F.col("line").rlike("[0-9]"), constants >= similarity * F.size("tokens")).otherwise(True)
-    slim = lines.select(
-        "doc", "body", "at", fixed.alias("fixed"), F.xxhash64("tokens").alias("same"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf")
-    ).checkpoint()
-    equal = _recurring(slim.where("fixed"), "same", min_docs).checkpoint()
+    masked = F.contains("line", F.lit(ANY)) | F.col("line").rlike("[0-9]")
+    fixed = F.when(masked, F.size(F.filter("tokens", _is_word)) >= MIN_CONSTANTS).otherwise(True)
+    same = F.when(fixed, F.xxhash64("tokens")).otherwise(F.xxhash64("line"))
+    leaf = F.when(fixed, F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
+    slim = lines.select("doc", "body", "at", same.alias("same"), leaf.alias("leaf")).checkpoint()
+    equal = _recurring(slim, "same", min_docs).checkpoint()
     first_kind = slim.join(equal, "same").where(F.col("doc") > F.col("first")).select("doc", "body", "at")
 
     # Lines of leaves that enough texts share, with their tokens.
-    rest = slim.join(equal.select("same"), "same", "left_anti").select("doc", "body", "at", "leaf").checkpoint()
+    rest = slim.where("leaf is not null").join(equal.select("same"), "same", "left_anti").select("doc", "body", "at", "leaf").checkpoint()
     shared = _recurring(rest, "leaf", min_docs).select("leaf")
     wanted = rest.join(shared, "leaf").groupBy("doc", "body").agg(F.collect_set(F.struct("at", "leaf")).alias("wanted"))
     read = docs.join(wanted, ["doc", "body"]).withColumn("lines", F.split("text", "\n", -1)).select("doc", "body", "lines", F.explode("wanted").alias("w"))

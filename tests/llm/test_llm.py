@@ -364,6 +364,19 @@ def test_line_dedup_generalises(spark):
     assert [r.n_dropped for r in got] == [0] + [1] * 13
 
 
+def test_line_dedup_variable_fields(spark):
+    fields = [
+        "Page {0} of {1} in total",
+        "Posted on {0} March {1} at 10:{0}",
+        "2021-03-{0} 12:00:{1} user {0} logged in from 10.0.0.{1}",
+        "Views {1} | Likes {0} | Shares 4{0}",
+        "| {0} | {1} | 3{1} | 4{0} |",  # no words: numbers of a table
+    ]
+    made = [(i, "\n".join(f.format(i + 10, i * 37 + 5) for f in fields) + "\n10 20 30 40 50") for i in range(12)]
+    got = line_dedup.line_dedup(spark.createDataFrame(made, "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert got[0].n_dropped == 0 and [r.text for r in got[1:]] == [t.split("\n")[4] for _, t in made[1:]]
+
+
 def test_toxicity(spark, docs, labels, rows, empty):
     rnd = random.Random(12)
     made, marks = [], []
