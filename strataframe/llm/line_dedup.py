@@ -6,9 +6,12 @@ and its first ``depth`` tokens. In a leaf there are two kinds of template:
 
 * the lines that are equal after masking, if at least ``MIN_CONSTANTS`` of their tokens are constant words (lines with
   fewer, variable fields all but for signs, only if they are wholly equal), and
-* one generalised template for the remaining lines: at each place the token that most lines
-  have, or ``<*>`` where none has half of them. A line belongs to it if at
-  least ``similarity`` of its tokens equal the template's constants.
+* generalised templates for the remaining lines, any number of them: the tokens of a line that stand at their place in
+  ``min_docs``, 4, 16, ... times ``min_docs`` lines of the leaf, the others being variable fields, so families
+  that share a leaf with each other or with prose are told apart by what is frequent in each; and, at each place, the token that half
+  of all lines of the leaf have. It has to have ``similarity`` of its tokens constant, or two constant words after
+  the first ``depth`` and half of all places without digits. A line belongs to it if ``similarity`` of all
+  its tokens, or of the constants after the first ``depth``, are the template's; its variable fields match anything.
 
 A template recurs if its lines stand in at least ``min_docs`` different texts
 (equal texts count once). Its lines are dropped everywhere but in the
@@ -29,6 +32,8 @@ have any length.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +65,50 @@ def _recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
     return once.groupBy(key).agg(F.count(F.lit(1)).alias("texts"), F.min("doc").alias("first")).where(F.col("texts") >= min_docs).select(key, "first")
 
 
+def _templates(members: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
+    """(leaf, key, template): generalised templates of the leaves; a variable field is an empty token, ANY is a place of digits."""
+    # Equal texts vote once.
+    places = members.select("leaf", "body", "tokens").distinct().select("leaf", "body", "tokens", F.posexplode("tokens").alias("place", "token"))
+    votes = places.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("leaf", "place").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
+    best = best.select("leaf", "place", F.when(2 * F.col("top.n") >= F.col("all"), F.col("top.token")).otherwise("").alias("token"))
+    most = best.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda p: p["token"]).alias("template"))
+
+    # A line's patterns: its tokens that stand at their place in min_docs, 4 min_docs, 16 min_docs ... lines.
+    often = votes.where(F.col("n") >= min_docs).select("leaf", "place", "token", F.floor(F.log(F.col("n") / min_docs + 1e-9) / math.log(4)).cast("int").alias("level"))
+    levelled = places.join(often, ["leaf", "place", "token"], "left")
+    levels = F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("level", F.lit(-1)).alias("level")))), lambda p: p["level"])
+    levelled = levelled.groupBy("leaf", "body", "tokens").agg(levels.alias("levels"))
+    each = levelled.select("leaf", "body", "tokens", "levels", F.explode(F.array_distinct("levels")).alias("from")).where("`from` >= 0")
+    pattern = F.zip_with("tokens", "levels", lambda token, level: F.when(level >= F.col("from"), token).otherwise(""))
+    patterns = each.select("leaf", "body", pattern.alias("template")).where(_telling(depth, similarity)).distinct()
+    found = patterns.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs)
+    all_ = most.where(_telling(depth, similarity)).unionByName(found.select("leaf", "template")).distinct()
+    return all_.select("leaf", F.xxhash64("leaf", "template").alias("key"), "template").checkpoint()
+
+
+def _telling(depth: int, similarity: float) -> Column:
+    """Whether column template has enough constants to be one: the first depth tokens are alike in any leaf, so they alone tell nothing."""
+    constants = F.size(F.filter("template", _is_constant))
+    words = F.filter("template", lambda t: _is_constant(t) & _is_word(t))
+    after = F.size(F.filter("template", lambda t, i: (i >= depth) & _is_constant(t) & _is_word(t)))
+    free = F.size(F.filter("template", lambda t: t != ANY))
+    return (F.size(words) >= MIN_CONSTANTS) & ((constants >= similarity * F.size("template")) | ((2 * constants >= free) & (after >= MIN_CONSTANTS)))
+
+
+def _matches(depth: int, similarity: float) -> Column:
+    """Whether column tokens has enough of the constants of column template, of all tokens or of those after the first depth."""
+    hits = F.zip_with("tokens", "template", lambda a, b: (a == b) & _is_constant(b))
+    tail = lambda c: F.slice(c, depth + 1, 1 << 30)
+    after = F.size(F.filter(tail(F.col("template")), _is_constant))
+    share = F.size(F.filter(tail(hits), lambda hit: hit)) >= similarity * after
+    return (F.size(F.filter(hits, lambda hit: hit)) >= similarity * F.size("tokens")) | ((after >= MIN_CONSTANTS) & share)
+
+
+def _is_constant(token: Column) -> Column:
+    return (token != ANY) & (token != "")
+
+
 def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc, body, at): lines to drop, by document, hash of its text and number of the line. docs(doc, body, text).
 
@@ -84,18 +133,11 @@ def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SI
     read = docs.join(wanted, ["doc", "body"]).withColumn("lines", F.split("text", "\n", -1)).select("doc", "body", "lines", F.explode("wanted").alias("w"))
     members = read.select("doc", "body", "w.at", "w.leaf", masked_tokens(F.get("lines", F.col("w.at"))).alias("tokens")).checkpoint()
 
-    # Each leaf's generalised template.
-    places = members.select("leaf", F.posexplode("tokens").alias("place", "token"))
-    votes = places.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("leaf", "place").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
-    best = best.select("leaf", "place", F.when(2 * F.col("top.n") >= F.col("all"), F.col("top.token")).otherwise(ANY).alias("token"))
-    template = best.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda p: p["token"]).alias("template"))
-    matched = members.join(template, "leaf").where(
-        F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: (a == b) & (b != ANY)), lambda hit: hit)) >= similarity * F.size("tokens")
-    )
-    matched = matched.select("doc", "body", "at", "leaf").checkpoint()
-    general = _recurring(matched, "leaf", min_docs)
-    second_kind = matched.join(general, "leaf").where(F.col("doc") > F.col("first")).select("doc", "body", "at")
+    # Generalised templates of each leaf.
+    template = _templates(members, depth, similarity, min_docs)
+    matched = members.join(template, "leaf").where(_matches(depth, similarity)).select("doc", "body", "at", "key").checkpoint()
+    general = _recurring(matched, "key", min_docs)
+    second_kind = matched.join(general, "key").where(F.col("doc") > F.col("first")).select("doc", "body", "at")
     return first_kind.unionByName(second_kind)
 
 

@@ -377,6 +377,26 @@ def test_line_dedup_variable_fields(spark):
     assert got[0].n_dropped == 0 and [r.text for r in got[1:]] == [t.split("\n")[4] for _, t in made[1:]]
 
 
+def test_line_dedup_families_in_one_leaf(spark):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    made = []
+    for i in range(90):
+        if i < 15:
+            line = f"In the city {word()} was named the winner of prizes for her last book"
+        elif i < 30:
+            line = f"In the city our partner {word()} sells tickets to all shows by {word()} now online"
+        else:
+            line = "In the city " + " ".join(word() if rnd.random() < 0.6 else rnd.choice(["the", "of", "and"]) for _ in range(11))
+        made.append((i, f"{word()} {word()} {word()} {word()}\n{line}"))
+    for i in range(90, 105):  # each has another token at another place
+        line = "We thank all readers who sent their kind letters to us this long year".split()
+        line[3 + i % 11] = word()
+        made.append((i, " ".join(line)))
+    got = line_dedup.line_dedup(spark.createDataFrame(made, "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.n_dropped for r in got] == [0] + [1] * 14 + [0] + [1] * 14 + [0] * 60 + [0] + [1] * 14
+
+
 def test_toxicity(spark, docs, labels, rows, empty):
     rnd = random.Random(12)
     made, marks = [], []
