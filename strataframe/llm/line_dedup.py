@@ -13,11 +13,12 @@ and its first ``depth`` tokens. In a leaf there are two kinds of template:
   the first ``depth`` and half of all places without digits. A line belongs to it if ``similarity`` of all
   its tokens, or of the constants after the first ``depth``, are the template's; its variable fields match anything.
 
-A template recurs if its lines stand in at least ``min_docs`` different texts
-(equal texts count once). Its lines are dropped everywhere but in the
+A template recurs if its lines stand in enough different texts (equal texts
+count once): ``min_docs``, but for equal lines of over 50 words 2, of over 20 words 3, and of fewer than
+``min_tokens`` words 100, so short a line being little evidence of a template; without a letter it is none. A word
+is a token or, where that gives more, eight bytes of the line, for scripts without spaces. Its lines are dropped everywhere but in the
 document with the smallest id that has it, so nothing leaves the corpus
-altogether. Lines of fewer than ``min_tokens`` tokens are left alone: so short a line is no
-evidence of a template.
+altogether.
 
 Counts go through two steps, (template, text) and then template, so a line that
 a third of all documents share is combined before it is exchanged. Texts are
@@ -43,6 +44,10 @@ DEPTH = 3
 SIMILARITY = 0.7
 MIN_DOCS = 10
 MIN_TOKENS = 4
+#: Lines of more words than these need 2 and 3 different texts, those under MIN_TOKENS so many.
+PASSAGE_TOKENS = 50
+LONG_TOKENS = 20
+SHORT_DOCS = 100
 #: Words that a template with variable fields has at least, whatever their share.
 MIN_CONSTANTS = 2
 _LAST = 2**63 - 1
@@ -59,10 +64,17 @@ def _is_word(token: Column) -> Column:
     return (token != ANY) & token.rlike(r"\p{L}")
 
 
-def _recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
-    """(key, first): templates in at least min_docs different texts, with the smallest document."""
-    once = lines.groupBy(key, "body").agg(F.min("doc").alias("doc"))
-    return once.groupBy(key).agg(F.count(F.lit(1)).alias("texts"), F.min("doc").alias("first")).where(F.col("texts") >= min_docs).select(key, "first")
+def _recurring(lines: DataFrame, key: str, min_docs: Column) -> DataFrame:
+    """(key, first): templates in at least min_docs different texts, the least of their lines' figures, with the smallest document."""
+    once = lines.groupBy(key, "body").agg(F.min("doc").alias("doc"), F.min(min_docs).alias("need"))
+    all_ = once.groupBy(key).agg(F.count(F.lit(1)).alias("texts"), F.min("doc").alias("first"), F.min("need").alias("need"))
+    return all_.where(F.col("texts") >= F.col("need")).select(key, "first")
+
+
+def _needed(weight: Column, min_docs: int, min_tokens: int) -> Column:
+    """Different texts that a line of so many words has to stand in: the longer it is, the less is it alike by chance."""
+    few = F.when(weight > PASSAGE_TOKENS, min(2, min_docs)).when(weight > LONG_TOKENS, min(3, min_docs))
+    return few.when(weight >= min_tokens, min_docs).otherwise(max(SHORT_DOCS, min_docs))
 
 
 def _templates(members: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
@@ -117,18 +129,21 @@ def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SI
     """
     ensure_checkpoint_dir(docs.sparkSession)
     lines = docs.where("text is not null").select("doc", "body", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    lines = lines.withColumn("tokens", masked_tokens(F.col("line"))).where(F.size("tokens") >= min_tokens)
+    lines = lines.withColumn("tokens", masked_tokens(F.col("line"))).where(F.size("tokens") > 0)
+    # Scripts without spaces have no words to count: eight bytes (not quite three of their characters) are one.
+    lines = lines.withColumn("weight", F.greatest(F.size("tokens"), F.floor(F.octet_length(F.trim("line")) / 8)))
+    lines = lines.where((F.col("weight") >= min_tokens) | F.col("line").rlike(r"\p{L}"))
     masked = F.contains("line", F.lit(ANY)) | F.col("line").rlike("[0-9]")
     fixed = F.when(masked, F.size(F.filter("tokens", _is_word)) >= MIN_CONSTANTS).otherwise(True)
     same = F.when(fixed, F.xxhash64("tokens")).otherwise(F.xxhash64("line"))
-    leaf = F.when(fixed, F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
-    slim = lines.select("doc", "body", "at", same.alias("same"), leaf.alias("leaf")).checkpoint()
-    equal = _recurring(slim, "same", min_docs).checkpoint()
+    leaf = F.when(fixed & (F.size("tokens") >= min_tokens), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
+    slim = lines.select("doc", "body", "at", same.alias("same"), leaf.alias("leaf"), _needed(F.col("weight"), min_docs, min_tokens).cast("int").alias("need")).checkpoint()
+    equal = _recurring(slim, "same", F.col("need")).checkpoint()
     first_kind = slim.join(equal, "same").where(F.col("doc") > F.col("first")).select("doc", "body", "at")
 
     # Lines of leaves that enough texts share, with their tokens.
     rest = slim.where("leaf is not null").join(equal.select("same"), "same", "left_anti").select("doc", "body", "at", "leaf").checkpoint()
-    shared = _recurring(rest, "leaf", min_docs).select("leaf")
+    shared = _recurring(rest, "leaf", F.lit(min_docs)).select("leaf")
     wanted = rest.join(shared, "leaf").groupBy("doc", "body").agg(F.collect_set(F.struct("at", "leaf")).alias("wanted"))
     read = docs.join(wanted, ["doc", "body"]).withColumn("lines", F.split("text", "\n", -1)).select("doc", "body", "lines", F.explode("wanted").alias("w"))
     members = read.select("doc", "body", "w.at", "w.leaf", masked_tokens(F.get("lines", F.col("w.at"))).alias("tokens")).checkpoint()
@@ -136,7 +151,7 @@ def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SI
     # Generalised templates of each leaf.
     template = _templates(members, depth, similarity, min_docs)
     matched = members.join(template, "leaf").where(_matches(depth, similarity)).select("doc", "body", "at", "key").checkpoint()
-    general = _recurring(matched, "key", min_docs)
+    general = _recurring(matched, "key", F.lit(min_docs))
     second_kind = matched.join(general, "key").where(F.col("doc") > F.col("first")).select("doc", "body", "at")
     return first_kind.unionByName(second_kind)
 

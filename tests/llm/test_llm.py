@@ -397,6 +397,18 @@ def test_line_dedup_families_in_one_leaf(spark):
     assert [r.n_dropped for r in got] == [0] + [1] * 14 + [0] + [1] * 14 + [0] * 60 + [0] + [1] * 14
 
 
+def test_line_dedup_by_length(spark):
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    line = lambda n: " ".join(word() for _ in range(n))
+    shared = {2: line(60), 3: line(30), 9: line(10), 12: "这是一个没有空格的句子，每页都有。", 100: "Read more", 99: "Go on", 101: "17"}
+    made = [(i, "\n".join([line(6)] + [t for n, t in shared.items() if i < n])) for i in range(110)]
+    got = line_dedup.line_dedup(spark.createDataFrame(made, "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert got[0].text == made[0][1]
+    left = {n: sum(t in r.text.split("\n") for r in got) for n, t in shared.items()}
+    assert left == {2: 1, 3: 1, 9: 9, 12: 1, 100: 1, 99: 99, 101: 101}
+
+
 def test_toxicity(spark, docs, labels, rows, empty):
     rnd = random.Random(12)
     made, marks = [], []
