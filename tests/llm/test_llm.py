@@ -297,6 +297,21 @@ def test_wrapper_induction(spark):
     assert html.match(("a", (("b", ()), ("c", ()))), ("a", (("c", ()),))) == 2
 
 
+def test_wrappers_of_small_hosts_and_layouts(spark):
+    rows = []
+    for host in range(40):  # two pages each
+        for i in range(2):
+            rows.append((len(rows), f"http://h{host}.example/{i}", f"<body><div>Motto {host}</div><p>story {host} {i}</p></body>"))
+    for i in range(50):  # two layouts of 60 and 40 in a hundred, and a rare one of 3 pages
+        page = f"<body><div>Old motto</div><p>tale {i}</p></body>" if i % 5 < 3 else f"<body><section><div>New motto</div></section><div>Legal line</div><h2>tale {i}</h2></body>"
+        rows.append((len(rows), "http://two.example/x", page))
+    rows += [(len(rows) + i, "http://two.example/y", f"<body><table><tr><td>Rare motto<td>tale r{i}</table></body>") for i in range(3)]
+    rows += [(1000 + i, "http://copies.example/x", "<body><p>said once</p></body>") for i in range(3)]
+    got = html.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == len(rows) and not [r.text for r in got if "otto" in r.text or "Legal" in r.text]
+    assert all(r.text.startswith(("story", "tale", "said")) for r in got)
+
+
 def edit_distance(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p):
