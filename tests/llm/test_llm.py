@@ -312,6 +312,13 @@ def test_wrappers_of_small_hosts_and_layouts(spark):
     assert all(r.text.startswith(("story", "tale", "said")) for r in got)
 
 
+def test_wrapper_at_the_end_of_long_pages(spark):
+    make = lambda k, n: "<body>" + "".join(f"<div><p>row <i>{k}</i> of <b>{j}</b></p></div>" for j in range(n)) + "<div>Legal line</div></body>"
+    rows = [(i, "http://long.example/x", make(i, 900 if i % 4 else 2)) for i in range(12)]
+    got = html.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == 12 and all(r.text.count("\n") == (899 if r.page_id % 4 else 1) and "Legal" not in r.text for r in got)
+
+
 def edit_distance(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p):
