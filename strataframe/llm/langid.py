@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import fold_of, hash_below, mix64, sample_fraction
 
@@ -287,17 +288,16 @@ def train(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE, train_
         keep = F.when(F.col("lang") == lang, hash_below("doc_id", sample_fraction(rows[lang], docs_per_language))).otherwise(keep)
     clean = F.regexp_replace(F.lower("text"), _NOT_LETTERS, "")
     words = docs.where("text is not null").where(keep).select("lang", F.explode(F.split(clean, r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
-    top = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w", "lang").limit(train_words).collect()
-    pieces = Pieces(public_pieces(vocabulary))
-    index: dict[str, int] = {}
-    for r in top:
-        for p in parts_of(r["w"]):
-            index.setdefault(p, len(index))
-    counts = np.zeros((max(len(index), 1), len(langs)))
-    for r in top:
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
+    top = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", rank).where(F.col("rank") <= train_words)
+    by_lang: dict[str, dict[str, int]] = {lang: {} for lang in langs}
+    for r in top.orderBy("lang", "rank").select("lang", "w", "n").toLocalIterator():
         for p in parts_of(r["w"]):
-            counts[index[p], langs.index(r["lang"])] += r["n"]
-    table = fit(list(index) or ["▁"], counts, pieces)
+            by_lang[r["lang"]][p] = by_lang[r["lang"]].get(p, 0) + r["n"]
+    pieces = Pieces(public_pieces(vocabulary))
+    # Each language's column depends on its own words alone.
+    columns = [fit(list(found) or ["▁"], np.array([[n] for n in found.values()] or [[0]], float), pieces) for found in by_lang.values()]
+    table = np.concatenate(columns, axis=1)
     prior = np.array([rows[x] for x in langs], float)
     return langs, np.log(prior / prior.sum()), table
 

@@ -276,6 +276,15 @@ def test_substring_three_levels(spark):
     assert [r.n_removed for r in got.orderBy("doc_id").collect()] == [0] + [60] * 5
 
 
+def test_langid_rare_language_keeps_its_words(spark):
+    made = [(i, f"the house and the garden of the king number{'abcdefgh'[i % 8]} stood there", "en") for i in range(80)]
+    made += [(100 + i, "żółw śpiewa", "pl") for i in range(3)]
+    d = spark.createDataFrame(made, "doc_id bigint, text string, lang string")
+    langs, _, table = langid.train(d, train_words=8)
+    alone = langid.train(d.where("lang = 'pl'"), train_words=8)[2]
+    assert langs == ["en", "pl"] and np.allclose(table[:, 1], alone[:, 0]) and table[:, 1].max() > 10 * np.median(table[:, 1])
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>x</p>";</script></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>A &amp; B</h1><p>One<br>two   <b>three</b></p><p>Four<form><input><p>name</form></article>
 <aside>more</aside><div id="comments"><p>nice</p></div><footer>&copy;</footer></body></html>"""
