@@ -27,12 +27,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays, once, as do rows without an id."""
-    found = simhash.near_duplicates(docs)
-    keep = found.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    ids = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    kept = ids.join(keep, ids["doc_id"] == keep["kept_id"], "left_semi")
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each component one row stays, the one with the smallest id, then hash of its text; rows without an id come last."""
+    body = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    # Components are of texts, named by hashes: ids may be repeated or missing.
+    found = simhash.near_duplicates(docs.select(body.alias("doc_id"), "text"))
+    component = found.select(F.col("doc_id").alias("body"), "component_id").distinct()
+    # Rows of one text are combined before they meet their component.
+    first = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("kept_id"), F.col("body").alias("kept_body"))
+    texts = docs.select("doc_id", body.alias("body")).groupBy("body").agg(F.min(first).alias("first"))
+    keep = texts.join(component, "body").groupBy("component_id").agg(F.min("first").alias("first")).select("first.kept_id", "first.kept_body")
+    kept = docs.withColumn("_body", body).join(keep, (F.col("_body") == F.col("kept_body")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_body"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

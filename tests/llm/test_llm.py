@@ -457,6 +457,17 @@ def test_toxicity(spark, docs, labels, rows, empty):
     assert toxicity.score_toxicity(empty, labels.limit(0)).count() == 0
 
 
+def test_near_duplicates_stage_with_repeated_and_missing_ids(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(15)
+    a, b, c, d = (text_of(rnd, 200, 10**6) for _ in range(4))
+    made = [(1, a), (2, a), (5, a), (5, b), (5, b), (None, b), (None, c), (None, c), (7, d), (None, d), (9, None), (None, "")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(made, "doc_id bigint, text string"), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in got if r.text) == sorted([("1", a), ("5", b), ("None", c), ("7", d)])
+    assert [(r.doc_id, r.text) for r in got if not r.text] == [(9, None)]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
