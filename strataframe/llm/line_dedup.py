@@ -129,15 +129,17 @@ def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SI
     """
     ensure_checkpoint_dir(docs.sparkSession)
     lines = docs.where("text is not null").select("doc", "body", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    lines = lines.withColumn("tokens", masked_tokens(F.col("line"))).where(F.size("tokens") > 0)
+    lines = lines.where(F.trim("line") != "").withColumn("tokens", masked_tokens(F.col("line")))
     # Scripts without spaces have no words to count: eight bytes (not quite three of their characters) are one.
     lines = lines.withColumn("weight", F.greatest(F.size("tokens"), F.floor(F.octet_length(F.trim("line")) / 8)))
-    lines = lines.where((F.col("weight") >= min_tokens) | F.col("line").rlike(r"\p{L}"))
+    told = (F.col("weight") >= min_tokens) | F.col("line").rlike(r"\p{L}")
     masked = F.contains("line", F.lit(ANY)) | F.col("line").rlike("[0-9]")
     fixed = F.when(masked, F.size(F.filter("tokens", _is_word)) >= MIN_CONSTANTS).otherwise(True)
     same = F.when(fixed, F.xxhash64("tokens")).otherwise(F.xxhash64("line"))
     leaf = F.when(fixed & (F.size("tokens") >= min_tokens), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
-    slim = lines.select("doc", "body", "at", same.alias("same"), leaf.alias("leaf"), _needed(F.col("weight"), min_docs, min_tokens).cast("int").alias("need")).checkpoint()
+    need = F.when(told, _needed(F.col("weight"), min_docs, min_tokens)).cast("int")
+    # Rows without a need go after the checkpoint only: as a filter before it, the tokens would be made twice.
+    slim = lines.select("doc", "body", "at", same.alias("same"), leaf.alias("leaf"), need.alias("need")).checkpoint().where("need is not null")
     equal = _recurring(slim, "same", F.col("need")).checkpoint()
     first_kind = slim.join(equal, "same").where(F.col("doc") > F.col("first")).select("doc", "body", "at")
 
