@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,50 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "strataframe-checkpoints"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or the checkpoint folder that was set."""
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return root.rstrip("/")
+
+
+def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: columns of its own cost, no lineage. Removed when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bit_table(keys: DataFrame, bits: int = 22) -> DataFrame:
+    """(word, mask): a bit for the low ``bits`` bits of each 64-bit ``key``. At most 2^(bits-6) rows whatever the number of keys, so it may be broadcast."""
+    word = F.shiftright("key", 6).bitwiseAND(F.lit((1 << (bits - 6)) - 1))
+    return keys.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("mask"))
+
+
+def maybe_in(df: DataFrame, key: str, table: DataFrame, flag: str, bits: int = 22) -> DataFrame:
+    """df with the boolean column ``flag``: false where ``key`` is null or surely not among the keys of the bit table."""
+    word = F.shiftright(key, 6).bitwiseAND(F.lit((1 << (bits - 6)) - 1))
+    told = df.join(F.broadcast(table.select(F.col("word").alias("_word"), F.col("mask").alias("_mask"))), word == F.col("_word"), "left")
+    bit = F.expr(f"shiftrightunsigned(_mask, cast({key} & 63 as int)) & 1")
+    return told.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop("_word", "_mask")
+
+
+#: A key with this share of the rows is hot; there can be at most as many such keys.
+HOT_SHARE = 1000
+
+
+def join_by_weight(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of many rows to one row a key. ``weight`` of keyed is at most the number of rows of its key, and the weights sum
+    up to ``total`` or less, so at most ``HOT_SHARE`` keys weigh a thousandth of it: those are broadcast, the others exchanged."""
+    hot = F.col(weight) * HOT_SHARE >= F.lit(max(total, HOT_SHARE))
+    heavy = F.broadcast(keyed.where(hot))
+    light = rows.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti").join(keyed.where(~hot), on)
+    return rows.join(heavy, on).unionByName(light)
+
+
 def sample_fraction(rows: int, bound: int) -> float:
     return 1.0 if rows <= bound else bound / rows
 

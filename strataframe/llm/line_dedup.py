@@ -37,8 +37,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import ensure_checkpoint_dir, words_of
+from .common import bit_table, join_by_weight, maybe_in, saved, words_of
 
 DEPTH = 3
 SIMILARITY = 0.7
@@ -55,20 +56,18 @@ ANY = "<*>"
 
 
 def masked_tokens(line: Column) -> Column:
-    """Words of a line, those with a digit masked; lines without a digit, most of them, are only split."""
-    masked = F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", ANY)
-    return words_of(F.when(line.rlike("[0-9]"), masked).otherwise(line))
+    """Words of a line, those with a digit masked."""
+    return words_of(F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", ANY))
 
 
-def _is_word(token: Column) -> Column:
-    return (token != ANY) & token.rlike(r"\p{L}")
+def masked(line: Column) -> Column:
+    """The masked words joined by single spaces; most lines are so already and are only looked through."""
+    odd = line.rlike(r"[0-9\x09\x0B-\x0D]") | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(odd, F.array_join(masked_tokens(line), " ")).otherwise(line)
 
 
-def _recurring(lines: DataFrame, key: str, min_docs: Column) -> DataFrame:
-    """(key, first): templates in at least min_docs different texts, the least of their lines' figures, with the smallest document."""
-    once = lines.groupBy(key, "body").agg(F.min("doc").alias("doc"), F.min(min_docs).alias("need"))
-    all_ = once.groupBy(key).agg(F.count(F.lit(1)).alias("texts"), F.min("doc").alias("first"), F.min("need").alias("need"))
-    return all_.where(F.col("texts") >= F.col("need")).select(key, "first")
+def _is_word(token: Column) -> Column:
+    return (token != ANY) & token.rlike(r"\p{L}")
 
 
 def _needed(weight: Column, min_docs: int, min_tokens: int) -> Column:
@@ -77,26 +76,53 @@ def _needed(weight: Column, min_docs: int, min_tokens: int) -> Column:
     return few.when(weight >= min_tokens, min_docs).otherwise(max(SHORT_DOCS, min_docs))
 
 
-def _templates(members: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
-    """(leaf, key, template): generalised templates of the leaves; a variable field is an empty token, ANY is a place of digits."""
-    # Equal texts vote once.
-    places = members.select("leaf", "body", "tokens").distinct().select("leaf", "body", "tokens", F.posexplode("tokens").alias("place", "token"))
-    votes = places.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
+def _matched(members: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
+    """(doc, body, at, key): lines of members(doc, body, at, leaf, tokens) with each generalised template of their leaf that they belong to.
+
+    In a template a variable field is an empty token and ANY a place of digits.
+    """
+    # Equal texts vote once. A line is named by the hash of its tokens, which it loses where it is taken apart.
+    line = F.xxhash64("tokens").alias("line")
+    places = members.select("leaf", "body", line, "tokens").dropDuplicates(["leaf", "body", "line"])
+    places = places.select("leaf", "body", "line", F.posexplode("tokens").alias("place", "token"))
+    votes = places.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     best = votes.groupBy("leaf", "place").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
     best = best.select("leaf", "place", F.when(2 * F.col("top.n") >= F.col("all"), F.col("top.token")).otherwise("").alias("token"))
     most = best.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda p: p["token"]).alias("template"))
 
     # A line's patterns: its tokens that stand at their place in min_docs, 4 min_docs, 16 min_docs ... lines.
     often = votes.where(F.col("n") >= min_docs).select("leaf", "place", "token", F.floor(F.log(F.col("n") / min_docs + 1e-9) / math.log(4)).cast("int").alias("level"))
-    levelled = places.join(often, ["leaf", "place", "token"], "left")
-    levels = F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("level", F.lit(-1)).alias("level")))), lambda p: p["level"])
-    levelled = levelled.groupBy("leaf", "body", "tokens").agg(levels.alias("levels"))
-    each = levelled.select("leaf", "body", "tokens", "levels", F.explode(F.array_distinct("levels")).alias("from")).where("`from` >= 0")
-    pattern = F.zip_with("tokens", "levels", lambda token, level: F.when(level >= F.col("from"), token).otherwise(""))
+    levelled = places.join(often, ["leaf", "place", "token"], "left").withColumn("level", F.coalesce("level", F.lit(-1)))
+    levelled = levelled.groupBy("leaf", "body", "line").agg(F.sort_array(F.collect_list(F.struct("place", "token", "level"))).alias("at"))
+    each = levelled.select("leaf", "body", "at", F.explode(F.array_distinct(F.transform("at", lambda p: p["level"]))).alias("from")).where("`from` >= 0")
+    pattern = F.transform("at", lambda p: F.when(p["level"] >= F.col("from"), p["token"]).otherwise(""))
     patterns = each.select("leaf", "body", pattern.alias("template")).where(_telling(depth, similarity)).distinct()
     found = patterns.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs)
     all_ = most.where(_telling(depth, similarity)).unionByName(found.select("leaf", "template")).distinct()
-    return all_.select("leaf", F.xxhash64("leaf", "template").alias("key"), "template").checkpoint()
+
+    # The constants after the first depth tokens, which alone differ in a leaf, and how many of them a line has to have.
+    tail = F.filter(F.transform("template", lambda token, place: F.struct(place.alias("place"), token.alias("token"))), lambda p: (p["place"] >= depth) & _is_constant(p["token"]))
+    head = F.size(F.filter(F.slice("template", 1, depth), _is_constant))
+    of_all = F.ceil(similarity * F.size("template") - 1e-9) - head
+    of_tail = F.when(F.size("tail") >= MIN_CONSTANTS, F.ceil(similarity * F.size("tail") - 1e-9))
+    needed = F.greatest(F.lit(0), F.least(of_all, of_tail))
+    template = all_.withColumn("tail", tail).select("leaf", F.xxhash64("leaf", "template").alias("key"), "tail", needed.alias("needed"))
+    template = template.where("needed <= size(tail)").checkpoint()
+    # A template that asks for none takes all lines of its leaf, so one of them does.
+    whole = template.where("needed = 0").groupBy("leaf").agg(F.min("key").alias("key"))
+    any_line = members.join(whole, "leaf").select("doc", "body", "at", "key")
+    # A line that has enough of the constants has one of any (all - needed + 1) of them: the rarest are asked for.
+    asked = template.where("needed > 0").select("leaf", "key", (F.size("tail") - F.col("needed") + 1).alias("few"), F.explode("tail").alias("p"))
+    asked = asked.select("leaf", "key", "few", "p.place", "p.token")
+    rank = F.row_number().over(Window.partitionBy("leaf", "key").orderBy("n", "place"))
+    asked = asked.join(votes, ["leaf", "place", "token"]).withColumn("rank", rank).where("rank <= few")
+    distinct = members.select("leaf", line, "tokens").dropDuplicates(["leaf", "line"])
+    had = distinct.select("leaf", "line", F.posexplode("tokens").alias("place", "token")).where(F.col("place") >= depth)
+    pairs = had.join(asked.select("leaf", "key", "place", "token"), ["leaf", "place", "token"]).select("leaf", "line", "key").distinct()
+    hits = F.size(F.filter("tail", lambda p: F.get("tokens", p["place"]) == p["token"]))
+    fits = pairs.join(distinct, ["leaf", "line"]).join(template.select("leaf", "key", "tail", "needed"), ["leaf", "key"]).where(hits >= F.col("needed"))
+    some = members.select("doc", "body", "at", "leaf", line).join(fits.select("leaf", "line", "key"), ["leaf", "line"]).select("doc", "body", "at", "key")
+    return any_line.unionByName(some)
 
 
 def _telling(depth: int, similarity: float) -> Column:
@@ -108,53 +134,71 @@ def _telling(depth: int, similarity: float) -> Column:
     return (F.size(words) >= MIN_CONSTANTS) & ((constants >= similarity * F.size("template")) | ((2 * constants >= free) & (after >= MIN_CONSTANTS)))
 
 
-def _matches(depth: int, similarity: float) -> Column:
-    """Whether column tokens has enough of the constants of column template, of all tokens or of those after the first depth."""
-    hits = F.zip_with("tokens", "template", lambda a, b: (a == b) & _is_constant(b))
-    tail = lambda c: F.slice(c, depth + 1, 1 << 30)
-    after = F.size(F.filter(tail(F.col("template")), _is_constant))
-    share = F.size(F.filter(tail(hits), lambda hit: hit)) >= similarity * after
-    return (F.size(F.filter(hits, lambda hit: hit)) >= similarity * F.size("tokens")) | ((after >= MIN_CONSTANTS) & share)
-
-
 def _is_constant(token: Column) -> Column:
     return (token != ANY) & (token != "")
 
 
+def _lines(docs: DataFrame, depth: int, min_docs: int, min_tokens: int) -> DataFrame:
+    """doc, body, at, same (hash that equal lines share), leaf (null: none), need (different texts that make it recur; null: any number is too few)."""
+    lines = docs.where("text is not null").select("doc", "body", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    lines = lines.withColumn("norm", masked(F.col("line")))
+    lines = lines.withColumn("n", F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
+    # Scripts without spaces have no words to count: eight bytes (not quite three of their characters) are one.
+    lines = lines.withColumn("weight", F.greatest("n", F.floor(F.octet_length("norm") / 8)))
+    told = (F.col("norm") != "") & ((F.col("weight") >= min_tokens) | F.col("norm").rlike(r"\p{L}"))
+    words = F.size(F.filter(F.split("norm", " "), _is_word))
+    lines = lines.withColumn("fixed", F.when(F.contains("norm", F.lit(ANY)), words >= MIN_CONSTANTS).otherwise(True))
+    return lines.select(
+        "doc",
+        "body",
+        "at",
+        F.when(F.col("fixed"), F.xxhash64("norm")).otherwise(F.xxhash64("line")).alias("same"),
+        F.when(F.col("fixed") & (F.col("n") >= min_tokens), F.xxhash64("n", F.substring_index("norm", " ", depth))).alias("leaf"),
+        F.when(told, _needed(F.col("weight"), min_docs, min_tokens)).cast("int").alias("need"),
+    )
+
+
+def _read_again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(doc, body, at, leaf) with the masked tokens of its lines. Only texts that a bit table cannot rule out are exchanged."""
+    per_text = wanted.groupBy("doc", "body").agg(F.collect_set(F.struct("at", "leaf")).alias("wanted"))
+    texts = maybe_in(docs, "body", bit_table(per_text.select(F.col("body").alias("key"))), "may").where("may").drop("may")
+    read = texts.join(per_text, ["doc", "body"]).withColumn("lines", F.split("text", "\n", -1)).select("doc", "body", "lines", F.explode("wanted").alias("w"))
+    return read.select("doc", "body", "w.at", "w.leaf", masked_tokens(F.get("lines", F.col("w.at"))).alias("tokens"))
+
+
 def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc, body, at): lines to drop, by document, hash of its text and number of the line. docs(doc, body, text).
 
-    Only hashes of lines travel; the tokens are read again for lines of leaves that enough texts share. Each step's
-    small result is written to the checkpoint folder, so that nothing is made twice.
+    Only hashes of lines are counted and travel; words are read again for lines of leaves that enough texts share.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    lines = docs.where("text is not null").select("doc", "body", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    lines = lines.where(F.trim("line") != "").withColumn("tokens", masked_tokens(F.col("line")))
-    # Scripts without spaces have no words to count: eight bytes (not quite three of their characters) are one.
-    lines = lines.withColumn("weight", F.greatest(F.size("tokens"), F.floor(F.octet_length(F.trim("line")) / 8)))
-    told = (F.col("weight") >= min_tokens) | F.col("line").rlike(r"\p{L}")
-    masked = F.contains("line", F.lit(ANY)) | F.col("line").rlike("[0-9]")
-    fixed = F.when(masked, F.size(F.filter("tokens", _is_word)) >= MIN_CONSTANTS).otherwise(True)
-    same = F.when(fixed, F.xxhash64("tokens")).otherwise(F.xxhash64("line"))
-    leaf = F.when(fixed & (F.size("tokens") >= min_tokens), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
-    need = F.when(told, _needed(F.col("weight"), min_docs, min_tokens)).cast("int")
-    # Rows without a need go after the checkpoint only: as a filter before it, the tokens would be made twice.
-    slim = lines.select("doc", "body", "at", same.alias("same"), leaf.alias("leaf"), need.alias("need")).checkpoint().where("need is not null")
-    equal = _recurring(slim, "same", F.col("need")).checkpoint()
-    first_kind = slim.join(equal, "same").where(F.col("doc") > F.col("first")).select("doc", "body", "at")
-
-    # Lines of leaves that enough texts share, with their tokens.
-    rest = slim.where("leaf is not null").join(equal.select("same"), "same", "left_anti").select("doc", "body", "at", "leaf").checkpoint()
-    shared = _recurring(rest, "leaf", F.lit(min_docs)).select("leaf")
-    wanted = rest.join(shared, "leaf").groupBy("doc", "body").agg(F.collect_set(F.struct("at", "leaf")).alias("wanted"))
-    read = docs.join(wanted, ["doc", "body"]).withColumn("lines", F.split("text", "\n", -1)).select("doc", "body", "lines", F.explode("wanted").alias("w"))
-    members = read.select("doc", "body", "w.at", "w.leaf", masked_tokens(F.get("lines", F.col("w.at"))).alias("tokens")).checkpoint()
-
-    # Generalised templates of each leaf.
-    template = _templates(members, depth, similarity, min_docs)
-    matched = members.join(template, "leaf").where(_matches(depth, similarity)).select("doc", "body", "at", "key").checkpoint()
-    general = _recurring(matched, "key", F.lit(min_docs))
-    second_kind = matched.join(general, "key").where(F.col("doc") > F.col("first")).select("doc", "body", "at")
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("same", "leaf")}
+    lines = saved(_lines(docs, depth, min_docs, min_tokens), "lines", **plain).where("need is not null")
+    # (line, text), then line: what many texts share is combined before it is exchanged.
+    once = lines.groupBy("same", "body").agg(F.min("doc").alias("doc"), F.min("need").alias("need"), F.min("leaf").alias("leaf"))
+    each = once.groupBy("same").agg(F.count(F.lit(1)).alias("texts"), F.min("doc").alias("first"), F.min("need").alias("need"), F.min("leaf").alias("leaf"))
+    equal = F.col("texts") >= F.col("need")
+    # Lines that recur by themselves, and leaves whose other lines may (a text counts once for each of its lines here).
+    keyed = each.select(equal.alias("equal"), F.when(equal, F.col("same")).otherwise(F.col("leaf")).alias("key"), "texts", "first")
+    found = keyed.groupBy("equal", "key").agg(F.sum("texts").alias("texts"), F.min("first").alias("first"))
+    found = found.where((F.col("equal") | (F.col("texts") >= min_docs)) & F.col("key").isNotNull()).checkpoint()
+    lots = {r["equal"]: r["n"] for r in found.groupBy("equal").agg(F.sum("texts").alias("n")).collect()}
+    equal = found.where("equal").select(F.col("key").alias("same"), "texts", "first")
+    leaves = found.where("not equal").select(F.col("key").alias("leaf"), "texts")
+
+    told = maybe_in(lines, "same", bit_table(found.where("equal")), "may_recur")
+    told = maybe_in(told, "leaf", bit_table(found.where("not equal")), "may_share")
+    told = told.where("may_recur or may_share").select("doc", "body", "at", "same", "may_recur", F.when(F.col("may_share"), F.col("leaf")).alias("leaf")).checkpoint()
+    first_kind = join_by_weight(told.where("may_recur").select("doc", "body", "at", "same"), equal, ["same"], "texts", lots.get(True, 0))
+    first_kind = first_kind.where("doc > first").select("doc", "body", "at")
+
+    # Lines of leaves that enough texts share, with their words.
+    rest = told.where("leaf is not null").join(equal.select("same"), "same", "left_anti").select("doc", "body", "at", "leaf")
+    wanted = join_by_weight(rest, leaves, ["leaf"], "texts", lots.get(False, 0)).select("doc", "body", "at", "leaf").checkpoint()
+    matched = _matched(_read_again(docs, wanted).checkpoint(), depth, similarity, min_docs).checkpoint()
+    texts = matched.groupBy("key", "body").agg(F.min("doc").alias("doc")).groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min("doc").alias("first"))
+    general = texts.where(F.col("texts") >= min_docs).checkpoint()
+    lots = general.agg(F.sum("texts")).first()[0] or 0
+    second_kind = join_by_weight(matched, general, ["key"], "texts", lots).where("doc > first").select("doc", "body", "at")
     return first_kind.unionByName(second_kind)
 
 
