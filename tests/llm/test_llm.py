@@ -295,15 +295,112 @@ def test_extract():
     assert html.extract(None) == html.extract("") == ""
     assert html.extract("<p>plain<p>text") == "plain\ntext"
     assert html.extract("<div>a<!-- <p>no</p> -->b</div><script>x") == "ab"
+    assert html.extract("<main><p>a</p></main><div><p>second half of the story</p></div>") == "a\nsecond half of the story"
+    assert html.extract("<article><div class=related>kept</div><div class=ad>no</div><p>a</p></article><div class=related>no</div>") == "kept\na"
+    assert html.extract("a<hr>b<wbr>c < d <!-- e") == "a\nbc < d"
+    assert html.extract("<p>a</p><button>b<p>c</p>") == "a\nb\nc"
+
+
+def test_odd_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 350_000, "<a \"" * 200_000 + ">", "<div>" * 60_000 + "x", "<button>" * 60_000, "</p><b>" * 60_000, "<!--" * 250_000, "<p title='" * 100_000 + "<p>x"):
+        began = time.time()
+        html.extract(page)
+        assert time.time() - began < 5
+
+
+def random_tree(rnd, size, texts):
+    t = html.Tree()
+    t.add("#root", -1)
+    open_ = [0]
+    while len(t.tag) < size:
+        up = rnd.choice(open_[-3:])
+        while open_[-1] != up:
+            open_.pop()
+        if rnd.random() < 0.5:
+            t.add("#", up, rnd.randrange(1, texts))
+        else:
+            open_.append(t.add(rnd.choice(["div", "p"]), up))
+    return t.finish()
+
+
+def brute_weight(a, i, b, j):
+    if a.tag[i] != b.tag[j]:
+        return 0
+    x, y = a.kids[i], b.kids[j]
+    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for r, p in enumerate(x, 1):
+        for c, q in enumerate(y, 1):
+            m[r][c] = max(m[r - 1][c], m[r][c - 1], m[r - 1][c - 1] + brute_weight(a, p, b, q))
+    return 1 + m[-1][-1] + (a.tag[i] == "#" and a.text[i] == b.text[j])
+
+
+def test_tree_matching_against_brute_force(monkeypatch):
+    rnd = random.Random(16)
+    for cells in (10**6, 6):  # whole tables, and tables in halves
+        monkeypatch.setattr(html, "CELLS", cells)
+        for _ in range(150):
+            texts = rnd.choice([3, 8, 100])
+            a, b = random_tree(rnd, rnd.randrange(1, 25), texts), random_tree(rnd, rnd.randrange(1, 25), texts)
+            pairs = html.match(a, b)
+            best = brute_weight(a, 0, b, 0)
+            assert html.Matching(a, b).weight(0, 0) == best
+            assert sum(1 + (a.tag[i] == "#" and a.text[i] == b.text[j]) for i, j in pairs) == best
+            of = dict(pairs)
+            assert len(of) == len(pairs) == len(set(of.values())) and of[0] == 0
+            for i, j in pairs:
+                assert a.tag[i] == b.tag[j] and (i == 0 or of[a.up[i]] == b.up[j])
+            order = sorted(pairs)
+            assert all(p[1] < q[1] for p, q in zip(order, order[1:], strict=False))  # page order is kept
 
 
 def test_wrapper_induction(spark):
     make = lambda k: f"<body><div><p>Our motto</p></div><div><p>story {k}</p><p>body {k * 7}</p></div></body>"
-    rows = [(i, "http://a.example/x", make(i)) for i in range(20)] + [(50, None, None), (51, "nonsense", "<p>x</p>"), (3, "http://a.example/x", make(3))]
+    rows = [(i, "http://a.example/x", make(i), "h") for i in range(20)] + [(50, None, None, "h"), (51, "nonsense", "<p>x</p>", "h"), (3, "http://a.example/x", make(3), None), (3, "http://a.example/x", make(99), "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string")
+    for most in (10**6, 0):  # templates sent to the workers, or joined
+        got = html.extract_pages(df, broadcast_bytes=most).collect()
+        by = {r.page_id: r.text for r in got}
+        assert len(got) == 24 and by[4] == "story 4\nbody 28" and by[50] == "" and by[51] == "x"
+        assert sorted(r.text for r in got if r.page_id == 3) == ["story 3\nbody 21"] * 2 + ["story 99\nbody 693"]
+        assert all(r.n_chars == len(r.text) for r in got)
+    assert html.extract_pages(df.limit(0)).count() == 0
+    assert html.extract_pages(df.where("html is null")).collect()[0].text == ""
+
+
+def blind(page):
+    """Without class names and with divs for article and main."""
+    import re
+
+    return re.sub(r"<(/?)(?:article|main|nav|footer|header|aside)\b", r"<\1div", re.sub(r' class="[^"]*"', "", page))
+
+
+def test_template_decides_without_marks(spark):
+    rnd = random.Random(17)
+
+    def make(k):
+        story = "".join(f"<p>{text_of(rnd, 12, 10**6)}</p>" for _ in range(rnd.randrange(1, 6)))
+        return (
+            f'<body><header>Site name</header><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">World</a></li></ul></nav><div class="ad">Buy now</div>'
+            f'<article><h1>{text_of(rnd, 5, 10**6)}</h1>{story}<div class="share">Share this</div></article><aside>All rights reserved</aside><footer>About us</footer></body>'
+        )
+
+    pages = [make(k) for k in range(24)]
+    rows = [(i, "http://one.example/x", p) for i, p in enumerate(pages)] + [(100 + i, "http://two.example/x", blind(p)) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    import re
+
+    for i, p in enumerate(pages):
+        want = "\n".join(re.findall(r"<(?:h1|p)>(.*?)</", p))
+        assert got[i] == want and got[100 + i] == want
+
+
+def test_repeated_passages_of_articles_stay(spark):
+    rows = [(i, "http://one.example/x", f"<body><article><h1>title {i}</h1><p>A passage that some pages share.</p><p>own words {i}</p></article></body>") for i in range(3)]
+    rows += [(3 + i, "http://one.example/x", f"<body><article><h1>title {3 + i}</h1><p>other words {i}</p></article></body>") for i in range(4)]
     got = html.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
-    by = {r.page_id: r.text for r in got}
-    assert len(got) == 23 and by[4] == "story 4\nbody 28" and by[50] == "" and by[51] == "x"
-    assert html.match(("a", (("b", ()), ("c", ()))), ("a", (("c", ()),))) == 2
+    assert sum("A passage" in r.text for r in got) == 3
 
 
 def test_wrappers_of_small_hosts_and_layouts(spark):
