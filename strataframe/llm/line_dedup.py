@@ -81,32 +81,46 @@ def _matched(members: DataFrame, depth: int, similarity: float, min_docs: int) -
 
     In a template a variable field is an empty token and ANY a place of digits.
     """
-    # Equal texts vote once. A line is named by the hash of its tokens, which it loses where it is taken apart.
-    line = F.xxhash64("tokens").alias("line")
-    places = members.select("leaf", "body", line, "tokens").dropDuplicates(["leaf", "body", "line"])
-    places = places.select("leaf", "body", "line", F.posexplode("tokens").alias("place", "token"))
-    votes = places.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    # Lines are named by the hash of their tokens, which they lose where they are taken apart. Equal texts vote once.
+    members = members.withColumn("line", F.xxhash64("tokens"))
+    lines = members.groupBy("leaf", "line", "body").agg(F.first("tokens").alias("tokens")).groupBy("leaf", "line")
+    lines = lines.agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("texts")).checkpoint()
+    places = lines.select("leaf", "line", "texts", F.posexplode("tokens").alias("place", "token"))
+    votes = places.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n"))
+    # Levels of frequency: tokens that stand at their place in min_docs, 4 min_docs, 16 min_docs ... lines; -1 for fewer.
+    level = F.when(F.col("n") >= min_docs, F.floor(F.log(F.col("n") / min_docs + 1e-9) / math.log(4)).cast("int")).otherwise(-1)
+    votes = votes.withColumn("level", level).checkpoint()
     best = votes.groupBy("leaf", "place").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
     best = best.select("leaf", "place", F.when(2 * F.col("top.n") >= F.col("all"), F.col("top.token")).otherwise("").alias("token"))
     most = best.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda p: p["token"]).alias("template"))
 
-    # A line's patterns: its tokens that stand at their place in min_docs, 4 min_docs, 16 min_docs ... lines.
-    often = votes.where(F.col("n") >= min_docs).select("leaf", "place", "token", F.floor(F.log(F.col("n") / min_docs + 1e-9) / math.log(4)).cast("int").alias("level"))
-    levelled = places.join(often, ["leaf", "place", "token"], "left").withColumn("level", F.coalesce("level", F.lit(-1)))
-    levelled = levelled.groupBy("leaf", "body", "line").agg(F.sort_array(F.collect_list(F.struct("place", "token", "level"))).alias("at"))
-    each = levelled.select("leaf", "body", "at", F.explode(F.array_distinct(F.transform("at", lambda p: p["level"]))).alias("from")).where("`from` >= 0")
-    pattern = F.transform("at", lambda p: F.when(p["level"] >= F.col("from"), p["token"]).otherwise(""))
-    patterns = each.select("leaf", "body", pattern.alias("template")).where(_telling(depth, similarity)).distinct()
-    found = patterns.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs)
+    # A line's patterns: its tokens of a level or above. Lines of one pattern are a family.
+    levelled = places.join(votes.where("level >= 0").select("leaf", "place", "token", "level"), ["leaf", "place", "token"], "left")
+    # The only token of a level or the next at a place: where a line has another one there, its family has this one.
+    near = votes.where("level >= 0").select("leaf", "place", "token", F.explode(F.array("level", F.col("level") - 1)).alias("level"))
+    near = near.groupBy("leaf", "place", "level").agg(F.count(F.lit(1)).alias("n"), F.min("token").alias("token")).where("n = 1 and level >= 0")
+    fill = near.groupBy("leaf", "place").agg(F.map_from_entries(F.collect_list(F.struct("level", "token"))).alias("fill"))
+    levelled = levelled.withColumn("level", F.coalesce("level", F.lit(-1))).join(fill, ["leaf", "place"], "left")
+    levelled = levelled.groupBy("leaf", "line", "texts").agg(F.collect_list(F.struct("place", "token", "level", "fill")).alias("at"))
+    in_order = F.array_sort("at", lambda a, b: a["place"] - b["place"])
+    levelled = levelled.withColumn("at", in_order)
+    each = levelled.select("leaf", "line", "texts", "at", F.explode(F.array_distinct(F.transform("at", lambda p: p["level"]))).alias("from")).where("`from` >= 0")
+    each = each.withColumn("template", F.transform("at", lambda p: F.when(p["level"] >= F.col("from"), p["token"]).otherwise(""))).where(_telling(depth, similarity))
+    filled = F.transform("at", lambda p: F.when(p["level"] >= F.col("from"), p["token"]).otherwise(F.coalesce(F.element_at(p["fill"], F.col("from")), F.lit(""))))
+    each = each.select("leaf", "line", "texts", "template", filled.alias("filled")).checkpoint()
+    families = each.select("leaf", "line", F.xxhash64(F.lit(1), "leaf", "template").alias("key")).distinct()
+    own = members.join(families, ["leaf", "line"]).select("doc", "body", "at", "key")
+
+    # Templates that take similar lines, too: what most lines of a leaf have, and patterns filled up.
+    found = each.groupBy("leaf", F.col("filled").alias("template")).agg(F.sum("texts").alias("texts")).where(F.col("texts") >= min_docs)
     all_ = most.where(_telling(depth, similarity)).unionByName(found.select("leaf", "template")).distinct()
-
     # The constants after the first depth tokens, which alone differ in a leaf, and how many of them a line has to have.
     tail = F.filter(F.transform("template", lambda token, place: F.struct(place.alias("place"), token.alias("token"))), lambda p: (p["place"] >= depth) & _is_constant(p["token"]))
     head = F.size(F.filter(F.slice("template", 1, depth), _is_constant))
     of_all = F.ceil(similarity * F.size("template") - 1e-9) - head
     of_tail = F.when(F.size("tail") >= MIN_CONSTANTS, F.ceil(similarity * F.size("tail") - 1e-9))
     needed = F.greatest(F.lit(0), F.least(of_all, of_tail))
-    template = all_.withColumn("tail", tail).select("leaf", F.xxhash64("leaf", "template").alias("key"), "tail", needed.alias("needed"))
+    template = all_.withColumn("tail", tail).select("leaf", F.xxhash64(F.lit(2), "leaf", "template").alias("key"), "tail", needed.alias("needed"))
     template = template.where("needed <= size(tail)").checkpoint()
     # A template that asks for none takes all lines of its leaf, so one of them does.
     whole = template.where("needed = 0").groupBy("leaf").agg(F.min("key").alias("key"))
@@ -116,13 +130,12 @@ def _matched(members: DataFrame, depth: int, similarity: float, min_docs: int) -
     asked = asked.select("leaf", "key", "few", "p.place", "p.token")
     rank = F.row_number().over(Window.partitionBy("leaf", "key").orderBy("n", "place"))
     asked = asked.join(votes, ["leaf", "place", "token"]).withColumn("rank", rank).where("rank <= few")
-    distinct = members.select("leaf", line, "tokens").dropDuplicates(["leaf", "line"])
-    had = distinct.select("leaf", "line", F.posexplode("tokens").alias("place", "token")).where(F.col("place") >= depth)
+    had = places.where(F.col("place") >= depth).select("leaf", "line", "place", "token")
     pairs = had.join(asked.select("leaf", "key", "place", "token"), ["leaf", "place", "token"]).select("leaf", "line", "key").distinct()
     hits = F.size(F.filter("tail", lambda p: F.get("tokens", p["place"]) == p["token"]))
-    fits = pairs.join(distinct, ["leaf", "line"]).join(template.select("leaf", "key", "tail", "needed"), ["leaf", "key"]).where(hits >= F.col("needed"))
-    some = members.select("doc", "body", "at", "leaf", line).join(fits.select("leaf", "line", "key"), ["leaf", "line"]).select("doc", "body", "at", "key")
-    return any_line.unionByName(some)
+    fits = pairs.join(lines, ["leaf", "line"]).join(template.select("leaf", "key", "tail", "needed"), ["leaf", "key"]).where(hits >= F.col("needed"))
+    some = members.join(fits.select("leaf", "line", "key"), ["leaf", "line"]).select("doc", "body", "at", "key")
+    return own.unionByName(any_line).unionByName(some)
 
 
 def _telling(depth: int, similarity: float) -> Column:
