@@ -146,17 +146,105 @@ def ranges(codes: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def in_codes(column: Column, codes: list[int]) -> Column:
-    """Membership: a few ranges, each of which can be pushed to the scan, or one set where there would be many."""
-    runs = ranges(codes)
-    if len(runs) > 4:
-        return column.isin(codes)
+def _spread(x: int, y: int, bits: int) -> int:
+    return sum((x >> b & 1) << (2 * b + 1) | (y >> b & 1) << (2 * b) for b in range(bits))
+
+
+def _z_ranges(level: int, x0: int, y0: int, x1: int, y1: int, limit: int) -> list[tuple[int, int]]:
+    """Runs of Z-order numbers that hold all cells of a rectangle of cells: exact ones while at most ``limit`` squares are cut by its border, then whole squares."""
+    out, todo, left = [], [(0, 0)], level  # squares of 2^left cells a side
+    while todo:
+        size, partial = 1 << left, []
+        for x, y in todo:
+            if x > x1 or y > y1 or x + size <= x0 or y + size <= y0:
+                continue
+            start = _spread(x, y, level)
+            if (x >= x0 and y >= y0 and x + size - 1 <= x1 and y + size - 1 <= y1) or not left:
+                out.append((start, start + size * size - 1))
+            else:
+                partial.append((x, y))
+        if len(partial) > limit:
+            out += [(s, s + size * size - 1) for s in (_spread(x, y, level) for x, y in partial)]
+            break
+        left -= 1
+        half = 1 << left if left >= 0 else 0
+        todo = [(x + dx, y + dy) for x, y in partial for dx in (0, half) for dy in (0, half)]
+    return out
+
+
+def _joined(runs: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Runs in order, neighbours joined, then the smallest gaps closed until there are few enough: more codes, never fewer."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    if len(out) > most:
+        gaps = sorted(range(1, len(out)), key=lambda k: (out[k][0] - out[k - 1][1], k))
+        closed = set(gaps[: len(out) - most])
+        few: list[tuple[int, int]] = []
+        for k, (a, b) in enumerate(out):
+            if k in closed:
+                few[-1] = (few[-1][0], b)
+            else:
+                few.append((a, b))
+        out = few
+    return out
+
+
+MAX_RANGES = 64
+
+
+def zorder_ranges(box, extent, level: int, *, limit: int = 16, most: int = MAX_RANGES) -> list[tuple[int, int]]:
+    """Runs of codes that hold every cell, of all levels, that meets the box; made without listing cells. What reaches over the extent counts to its border cells."""
+    out = []
+    for lv in range(level + 1):
+        n = 1 << lv
+        w, h = (extent[2] - extent[0]) / n, (extent[3] - extent[1]) / n
+        held = lambda v, n=n: max(0, min(n - 1, v))
+        x0, y0 = held(math.ceil((box[0] - extent[0]) / w) - 1), held(math.ceil((box[1] - extent[1]) / h) - 1)
+        x1, y1 = held(math.floor((box[2] - extent[0]) / w)), held(math.floor((box[3] - extent[1]) / h))
+        out += [(cells_before(lv) + a, cells_before(lv) + b) for a, b in _z_ranges(lv, x0, y0, x1, y1, limit)]
+    return _joined(out, most)
+
+
+def xzorder_ranges(box, extent, level: int, *, limit: int = 16, most: int = MAX_RANGES) -> list[tuple[int, int]]:
+    """Runs of codes whose doubled cell may hold a feature that meets the box."""
+    out = []
+    for lv in range(level + 1):
+        n = 1 << lv
+        w, h = (extent[2] - extent[0]) / n, (extent[3] - extent[1]) / n
+        held = lambda v, n=n: max(0, min(n - 1, v))
+        x0, y0 = max(0, held(math.ceil((box[0] - extent[0]) / w) - 1) - 1), max(0, held(math.ceil((box[1] - extent[1]) / h) - 1) - 1)
+        x1, y1 = held(math.floor((box[2] - extent[0]) / w)), held(math.floor((box[3] - extent[1]) / h))
+        out += [(cells_before(lv) + a, cells_before(lv) + b) for a, b in _z_ranges(lv, x0, y0, x1, y1, limit)]
+    return _joined(out, most)
+
+
+def in_ranges(column: Column, runs: list[tuple[int, int]]) -> Column:
+    """Membership in one of a few runs, each of which can be pushed to the scan."""
     out = F.lit(False)
     for a, b in runs:
-        out = out | column.between(a, b) if a != b else out | (column == a)
+        out = out | (column.between(a, b) if a != b else column == a)
     return out
 
 
+def in_codes(column: Column, codes: list[int]) -> Column:
+    """Membership in a list of codes."""
+    return in_ranges(column, _joined([(c, c) for c in codes], MAX_RANGES)) & column.isin(codes)
+
+
+def code_bounds(code: Column, extent: tuple[float, float, float, float], level: int) -> Rect:
+    """Box of each cell code up to a level, as Columns."""
+    lv = sum((F.when(code >= cells_before(k), 1).otherwise(0) for k in range(1, level + 1)), F.lit(0))
+    n = F.pow(F.lit(2.0), lv)
+    z = (code - ((n * n - 1) / 3)).cast("bigint")
+    bits = lambda first: sum((F.shiftright(z, 2 * b + first).bitwiseAND(F.lit(1)) * (1 << b) for b in range(level)), F.lit(0))
+    cx, cy, w, h = bits(1), bits(0), (extent[2] - extent[0]) / n, (extent[3] - extent[1]) / n
+    return Rect(extent[0] + cx * w, extent[1] + cy * h, extent[0] + (cx + 1) * w, extent[1] + (cy + 1) * h)
+
+
 def quad_key(r: Rect, extent: tuple[float, float, float, float], level: int) -> Column:
     """Path of quadrants, "1" bits for right and upper, down to the deepest cell that covers the rectangle."""
     out = F.lit("")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,6 +58,11 @@ def map_points(parts: Column, f) -> Column:
     return F.transform(parts, lambda a: F.transform(a, lambda r: F.transform(r, one)))
 
 
+def with_bounds(df: DataFrame) -> DataFrame:
+    """df(fid, gtype, parts, ...) with its box as minx, miny, maxx, maxy."""
+    return df.withColumn("_b", bounds(F.col("parts"))).select(*df.columns, "_b.minx", "_b.miny", "_b.maxx", "_b.maxy")
+
+
 def from_vertices(df: DataFrame, gtype: int, keys: tuple[str, ...] = ("fid",)) -> DataFrame:
     """One row a feature from one row a vertex (seq, x, y): a single line or ring."""
     line = F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
@@ -77,32 +84,33 @@ def explode_vertices(df: DataFrame) -> DataFrame:
 # --- thinning: plain functions, used in Arrow batches -------------------------------
 
 
-def thin_line(points: list[tuple[float, float]], dis2: float, max_angle: float = 180.0) -> list[tuple[float, float]]:
-    """Drops a vertex that is nearer than sqrt(dis2) to the last kept one and turns by less than 180 - max_angle degrees."""
-    import math
+def _turn(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float]) -> tuple[float, float]:
+    """(cross, dot) of the two sides seen from b: the angle at b is 180 degrees where cross is 0 and dot negative."""
+    (ax, ay), (bx, by), (cx, cy) = a, b, c
+    return (ax - bx) * (cy - by) - (ay - by) * (cx - bx), (ax - bx) * (cx - bx) + (ay - by) * (cy - by)
+
 
+def thin_line(points: list[tuple[float, float]], dis2: float, max_angle: float = 180.0) -> list[tuple[float, float]]:
+    """Keeps a vertex that is farther than sqrt(dis2) from the last kept one, or at which the line has an angle of less than max_angle degrees."""
     if len(points) <= 2:
         return list(points)
     out = [points[0]]
-    for i in range(1, len(points) - 1):
-        (px, py), (x, y), (nx, ny) = out[-1], points[i], points[i + 1]
-        far = (x - px) ** 2 + (y - py) ** 2 >= dis2
-        a, b = math.hypot(px - x, py - y), math.hypot(nx - x, ny - y)
-        c = 1.0 if not a or not b else ((px - x) * (nx - x) + (py - y) * (ny - y)) / (a * b)
-        sharp = math.degrees(math.acos(max(-1.0, min(1.0, c)))) < max_angle and a > 0
-        if far or (sharp and max_angle < 180):
-            out.append(points[i])
+    for p, after in zip(points[1:-1], points[2:], strict=True):
+        far = (p[0] - out[-1][0]) ** 2 + (p[1] - out[-1][1]) ** 2 > dis2
+        cross, dot = _turn(out[-1], p, after)
+        if far or ((cross or dot) and math.degrees(math.atan2(abs(cross), dot)) < max_angle):
+            out.append(p)
     out.append(points[-1])
     return out
 
 
 def slim_line(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Drops vertices that lie exactly on the line between their neighbours."""
+    """Drops vertices at which the line goes straight on, and repeated ones; the tip of a spike stays."""
     out = list(points[:1])
-    for i in range(1, len(points) - 1):
-        (ax, ay), (bx, by), (cx, cy) = out[-1], points[i], points[i + 1]
-        if (bx - ax) * (cy - ay) != (by - ay) * (cx - ax):
-            out.append(points[i])
+    for p, after in zip(points[1:-1], points[2:], strict=True):
+        cross, dot = _turn(out[-1], p, after)
+        if cross != 0 or dot > 0:
+            out.append(p)
     return out + list(points[-1:] if len(points) > 1 else [])
 
 

@@ -4,8 +4,8 @@
 
 Operators are >= <= != = > <, joined by and / or (any case, and binds first) and
 brackets. The column's type decides: strings compare without case and know
-only = and !=; doubles count as equal within 1e-9; booleans know = and !=;
-timestamps and integers all six. A literal that cannot be cast counts as the
+only = and !=; doubles count as equal within 1e-9; booleans and bytes know = and !=;
+dates, timestamps, decimals and integers all six; other types are refused. A literal that cannot be cast counts as the
 type's zero value.
 """
 
@@ -39,14 +39,22 @@ def literal(text: str, kind: T.DataType) -> Column:
         text = text[1:-1]
     if isinstance(kind, T.StringType):
         return F.lit(text)
-    zero = {T.BooleanType: F.lit(False), T.TimestampType: F.lit("1970-01-01").cast(kind), T.TimestampNTZType: F.lit("1970-01-01").cast(kind)}
+    zero = {
+        T.BooleanType: F.lit(False),
+        T.DateType: F.lit("1970-01-01"),
+        T.TimestampType: F.lit("1970-01-01"),
+        T.TimestampNTZType: F.lit("1970-01-01"),
+        T.BinaryType: F.lit(""),
+    }
     return F.coalesce(F.lit(text).try_cast(kind), zero.get(type(kind), F.lit(0)).cast(kind))
 
 
 def compare(column: Column, op: str, text: str, kind: T.DataType) -> Column:
-    value = literal(text, kind)
-    if isinstance(kind, (T.StringType, T.BooleanType)) and op not in ("=", "!="):
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        raise ValueError(f"no comparison is defined for {kind.simpleString()}")
+    if isinstance(kind, (T.StringType, T.BooleanType, T.BinaryType)) and op not in ("=", "!="):
         raise ValueError(f"{op} is not defined for {kind.simpleString()}")
+    value = literal(text, kind)
     if isinstance(kind, T.StringType):
         column, value = F.lower(column), F.lower(value)
     if isinstance(kind, (T.DoubleType, T.FloatType)) and op in ("=", "!="):

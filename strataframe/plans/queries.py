@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 
 from ..functions import cells, crs, geometry
 from ..functions.rect import Rect
-from ..functions.segment import Segment, angle, cross, distance2
+from ..functions.segment import Segment, angle, cross, distance2, ring_contains
 from ..operators import join, query, themes, tiles
+from ..operators.batches import slices
 from ..operators.where import where
 from .fixtures import cte, view
 
@@ -94,12 +95,22 @@ def where_time_le(o):
 
 
 @register(
-    ("events",),
-    "select event_id, coalesce(try_cast(event_type as bigint), 0) as type_num, coalesce(try_cast(cast(user_id as varchar) as bigint), 0) as user_num from events",
+    ("orders",),
+    "select o_orderkey as fid, cast(12 as bigint) as num, cast(0 as bigint) as no_num, 1.5e0 as dbl, date '1970-01-01' as no_day, date '1995-03-04' as day_, true as flag from orders where o_orderdate >= date '1995-03-04'",
 )
-def literal_cast(e):
-    num = lambda c: F.coalesce(F.col(c).cast("string").try_cast("bigint"), F.lit(0).cast("bigint"))
-    return e.select("event_id", num("event_type").alias("type_num"), num("user_id").alias("user_num"))
+def literal_cast(o):
+    from pyspark.sql import types as T
+
+    from ..operators.where import literal
+
+    texts = (("num", "12", T.LongType()), ("no_num", "x", T.LongType()), ("dbl", "'1.5'", T.DoubleType()), ("no_day", "soon", T.DateType()), ("day_", "1995-03-04", T.DateType()), ("flag", "true", T.BooleanType()))
+    return where(o, "o_orderdate >= '1995-03-04'").select(F.col("o_orderkey").alias("fid"), *(literal(v, k).alias(n) for n, v, k in texts))
+
+
+@register(("orders",), "select o_orderkey as fid, cast(o_orderdate as date) as day_ from orders where cast(o_orderdate as date) > date '1997-12-30' or cast(o_orderdate as date) = date '1995-06-17'")
+def where_date(o):
+    days = o.select(F.col("o_orderkey").alias("fid"), F.col("o_orderdate").cast("date").alias("day_"))
+    return where(days, "day_ > '1997-12-30' or day_ = 1995-06-17")
 
 
 @register((P,), f"select fid, x, y, kind from fx_points where {_in(BOX)}")
@@ -335,18 +346,8 @@ def _code_rows(codes: list[int]) -> str:
  -90 + (cy + 1) * 180 / pow(2e0, l) as maxy from xy""",
 )
 def zorder_cell_bbox(b):
-    codes = coded(b, "z").select("code").distinct()
-    lv = F.lit(0)
-    for k in range(1, LEVEL + 1):
-        lv = F.when(F.col("code") >= cells.cells_before(k), k).otherwise(lv)
-    df = codes.withColumn("l", lv).withColumn("k", (F.col("code") - (F.pow(F.lit(4.0), "l") - 1) / 3).cast("int"))
-    bit = lambda s, b: F.shiftright("k", s).bitwiseAND(F.lit(1)) * (1 << b)
-    df = df.withColumn("cx", sum((bit(2 * b + 1, b) for b in range(LEVEL)), F.lit(0))).withColumn("cy", sum((bit(2 * b, b) for b in range(LEVEL)), F.lit(0)))
-    n = F.pow(F.lit(2.0), "l")
-    return df.select(
-        "code", (-180 + F.col("cx") * 360 / n).alias("minx"), (-90 + F.col("cy") * 180 / n).alias("miny"),
-        (-180 + (F.col("cx") + 1) * 360 / n).alias("maxx"), (-90 + (F.col("cy") + 1) * 180 / n).alias("maxy"),
-    )
+    r = cells.code_bounds(F.col("code"), WORLD, LEVEL)
+    return coded(b, "z").select("code").distinct().select("code", *(c.alias(n) for c, n in zip(r.columns(), query.BBOX, strict=True)))
 
 
 @register((B,), f"select fid from fx_boxes where {_meet(BOX)}")
@@ -359,16 +360,24 @@ def xzorder_query(b):
     return query.query(coded(b, "xz"), query.QueryDef(box=BOX), index="xzorder", extent=WORLD, level=LEVEL).select("fid")
 
 
-@register((B,), "select cast(0 as bigint) as outside, count(*) - count(distinct fid) as repeated from fx_boxes")
+@register(
+    (B,),
+    f"""with c as (select *, {_sql_code('z')} as code from fx_boxes), lv as (select *, case when code >= 341 then 5 when code >= 85 then 4
+ when code >= 21 then 3 when code >= 5 then 2 when code >= 1 then 1 else 0 end as l from c), z as (select *, code - cast((pow(4, l) - 1) / 3 as int) as k from lv),
+ xy as (select *, {" + ".join(f"((k >> {2 * b + 1}) & 1) * {1 << b}" for b in range(5))} as cx, {" + ".join(f"((k >> {2 * b}) & 1) * {1 << b}" for b in range(5))} as cy from z),
+ bb as (select *, -180 + cx * 360 / pow(2e0, l) as ax, -90 + cy * 180 / pow(2e0, l) as ay, -180 + (cx + 1) * 360 / pow(2e0, l) as bx, -90 + (cy + 1) * 180 / pow(2e0, l) as b_y from xy)
+ select l as level, count(*) as n, coalesce(sum(case when greatest(minx, -180) >= ax and greatest(miny, -90) >= ay and least(maxx, 180) <= bx and least(maxy, 90) <= b_y then 0 else 1 end), 0)::bigint as outside,
+ count(*) - count(distinct fid) as repeated from bb group by l""",
+)
 def zorder_check(b):
-    lv0 = coded(b, "z").select("fid", "code", "minx", "miny", "maxx", "maxy")
-    rows = [(c, *cells.cell_bounds(c, WORLD)) for c in range(cells.code_count(LEVEL))]
-    cell = b.sparkSession.createDataFrame(rows, "code int, q_minx double, q_miny double, q_maxx double, q_maxy double")
-    # The last rows may reach over the extent's edge; they are clamped to it as codes are.
-    w = lit(WORLD)
-    inside = Rect.of("q_").covers(Rect.of().intersection(w))
-    j = lv0.join(F.broadcast(cell), "code")
-    return j.agg(F.coalesce(F.sum((~inside).cast("bigint")), F.lit(0)).alias("outside"), (F.count(F.lit(1)) - F.count_distinct("fid")).alias("repeated"))
+    # What reaches over the extent's edge is clamped to it, as codes are.
+    inside = cells.code_bounds(F.col("code"), WORLD, LEVEL).covers(Rect.of().intersection(lit(WORLD)))
+    level = F.lit(0)
+    for k in range(1, LEVEL + 1):
+        level = F.when(F.col("code") >= cells.cells_before(k), k).otherwise(level)
+    return coded(b, "z").groupBy(level.alias("level")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((~inside).cast("bigint")).alias("outside"), (F.count(F.lit(1)) - F.count_distinct("fid")).alias("repeated")
+    )
 
 
 def _sql_quad() -> str:
@@ -424,12 +433,12 @@ def geohash_encode(p):
 
 @register(
     (P,),
-    f"""select fid, true as inside, 360 / 8192e0 as width, 180 / 4096e0 as height from fx_points""",
+    """select fid, (greatest(0, least(8191, ceil((x + 180) / 360 * 8192) - 1)) + 0.5e0) * (360 / 8192e0) - 180 as cx,
+ (greatest(0, least(4095, ceil((y + 90) / 180 * 4096) - 1)) + 0.5e0) * (180 / 4096e0) - 90 as cy, 360 / 8192e0 as width, 180 / 4096e0 as height from fx_points""",
 )
 def geohash_decode(p):
-    df = p.withColumn("code", cells.geohash(F.col("x"), F.col("y"), 5))
-    cx, cy, w, h = cells.geohash_cell(F.col("code"), 5)
-    return df.select("fid", ((F.abs(F.col("x") - cx) <= w / 2) & (F.abs(F.col("y") - cy) <= h / 2)).alias("inside"), w.alias("width"), h.alias("height"))
+    cx, cy, w, h = cells.geohash_cell(cells.geohash(F.col("x"), F.col("y"), 5), 5)
+    return p.select("fid", cx.alias("cx"), cy.alias("cy"), w.alias("width"), h.alias("height"))
 
 
 @register((P,), f"select {_sql_geohash(2)} as cell, count(*) as n, min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy from fx_points where {_in(BOX)} group by 1")
@@ -481,18 +490,7 @@ def keyset_page(p):
 
 @register((P,), "with c as (select count(*) as n from fx_points) select fid, cast(least(floor((row_number() over (order by fid) - 1) / (n // 7)), 6) as int) as slice from fx_points, c")
 def batch_slices(p):
-    """Even slices by rank, the remainder in the last; ranks come from counts per id range, not from one sorted task."""
-    n = p.count()
-    size = max(n // 7, 1)
-    part = p.select("fid").repartitionByRange("fid").sortWithinPartitions("fid").withColumn("pid", F.spark_partition_id())
-    counts = sorted((r["pid"], r["n"]) for r in part.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    before, total = [], 0
-    for pid, m in counts:
-        before.append((pid, total))
-        total += m
-    prior = p.sparkSession.createDataFrame(before or [(0, 0)], "pid int, prior bigint")
-    rank = F.row_number().over(Window.partitionBy("pid").orderBy("fid")) - 1 + F.col("prior")
-    return part.join(F.broadcast(prior), "pid").select("fid", F.least(F.floor(rank / size), F.lit(6)).cast("int").alias("slice"))
+    return slices(p.select("fid"), "fid", 7).select("fid", F.col("slice").cast("int").alias("slice"))
 
 
 @register((B,), f"with u as (select fid from fx_boxes where {_meet(BOX)} union all select fid from fx_boxes where {_meet(FIXED)}) select distinct fid from u")
@@ -569,15 +567,100 @@ def line_rect(v):
  b as (select fid as ring, min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy from fx_rings group by fid),
  c as (select b.ring, p.fid, p.x, p.y from fx_points p join b on x >= minx and x <= maxx and y >= miny and y <= maxy)
  select c.ring, c.fid from c join s on c.ring = s.ring and s.x2 is not null
- group by c.ring, c.fid having sum(case when (y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 then 1 else 0 end) % 2 = 1""",
+  group by c.ring, c.fid having sum(case when (y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 then 1 else 0 end) % 2 = 1
+ and not bool_or((x2 - x1) * (y - y1) = (y2 - y1) * (x - x1) and x >= least(x1, x2) and x <= greatest(x1, x2) and y >= least(y1, y2) and y <= greatest(y1, y2))""",
 )
 def ring_contains_point(p, r):
     box = r.groupBy("fid").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
-    pairs = join.points_in_boxes(p, box)
-    cand = pairs.join(p.select(F.col("fid").alias("point_fid"), "x", "y"), "point_fid")
     s = geometry.segments(r).withColumnRenamed("fid", "box_fid")
-    hits = cand.join(s, "box_fid").groupBy("box_fid", "point_fid").agg(F.sum(Segment.of().ray(F.col("x"), F.col("y"))).alias("n"))
-    return hits.where("n % 2 = 1").select(F.col("box_fid").alias("ring"), F.col("point_fid").alias("fid"))
+    near = join.points_in_boxes(p, box, carry=("x", "y")).join(s, "box_fid")
+    seg, x, y = Segment.of(), F.col("x"), F.col("y")
+    hits = near.groupBy("box_fid", "point_fid").agg(F.sum(seg.ray(x, y)).alias("n"), F.bool_or(seg.covers_point(x, y)).alias("on"))
+    return hits.where(ring_contains(F.col("n"), F.col("on"))).select(F.col("box_fid").alias("ring"), F.col("point_fid").alias("fid"))
+
+
+_LINE_SQL = f"with {_SEG} select fid, count(*) as segments from seg where x2 is not null group by fid having bool_or({_SEG_MEETS})"
+
+
+@register((V,), _LINE_SQL)
+def line_query_exact(v):
+    """Lines whose own course, not only their box, meets the query's rectangle."""
+    f = geometry.with_bounds(geometry.from_vertices(v, geometry.POLYLINE))
+    hit = query.query(f, query.QueryDef(fields=[], box=BOX))
+    return hit.select("fid", (geometry.point_count(F.col("parts")) - 1).cast("bigint").alias("segments"))
+
+
+def _rect_sql(a: dict, b: dict) -> dict[str, str]:
+    """Relations of two rectangles in SQL, by their sides."""
+    meet = f"{a['x0']} <= {b['x1']} and {b['x0']} <= {a['x1']} and {a['y0']} <= {b['y1']} and {b['y0']} <= {a['y1']}"
+    overlap = f"{a['x0']} < {b['x1']} and {b['x0']} < {a['x1']} and {a['y0']} < {b['y1']} and {b['y0']} < {a['y1']}"
+    cover = lambda p, q: f"({p['x0']} <= {q['x0']} and {p['y0']} <= {q['y0']} and {p['x1']} >= {q['x1']} and {p['y1']} >= {q['y1']})"
+    strict = lambda p, q: f"({p['x0']} < {q['x0']} and {p['y0']} < {q['y0']} and {p['x1']} > {q['x1']} and {p['y1']} > {q['y1']})"
+    same_x = f"(least({a['x1']}, {b['x1']}) > greatest({a['x0']}, {b['x0']}) and ({a['y0']} in ({b['y0']}, {b['y1']}) or {a['y1']} in ({b['y0']}, {b['y1']})))"
+    same_y = f"(least({a['y1']}, {b['y1']}) > greatest({a['y0']}, {b['y0']}) and ({a['x0']} in ({b['x0']}, {b['x1']}) or {a['x1']} in ({b['x0']}, {b['x1']})))"
+    return {
+        "meet": f"({meet})", "overlap": f"({overlap})", "a_covers": cover(a, b), "b_covers": cover(b, a), "a_contains": strict(a, b), "b_contains": strict(b, a), "stretch": f"(({meet}) and ({same_x} or {same_y}))",
+    }
+
+
+def _rect_matrix_sql(r: dict[str, str]) -> str:
+    c = lambda test, d: f"case when {test} then '{d}' else 'F' end"
+    bb = f"case when {r['stretch']} then '1' when {r['meet']} and not {r['a_contains']} and not {r['b_contains']} then '0' else 'F' end"
+    apart = lambda x: f"not {r[x]}"
+    rows = [
+        c(r["overlap"], 2), c(f"{r['overlap']} and {apart('b_covers')}", 1), c(apart("b_covers"), 2),
+        c(f"{r['overlap']} and {apart('a_covers')}", 1), bb, c(apart("b_covers"), 1), c(apart("a_covers"), 2), c(apart("a_covers"), 1), "'2'",
+    ]
+    return " || ".join(f"({x})" for x in rows)
+
+
+_QUERY_SIDES = dict(zip(("x0", "y0", "x1", "y1"), (str(v) for v in BOX), strict=True))
+_BOX_SIDES = dict(zip(("x0", "y0", "x1", "y1"), query.BBOX, strict=True))
+_TO_BOX = _rect_sql(_QUERY_SIDES, _BOX_SIDES)
+_POLYGON_MODES = {
+    "Intersects": "meet", "Disjoint": "not meet", "Touches": "meet and not overlap", "Contains": "a_contains", "Covers": "a_covers and overlap", "Overlaps": "overlap and not a_covers and not b_covers",
+    "T*T***T**": "overlap and not a_covers and not b_covers", "F***T****": "meet and not overlap",
+}
+
+
+def _mode_sql(text: str) -> str:
+    import re
+
+    return re.sub(r"\b(meet|overlap|a_covers|b_covers|a_contains)\b", lambda m: _TO_BOX[m[0]], text)
+
+
+@register((B,), " union all ".join(f"select '{m}' as mode, fid from fx_boxes where {_mode_sql(s)}" for m, s in _POLYGON_MODES.items()))
+def polygon_query_modes(b):
+    """Polygons against the query's rectangle in several modes and patterns, exactly."""
+    f = b.select("fid", *query.BBOX, F.lit(geometry.POLYGON).alias("gtype"), geometry.rect_parts(Rect.of()).alias("parts"))
+    one = lambda m: query.query(f, query.QueryDef(fields=[], mode=m, box=BOX)).select(F.lit(m).alias("mode"), "fid")
+    first, *rest = (one(m) for m in _POLYGON_MODES)
+    for r in rest:
+        first = first.unionByName(r)
+    return first
+
+
+@register((B,), f"select fid, {_rect_matrix_sql(_TO_BOX)} as matrix from fx_boxes")
+def rect_rect_de9im(b):
+    return b.select("fid", query.rect_matrix(lit(BOX), Rect.of()).alias("matrix"))
+
+
+@register(
+    (P, V),
+    f"""with {_SEG} select fid, 'line' as layer from seg where x2 is not null group by fid
+ having bool_or(least(x1, x2) <= 40 and greatest(x1, x2) >= -40 and least(y1, y2) <= 30 and greatest(y1, y2) >= -30 and {{sides}})
+ union all select fid, 'point' from fx_points where x >= -40 and x <= 40 and y >= -30 and y <= 30""".format(
+        sides=" and ".join(
+            f"{f}({', '.join(_sides('x1', 'y1', 'x2', 'y2', a, c) for a, c in ((-40, -30), (40, -30), (40, 30), (-40, 30)))}) {op} 0" for f, op in (("least", "<="), ("greatest", ">="))
+        )
+    ),
+)
+def geometry_query(p, v):
+    """A polygon as the query object, on lines and on points."""
+    shape = query.rect_shape((-40.0, -30.0, 40.0, 30.0))
+    lines = geometry.with_bounds(geometry.from_vertices(v, geometry.POLYLINE))
+    one = lambda df, n: query.query(df, query.QueryDef(fields=[], shape=shape)).select("fid", F.lit(n).alias("layer"))
+    return one(lines, "line").unionByName(one(p, "point"))
 
 
 @register((V,), "select fid, min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy from fx_vertices group by fid")
@@ -638,9 +721,18 @@ def tile_ranges(b):
     return b.select("fid", *(c.alias(n) for n, c in zip(names, tiles.tile_range(Rect.of(), F.lit(3)), strict=True)))
 
 
-@register(("region",), "select cast(l as int) as level, 360e0 / pow(2e0, l) / 256 as degrees from unnest(range(0, 20)) t(l)")
-def tile_levels(region):
-    df = region.sparkSession.range(20).select(F.col("id").cast("int").alias("level"))
+@register(
+    (B,),
+    """with e as (select max(maxx) - min(minx) as w, max(maxy) - min(miny) as h, count(*) as n from fx_boxes), l as (select l from unnest(range(0, 21)) t(l)),
+ low as (select max(l) as low from l, e where l = 0 or 180 / pow(2e0, l) >= greatest(w, h)),
+ high as (select coalesce(min(l), 20) as high from l, e, low where l >= low and w * h / n >= pow(180 / pow(2e0, l), 2))
+ select cast(l as int) as level, 360e0 / pow(2e0, l) / 256 as degrees from l, low, high where l between low and high""",
+)
+def tile_levels(b):
+    """Levels of use for a layer, from its extent and count, with their resolutions."""
+    e = b.agg(*_bounds(), F.count(F.lit(1)).alias("n")).first()
+    low, high = tiles.useful_levels((e["minx"], e["miny"], e["maxx"], e["maxy"]), e["n"])
+    df = b.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias("level"))
     return df.select("level", tiles.degrees_per_pixel(F.col("level")).alias("degrees"))
 
 
@@ -749,16 +841,17 @@ def map_layers_union(p, b):
     return one(p, "points").unionByName(one(b, "boxes"))
 
 
-@register((P,), "select fid, lpad(printf('%x', fid), 16, '0') as big, coalesce(fid % 7, 0) = 0 as masked from fx_points")
+@register((P,), "select fid, lpad(printf('%x', fid), 16, '0') as big, cast(case when fid % 7 + fid % 5 + fid % 3 = 0 then 0 else 255 end as int) as alpha from fx_points")
 def byte_casts(p):
-    return p.select("fid", F.lower(F.lpad(F.hex("fid"), 16, "0")).alias("big"), (F.col("fid") % 7 == 0).alias("masked"))
+    return p.select("fid", F.lower(F.lpad(F.hex("fid"), 16, "0")).alias("big"), themes.alpha_mask(F.col("fid") % 7, F.col("fid") % 5, F.col("fid") % 3).alias("alpha"))
 
 
-@register((B,), "select cast(case when kind like '%1' then 1 when kind like '%2' then 5 else 3 end as int) as gtype, count(*) as n from fx_boxes group by 1")
-def geometry_type_map(b):
-    """Stored type numbers to geometry types."""
-    kind = F.when(F.col("kind").endswith("1"), 1).when(F.col("kind").endswith("2"), 5).otherwise(3)
-    return b.groupBy(kind.cast("int").alias("gtype")).agg(F.count(F.lit(1)).alias("n"))
+@register(("part",), "select cast(case when p_size % 9 in (1, 4) then 1 when p_size % 9 in (2, 5) then 5 when p_size % 9 in (3, 6) then 3 end as int) as gtype, count(*) as n from part group by 1")
+def geometry_type_map(part):
+    """Stored type codes to geometry types."""
+    from ..sources.spatialite import geometry_type
+
+    return part.groupBy(geometry_type(F.col("p_size") % 9).alias("gtype")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(("events",), """select event_id, json_extract_string(props, '$.k') as k, coalesce(json_extract_string(props, '$.none'), 'missing') as none_key from events""")
@@ -769,40 +862,62 @@ def json_path(e):
 # --- codecs, exact relations and files: told by round trips, no SQL form ------------------
 
 
-@register((R,), "select fid, true as same, cast(7 as int) as vertices from (select distinct fid from fx_rings)")
+_COORDS = "string_agg(cast(cast(x * 64 as bigint) as varchar) || ' ' || cast(cast(y * 64 as bigint) as varchar), ',' order by seq)"
+
+
+def _coords(parts):
+    """Coordinates in 64ths, as text."""
+    text = lambda c: F.round(c * 64).cast("bigint").cast("string")
+    return F.array_join(F.transform(geometry.vertices(parts), lambda p: F.concat(text(p["x"]), F.lit(" "), text(p["y"]))), ",")
+
+
+@register((R,), f"select fid, {_COORDS} as coords, 9 + 4 + 16 * count(*) as bytes from fx_rings group by fid")
 def wkb_roundtrip(r):
     from ..functions.codec import parts_of_wkb, wkb_of
 
-    f = geometry.from_vertices(r, geometry.POLYGON)
-    f = f.withColumn("back", parts_of_wkb(wkb_of("gtype", "parts")))
-    return f.select("fid", (F.to_json("back") == F.to_json("parts")).alias("same"), geometry.point_count(F.col("back")).alias("vertices"))
+    f = geometry.from_vertices(r, geometry.POLYGON).withColumn("wkb", wkb_of("gtype", "parts"))
+    return f.select("fid", _coords(parts_of_wkb("wkb")).alias("coords"), F.octet_length("wkb").cast("bigint").alias("bytes"))
 
 
-@register((V,), "select fid, true as same from (select distinct fid from fx_vertices)")
+@register((V,), f"select fid, {_COORDS} as coords, 39 + 4 + 4 + 16 * count(*) + 1 as bytes from fx_vertices group by fid")
 def gaia_roundtrip(v):
     from ..functions.codec import gaia_of, parts_of_gaia
 
-    f = geometry.from_vertices(v, geometry.POLYLINE)
-    f = f.withColumn("back", parts_of_gaia(gaia_of("gtype", "parts", F.lit(4326))))
-    return f.select("fid", (F.to_json("back") == F.to_json("parts")).alias("same"))
+    f = geometry.from_vertices(v, geometry.POLYLINE).withColumn("gaia", gaia_of("gtype", "parts", F.lit(4326)))
+    return f.select("fid", _coords(parts_of_gaia("gaia")).alias("coords"), F.octet_length("gaia").cast("bigint").alias("bytes"))
 
 
-@register((V,))
+def _keeps(k: int, last: str) -> str:
+    """Whether vertex k of a line is kept after the last kept one: farther than 90 degrees, or an angle under 60."""
+    ax, ay = f"({last}x - x{k})", f"({last}y - y{k})"
+    bx, by = f"(x{k + 1} - x{k})", f"(y{k + 1} - y{k})"
+    return f"({ax} * {ax} + {ay} * {ay} > 8100 or {ax} * {bx} + {ay} * {by} > 0.5e0 * sqrt(({ax} * {ax} + {ay} * {ay}) * ({bx} * {bx} + {by} * {by})))"
+
+
+@register(
+    (V,),
+    f"""with p as (select fid, {", ".join(f"max(case when seq = {k} then {c} end) as {c}{k}" for k in range(5) for c in "xy")} from fx_vertices group by fid),
+ a as (select *, {_keeps(1, "p0.").replace("p0.x", "x0").replace("p0.y", "y0")} as k1 from p), b as (select *, case when k1 then x1 else x0 end as l1x, case when k1 then y1 else y0 end as l1y from a),
+ c as (select *, {_keeps(2, "l1")} as k2 from b), d as (select *, case when k2 then x2 else l1x end as l2x, case when k2 then y2 else l1y end as l2y from c),
+ e as (select *, {_keeps(3, "l2")} as k3 from d) select fid, cast(2 + k1::int + k2::int + k3::int as int) as vertices from e""",
+)
 def line_thin(v):
     f = geometry.from_vertices(v, geometry.POLYLINE)
-    return tiles.pyramid(f, [0, 3]).select("level", "fid", geometry.point_count(F.col("parts")).alias("vertices"))
+    return tiles.thinned(f, 8100.0, 60.0).select("fid", geometry.point_count(F.col("parts")).alias("vertices"))
 
 
-@register((R,))
-def de9im_polygons(r):
-    """Rings whose boxes meet, with their matrices; the box test is a join of its own before the Arrow function."""
+@register(
+    (B,),
+    f"""with n as (select * from fx_boxes) select a.fid as a, b.fid as b, {_rect_matrix_sql(_rect_sql(*({k: f"{s}.{c}" for k, c in _BOX_SIDES.items()} for s in "ab")))} as matrix
+ from n a join n b on a.fid < b.fid and a.minx <= b.maxx and b.minx <= a.maxx and a.miny <= b.maxy and b.miny <= a.maxy""",
+)
+def de9im_polygons(b):
+    """Polygons whose boxes meet, with their matrices; the box test is a join of its own before the Arrow function."""
     from ..operators.relate import matrix_of
 
-    box = r.groupBy("fid").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
-    pairs = join.boxes_meet(box, box).where("a < b")
-    f = geometry.from_vertices(r, geometry.POLYGON)
-    j = pairs.join(f.select(F.col("fid").alias("a"), F.col("parts").alias("pa")), "a").join(f.select(F.col("fid").alias("b"), F.col("parts").alias("pb")), "b")
-    return j.select("a", "b", matrix_of(F.lit(3), "pa", F.lit(3), "pb").alias("matrix"))
+    parts = lambda p: b.select(F.col("fid").alias(p), geometry.rect_parts(Rect.of()).alias(f"p{p}"))
+    pairs = join.boxes_meet(b, b).where("a < b").join(parts("a"), "a").join(parts("b"), "b")
+    return pairs.select("a", "b", matrix_of(F.lit(geometry.POLYGON), "pa", F.lit(geometry.POLYGON), "pb").alias("matrix"))
 
 
 @register((P,))

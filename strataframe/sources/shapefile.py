@@ -38,7 +38,32 @@ def decode(record: bytes):
     starts = [*struct.unpack_from(f"<{n}i", record, 44), m]
     flat = struct.unpack_from(f"<{2 * m}d", record, 44 + 4 * n)
     points = list(zip(flat[::2], flat[1::2], strict=True))
-    return TYPES[kind], [[points[a:b]] for a, b in zip(starts, starts[1:], strict=False)], box
+    rings = [points[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+    return TYPES[kind], _islands(rings) if kind == 5 else [[r] for r in rings], box
+
+
+def _area(ring) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False))
+
+
+def _inside(p, ring) -> bool:
+    hit = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+        if (y1 > p[1]) != (y2 > p[1]) and p[0] < (x2 - x1) * (p[1] - y1) / (y2 - y1) + x1:
+            hit = not hit
+    return hit
+
+
+def _islands(rings: list) -> list[list]:
+    """Parts of a shell and its holes: shells run clockwise, holes the other way and belong to the smallest shell around them. A hole in no shell is a part of its own."""
+    shells = [[r] for r in rings if _area(r) <= 0]
+    for hole in (r for r in rings if _area(r) > 0):
+        around = [s for s in shells if _area(s[0]) <= 0 and _inside(hole[0], s[0])]
+        if around:
+            min(around, key=lambda s: -_area(s[0])).append(hole)
+        else:
+            shells.append([hole])
+    return shells
 
 
 def dbf_fields(path: str) -> tuple[int, int, int, list[tuple[str, str, int, int]]]:

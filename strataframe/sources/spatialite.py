@@ -11,7 +11,8 @@ from __future__ import annotations
 import sqlite3
 from contextlib import closing
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -22,6 +23,18 @@ ROWS = 50_000
 _TYPES = {"INTEGER": "bigint", "REAL": "double", "BLOB": "binary"}
 
 
+#: Type codes of the catalogue and of blobs by geometry: points, lines, polygons, plain and multiple (fixed values).
+TYPE_CODES = {1: 1, 4: 1, 2: 5, 5: 5, 3: 3, 6: 3}
+
+
+def geometry_type(code: Column) -> Column:
+    """Geometry type of a stored type code; null for others."""
+    out = F.lit(None).cast("int")
+    for stored, gtype in TYPE_CODES.items():
+        out = F.when(code == stored, gtype).otherwise(out)
+    return out
+
+
 def _fields(path: str, table: str) -> tuple[str, list[tuple[str, str]]]:
     with closing(sqlite3.connect(path)) as c:
         info = c.execute(f'pragma table_info("{table}")').fetchall()

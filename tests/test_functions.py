@@ -76,6 +76,60 @@ def test_line_and_point_relations():
     assert matrix(Shape(1, [[[(0, 1)]]]), line).startswith("FF0")
 
 
+def circle(cx, n):
+    pts = [(cx + math.cos(2 * math.pi * k / n), math.sin(2 * math.pi * k / n)) for k in range(n)]
+    return Shape(3, [[[*pts, pts[0]]]])
+
+
+@pytest.mark.parametrize("n", [200, 400, 800])
+def test_short_slanted_edges(n):
+    assert matrix(circle(0, n), circle(0.7, n)) == "212101212"
+    assert matrix(circle(0, n), circle(5, n)) == "FF2FF1212"
+    assert matrix(circle(0, n), circle(0, n)) == "2FFF1FFF2"
+
+
+def test_slivers_holes_and_seams():
+    sliver = Shape(3, [[[(1, 1), (2, 1.0000001), (1, 1.0000002), (1, 1)]]])
+    assert matrix(sliver, box(0, 0, 3, 3)) == "2FF1FF212"
+    ring = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d), (a, b)]
+    holed = Shape(3, [[ring(0, 0, 10, 10), ring(2, 2, 8, 8)]])
+    assert matrix(holed, box(3, 3, 7, 7)) == "FF2FF1212"
+    assert matrix(holed, box(2, 2, 8, 8)) == "FF2F112F2"
+    assert matrix(holed, box(1, 1, 9, 9)) == "2121F12F2"
+    assert matrix(box(0, 0, 10, 10), holed) == transposed(matrix(holed, box(0, 0, 10, 10))) == "212F1FFF2"
+    assert matrix(Shape(5, [[[(3, 5), (7, 5)]]]), holed) == "FF1FF0212"
+    assert matrix(Shape(5, [[[(1, 5), (9, 5)]]]), holed) == "1010FF212"
+    two = Shape(3, [[ring(0, 0, 5, 5)], [ring(20, 0, 25, 5)]])
+    assert matrix(two, box(1, 1, 2, 2)) == "212FF1FF2"
+
+
+def test_rectangles_by_columns_and_exactly(spark):
+    from strataframe.operators.query import rect_matrix, rect_shape
+
+    rnd = random.Random(4)
+    boxes = set()
+    while len(boxes) < 60:
+        x, y = rnd.randrange(5), rnd.randrange(5)
+        boxes.add((x, y, x + rnd.randrange(1, 4), y + rnd.randrange(1, 4)))
+    pairs = [(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate((a, b) for a in boxes for b in list(boxes)[:25])]
+    names = [f"{p}_{c}" for p in "ab" for c in ("minx", "miny", "maxx", "maxy")]
+    df = spark.createDataFrame(pairs, "i int, " + ", ".join(f"{n} double" for n in names))
+    got = {r.i: r.m for r in df.select("i", rect_matrix(Rect.of("a_"), Rect.of("b_")).alias("m")).collect()}
+    for i, *v in pairs:
+        a, b = rect_shape(tuple(v[:4])), rect_shape(tuple(v[4:]))
+        assert matrix(a, b) == got[i], v
+        assert matrix(b, a) == transposed(got[i])
+
+
+def test_modes():
+    from strataframe.operators.relate import may_be_apart
+
+    with pytest.raises(ValueError):
+        relate(box(0, 0, 1, 1), box(0, 0, 1, 1), "Inside")
+    assert may_be_apart("Disjoint") and may_be_apart("F********") is True and not may_be_apart("T********") and not may_be_apart("Touches")
+    assert relate(box(0, 0, 4, 4), box(4, 4, 5, 5), "BBoxIntersects") and relate(box(0, 0, 4, 4), box(2, 2, 6, 6), "T*T***T**")
+
+
 def test_contains_is_strict():
     assert relate(box(0, 0, 10, 10), box(2, 2, 8, 8), "Contains")
     assert not relate(box(0, 0, 10, 10), box(0, 0, 8, 8), "Contains")
@@ -104,6 +158,20 @@ def test_code_queries_find_all_hits(spark):
                 assert r.z in z and r.xz in xz
 
 
+def test_code_ranges_hold_all_codes_of_a_query():
+    rnd = random.Random(6)
+    for _ in range(60):
+        x, y = rnd.uniform(-3, 33), rnd.uniform(-3, 33)
+        q = (x, y, x + rnd.uniform(0, 20), y + rnd.uniform(0, 20))
+        for listed, ranged in ((cells.zorder_query, cells.zorder_ranges), (cells.xzorder_query, cells.xzorder_ranges)):
+            for most in (8, 1000):
+                runs = ranged(q, Q, 5, most=most)
+                assert len(runs) <= most and all(a <= b for a, b in runs)
+                assert all(any(a <= c <= b for a, b in runs) for c in listed(q, Q, 5))
+    fine = cells.zorder_ranges((-180.0, -90.0, 0.0, 90.0), (-180.0, -90.0, 180.0, 90.0), 15)
+    assert len(fine) <= cells.MAX_RANGES
+
+
 def test_cells_round_trip():
     for code in range(cells.code_count(4)):
         assert cells.cell_code(*cells.code_cell(code)) == code
@@ -144,4 +212,7 @@ def test_thinning():
     line = [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (2.0, 5.0)]
     assert geometry.slim_line(line) == [(0.0, 0.0), (2.0, 0.0), (2.0, 5.0)]
     assert geometry.thin_line(line, 4.0) == [(0.0, 0.0), (2.0, 0.0), (2.0, 5.0)]
+    spike = [(0.0, 0.0), (2.0, 0.0), (1.0, 0.0)]
+    assert geometry.slim_line(spike) == spike
+    assert geometry.thin_line([(0.0, 0.0), (2.0, 0.0), (4.0, 0.0)], 4.0) == [(0.0, 0.0), (4.0, 0.0)]
     assert geometry.thin_ring([(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)], 0.0) == []

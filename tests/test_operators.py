@@ -42,6 +42,93 @@ def test_where_errors(table, text):
         where(table, text)
 
 
+def test_where_types(spark):
+    df = spark.sql("select 1 as id, date '2020-01-02' as day_, timestamp '2020-01-02 03:04:05' as at, cast(1.50 as decimal(9,2)) as dec, cast('ab' as binary) as raw, array(1) as list union all select 2, null, null, null, null, null")
+    ids = lambda text: [r.id for r in where(df, text).collect()]
+    for text in ("day_ = '2020-01-02'", "day_ > 2019-12-31", "day_ > 'no date'", "at >= '2020-01-02 03:04:05'", "dec = 1.5", "dec > x", "raw = 'ab'", "raw != 'a'"):
+        assert ids(text) == [1], text
+    assert ids("day_ < '2020-01-02'") == []
+    for text in ("raw > 'a'", "list = 1"):
+        with pytest.raises(ValueError):
+            where(df, text)
+
+
+def test_slices_lose_nothing(spark):
+    from strataframe.operators.batches import batch_size, slices
+
+    got = slices(spark.range(4_000_000).select(((F.col("id") * 7919) % 4_000_037).alias("fid")), "fid", 7)
+    counts = {r.slice: (r.n, r.lo, r.hi) for r in got.groupBy("slice").agg(F.count("fid").alias("n"), F.min("fid").alias("lo"), F.max("fid").alias("hi")).collect()}
+    assert sum(n for n, *_ in counts.values()) == 4_000_000 and [counts[k][0] for k in range(6)] == [571_428] * 6
+    assert all(counts[k][2] < counts[k + 1][1] for k in range(6))
+    assert slices(spark.range(0).withColumnRenamed("id", "fid"), "fid", 7).count() == 0
+    assert batch_size(1_000_000) == 8000 and batch_size(5) == 1000
+
+
+def test_exact_queries(spark):
+    from strataframe.functions.codec import PARTS_TYPE
+    from strataframe.operators.relate import Shape
+
+    line = lambda *pts: [[[{"x": float(x), "y": float(y)} for x, y in pts]]]
+    rows = [
+        (1, 5, line((0, 0), (10, 10)), 0.0, 0.0, 10.0, 10.0),  # its box meets the query's, it does not
+        (2, 5, line((6, 1), (9, 3)), 6.0, 1.0, 9.0, 3.0),
+        (3, 5, line((0, 3), (20, 3)), 0.0, 3.0, 20.0, 3.0),
+        (4, 3, line((5, 0), (10, 0), (10, 4), (5, 4), (5, 0)), 5.0, 0.0, 10.0, 4.0),
+        (5, 3, line((50, 50), (60, 50), (60, 60), (50, 50)), 50.0, 50.0, 60.0, 60.0),
+    ]
+    df = spark.createDataFrame(rows, f"fid bigint, gtype int, parts {PARTS_TYPE}, minx double, miny double, maxx double, maxy double")
+    ids = lambda mode, **q: sorted(r.fid for r in query.query(df, query.QueryDef(mode=mode, **q)).collect())
+    box = {"box": (5.0, 0.0, 10.0, 4.0)}
+    assert ids("Intersects", **box) == [2, 3, 4] and ids("BBoxIntersects", **box) == [1, 2, 3, 4] and ids("Disjoint", **box) == [1, 5]
+    assert ids("Contains", **box) == [2] and ids("Covers", **box) == [2, 4] and ids("Equals", **box) == [4] and ids("Crosses", **box) == []
+    assert ids("1********", **box) == [2, 3] and ids("FF2FF1212", **box) == [5]
+    triangle = {"shape": Shape(3, [[[(0.0, 0.0), (30.0, 0.0), (30.0, 30.0), (0.0, 0.0)]]])}
+    assert ids("Intersects", **triangle) == [1, 2, 3, 4] and ids("Contains", **triangle) == [2] and ids("Disjoint", **triangle) == [5]
+    with pytest.raises(ValueError):
+        ids("Nearby", **box)
+    pairs = sorted(map(tuple, join.features_relate(df, df).where("a < b").collect()))
+    assert pairs == [(1, 3), (2, 3), (2, 4), (3, 4)]
+
+
+def test_boxes_of_all_sizes(spark):
+    rnd = random.Random(9)
+    bxs = []
+    for i in range(300):
+        x, y, w = rnd.uniform(-100, 100), rnd.uniform(-100, 100), 10 ** rnd.uniform(-4, 2.2)
+        bxs.append((i, x, y, x + w, y + w * rnd.uniform(0, 1)))
+    bxs += [(900, -200000.0, -1.0, 200000.0, 1.0), (901, 5.0, 5.0, 5.0, 5.0), (902, None, 1.0, 2.0, 3.0)]
+    b = spark.createDataFrame(bxs, "fid bigint, minx double, miny double, maxx double, maxy double")
+    got = sorted(map(tuple, join.boxes_meet(b, b).collect()))
+    full = [x for x in bxs if x[1] is not None]
+    assert got == sorted((u[0], v[0]) for u in full for v in full if u[1] <= v[3] and v[1] <= u[3] and u[2] <= v[4] and v[2] <= u[4])
+    pts = [(i, rnd.uniform(-100, 100), rnd.uniform(-100, 100)) for i in range(200)] + [(500, 5.0, 5.0)]
+    p = spark.createDataFrame(pts, "fid bigint, x double, y double")
+    got = sorted(map(tuple, join.points_in_boxes(p, b).collect()))
+    assert got == sorted((u[0], i) for u in full for i, x, y in pts if u[1] <= x <= u[3] and u[2] <= y <= u[4])
+    assert join.points_in_boxes(p, b.limit(0)).count() == 0 and join.boxes_meet(b.limit(0), b.limit(0)).count() == 0
+
+
+def test_shapefile_holes():
+    import struct
+
+    from strataframe.sources.shapefile import decode
+
+    rings = [[(0, 0), (0, 10), (10, 10), (10, 0), (0, 0)], [(2, 2), (4, 2), (4, 4), (2, 4), (2, 2)], [(20, 0), (20, 5), (25, 5), (25, 0), (20, 0)]]
+    flat = [float(v) for r in rings for p in r for v in p]
+    body = struct.pack("<i4d2i", 5, 0, 0, 25, 10, 3, 15) + struct.pack("<3i", 0, 5, 10) + struct.pack(f"<{len(flat)}d", *flat)
+    gtype, parts, _ = decode(body)
+    assert gtype == 3 and [len(p) for p in parts] == [2, 1]
+
+
+def test_feature_tiles(spark):
+    from strataframe.functions import geometry
+
+    rows = [(1, s, float(x), float(y)) for s, (x, y) in enumerate([(-10, 10), (100, 10), (100, -20)])]
+    f = geometry.with_bounds(geometry.from_vertices(spark.createDataFrame(rows, "fid bigint, seq int, x double, y double"), 5))
+    got = {(r.col, r.row): len(r.data) for r in tiles.feature_tiles(f, 1).collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1)} and min(got.values()) > 10
+
+
 def test_joins_equal_brute_force(spark):
     rnd = random.Random(5)
     pts = [(i, rnd.randrange(-400, 400) / 8, rnd.randrange(-400, 400) / 8) for i in range(400)]
