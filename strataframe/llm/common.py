@@ -84,12 +84,12 @@ def maybe_in(df: DataFrame, key: str, table: DataFrame, flag: str, bits: int = 2
 HOT_SHARE = 1000
 
 
-def join_by_weight(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
-    """Inner join of many rows to one row a key. ``weight`` of keyed is at most the number of rows of its key, and the weights sum
+def join_by_weight(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of many rows to one row a key. ``weight`` of keyed is at most the number of rows of its key, and the weights sum
     up to ``total`` or less, so at most ``HOT_SHARE`` keys weigh a thousandth of it: those are broadcast, the others exchanged."""
     hot = F.col(weight) * HOT_SHARE >= F.lit(max(total, HOT_SHARE))
     heavy = F.broadcast(keyed.where(hot))
-    light = rows.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti").join(keyed.where(~hot), on)
+    light = rows.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti").join(keyed.where(~hot), on, how)
     return rows.join(heavy, on).unionByName(light)
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, text_or_empty, word_bounds, xxh64_slices
+from .common import bit_table, ensure_checkpoint_dir, join_by_weight, maybe_in, text_or_empty, word_bounds, xxh64_slices
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -228,17 +228,17 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return left.alias("left").join(right.alias("right"), (F.col("left.key") == F.col("right.key")) & fits).select("a", "b")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node reachable. edges: (a, b), in any order.
 
     Alternating large-star and small-star steps: each turns the edges into stars
-    around smaller nodes, and their number never grows. A step's result is written to the checkpoint
+    around smaller nodes, and their number never grows; the steps go on until they change nothing. A step's result is written to the checkpoint
     folder, so a lost executor costs one step, and the plan stays short.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
     seen = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -252,8 +252,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -261,21 +259,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for each row."""
     ensure_checkpoint_dir(docs.sparkSession)
     fps = fingerprints(docs).checkpoint()
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).checkpoint()
     pairs = links(nodes).checkpoint()
     roots = components(pairs)
-    linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "root", "least")
-    best = (
-        linked.select("root", "least")
-        .unionByName(nodes.join(roots.select("root").distinct(), nodes.fp == F.col("root")).select("root", "least"))
-        .groupBy("root")
-        .agg(F.min("least").alias("component_id"))
-    )
-    # Names only for fingerprints that have a link; the others are named by their own smallest id.
-    named = linked.select("fp", "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()).join(best, "root")
-    names = nodes.join(named.select("fp", "component_id"), "fp", "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id")
-    )
-    return fps.join(names, "fp").select(
+    linked = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    linked = nodes.join(linked, "fp")
+    best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Names for fingerprints that have a link or several rows; any other row is a component of its own.
+    named = linked.join(best, "root").select("fp", "n", "component_id")
+    alone = nodes.where("n > 1").join(named.select("fp"), "fp", "left_anti").select("fp", "n", F.col("least").alias("component_id"))
+    names = named.unionByName(alone).checkpoint()
+    told = maybe_in(fps, "fp", bit_table(names.select(F.col("fp").alias("key"))), "may").checkpoint()
+    rows = told.where("may").select("doc_id", "fp")
+    # Of those that may have a name most have; a fingerprint that many rows share is named without an exchange.
+    total = names.agg(F.sum("n")).first()[0] or 0
+    found = join_by_weight(rows, names, ["fp"], "n", total, "left").select("doc_id", "fp", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.unionByName(told.where("not may").select("doc_id", "fp", F.col("doc_id").alias("component_id"))).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
