@@ -32,11 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WORD_BREAK_CHARS, ensure_checkpoint_dir, text_or_empty
 
 MAX_TOKENS = 2048
 END_ID = 1
+#: Tasks over which the rests of one length are ranked.
+SALTS = 128
 #: Entries from which a worker's word cache starts a new generation, which changes no result.
 CACHE_WORDS = 400_000
 #: The last character of the blocks that are cut by a spelled-out pattern; NFC changes none of them.
@@ -238,23 +241,19 @@ def shortest_pack_first(histogram: dict[int, int], max_tokens: int = MAX_TOKENS)
 
 
 def pack_documents(
-    docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", max_tokens: int = MAX_TOKENS, end_id: int = END_ID
+    docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", max_tokens: int = MAX_TOKENS, end_id: int = END_ID, salts: int = SALTS
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     pieces = src.mapInArrow(_piece_batches(tokenizer, max_tokens, end_id, salts), _PIECES).checkpoint()
 
-    counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    # max_tokens x salts rows at most: bounded by parameters, not by the data.
-    cells = sorted((r["length"], r["salt"], r["n"]) for r in counts.collect())
-    histogram: dict[int, int] = {}
-    before = []
-    for length, salt, n in cells:
-        before.append((length, salt, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
+    # max_tokens x salts rows at most, whatever the data or the cluster; only the histogram, max_tokens rows, comes to the driver.
+    counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    prior = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("prior"))
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     whole = histogram.pop(max_tokens, 0)
     slots: list[tuple[int, int, int, int, int]] = []  # length, first rank, packs, first sequence, offset
     used: dict[int, int] = {}
@@ -272,9 +271,6 @@ def pack_documents(
     for s in sorted(slots):
         by_length.setdefault(s[0], []).append(s[1:])
 
-    prior = spark.createDataFrame(before or [(0, 0, 0)], "length bigint, salt int, prior bigint")
-    from pyspark.sql.window import Window
-
     ranked = (
         pieces.join(F.broadcast(prior), ["length", "salt"])
         .withColumn("rank", F.col("prior") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1)
