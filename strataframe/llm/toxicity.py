@@ -9,9 +9,12 @@ regard to any label. With class prior p and logistic loss l the risk is
 the non-negative estimator: when the second term falls below 0 its gradient is
 stepped back, so the model cannot win by calling every unlabelled row clean.
 
-Bounds, all parameters: ``positives`` and ``unlabelled`` documents at most,
-``vocabulary`` words, those whose shares of positive and of unlabelled documents
-differ most beyond chance (``TELLING`` standard errors at least). The prior is the share of toxic rows among those with a label. Labels are read from training folds only; scoring reads
+The class prior, the share of toxic rows among all, is not known from such samples. It is a parameter, or else estimated from
+them: a first model is fitted on every second document, and the others tell, for each threshold, the share of unlabelled
+documents over it divided by the share of positives; the least of these, with a margin for chance, bounds the prior. Labels of clean rows are never read.
+
+Bounds, all parameters: ``positives`` and ``unlabelled`` documents at most. Words in use are those whose shares of positive and of unlabelled documents
+differ beyond chance (``TELLING`` standard errors at least). Labels are read from training folds only; scoring reads
 every text whole.
 
 Cases: null text is an empty text, whose score is that of the offset alone;
@@ -35,7 +38,7 @@ from .common import fold_of, hash_below, sample_fraction, text_or_empty
 
 POSITIVES = 3000
 UNLABELLED = 9000
-VOCABULARY = 5_000
+FIRST_PRIOR = 0.1
 #: Standard errors between a word's two shares from which it is used.
 TELLING = 5.0
 ROUNDS = 300
@@ -59,7 +62,7 @@ def _sparse(docs: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.n
     return rows[cols >= 0], cols[cols >= 0]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str], prior: float, *, vocabulary: int = VOCABULARY, rounds: int = ROUNDS):
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str], prior: float, *, rounds: int = ROUNDS):
     """(word -> weight, offset) by Adam steps on the non-negative risk, over the whole sample in each step.
 
     Documents are arrays of word numbers, each once; names has the words.
@@ -69,7 +72,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[st
     share = (in_p + in_u + 1) / (n_p + n_u + 2)
     telling = np.abs(in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
     used = np.flatnonzero((telling >= TELLING) & (in_p + in_u >= 3))
-    used = sorted((i for i in used.tolist() if names[i]), key=lambda i: (-telling[i], names[i]))[:vocabulary]
+    used = sorted((i for i in used.tolist() if names[i]), key=lambda i: names[i])
     words = [names[i] for i in used]
     place = np.full(len(names), -1, np.int64)
     place[used] = np.arange(len(used))
@@ -99,6 +102,21 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[st
     return dict(zip(words, w[:v].tolist(), strict=True)), float(w[-1])
 
 
+def prior_of(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str]) -> float:
+    """Share of positives among the unlabelled, from both samples alone."""
+    if len(positive) < 8 or len(unlabelled) < 8:
+        return FIRST_PRIOR
+    weights, _ = fit(positive[::2], unlabelled[::2], names, FIRST_PRIOR)
+    value = np.array([weights.get(n, 0.0) for n in names])
+    p, u = (np.array([value[d].sum() for d in half]) for half in (positive[1::2], unlabelled[1::2]))
+    best = 1.0
+    for cut in np.quantile(p, np.linspace(0.98, 0.1, 45)):
+        a, b = (u >= cut).mean(), (p >= cut).mean()
+        chance = math.sqrt(a * (1 - a) / len(u)) + a / b * math.sqrt(b * (1 - b) / len(p))
+        best = min(best, (a + 2 * chance) / b)
+    return float(min(max(best, 0.001), 0.5))
+
+
 def _numbered(df: DataFrame, index: dict[str, int]) -> list[np.ndarray]:
     """Word numbers of a bounded sample, in the order of the ids. Texts become word lists on the executors, and each row
     becomes numbers as it arrives, so the driver holds a distinct word once."""
@@ -117,20 +135,21 @@ def _numbered(df: DataFrame, index: dict[str, int]) -> list[np.ndarray]:
     return [d for _, d in sorted(out, key=lambda x: (x[0], x[1].tobytes()))]
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None):
     """(weights, offset) from docs(doc_id, text) and labels(doc_id, toxic); None without a positive row."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not n.get(1):
+    toxic = labels.where((F.col("toxic") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    n = toxic.count()
+    if not n:
         return None
-    prior = min(max(n[1] / sum(n.values()), 0.001), 0.5)
-    ids = known.where("toxic = 1").select("doc_id").distinct().where(hash_below("doc_id", sample_fraction(n[1], positives), 21))
+    # Rows of one id and text count once, so no id fills the sample.
     index: dict[str, int] = {}
-    pos = _numbered(docs.join(F.broadcast(ids), "doc_id"), index)
-    unl = _numbered(docs.where(hash_below("doc_id", sample_fraction(docs.count(), unlabelled), 22)), index)
+    chosen = F.broadcast(toxic.where(hash_below("doc_id", sample_fraction(n, positives), 21)))
+    pos = _numbered(docs.join(chosen, "doc_id").select("doc_id", "text").distinct(), index)
+    unl = _numbered(docs.where(hash_below("doc_id", sample_fraction(docs.count(), unlabelled), 22)).select("doc_id", "text").distinct(), index)
     if not pos:
         return None
-    return fit(pos, unl, list(index), prior)
+    names = list(index)
+    return fit(pos, unl, names, prior_of(pos, unl, names) if prior is None else prior)
 
 
 def _score_batches(weights: dict[str, float], offset: float, threshold: float):
