@@ -10,7 +10,7 @@ level sends the shortest-level window with the least hash inside it (its
 minimiser). Equal windows choose equal minimisers at equal places, so a window
 that repeats has a minimiser that repeats, and none is lost.
 
-How it runs. Documents are dealt into groups by a hash of their id, about
+How it runs. Documents are dealt into groups by a hash of their id and text, about
 ``group_docs`` documents each. For each level a group sends each distinct hash once, with
 its smallest document; rows of one hash meet sorted, and a streaming pass that holds one row
 sends back which hashes repeat. So a passage in a third of all documents costs
@@ -38,13 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_or_empty, word_bounds, xxh64_slices
+from .common import join_by_weight, mix64, text_or_empty, word_bounds, xxh64_slices
 
 WINDOW = 13
 GROUP_DOCS = 500
 _LAST = 2**63 - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def levels_of(window: int, shortest: int = 7) -> list[int]:
@@ -260,15 +259,17 @@ def _by_group(told: DataFrame):
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, group_docs: int = GROUP_DOCS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) for each row of docs(doc_id, text)."""
-    groups = max(1, -(-docs.count() // group_docs))
+    rows = docs.count()
+    groups = max(1, -(-rows // group_docs))
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     rank = F.coalesce("doc_id", F.lit(_LAST))
-    src = src.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.pmod(F.xxhash64(F.lit(1), rank), F.lit(groups)).cast("int").alias("g"))
+    # By id and text: rows without an id, or with the same one, are dealt out as others are.
+    src = src.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.pmod(F.xxhash64(F.lit(1), rank, "text"), F.lit(groups)).cast("int").alias("g"))
     texts = src.groupBy("g")
 
     ids = src.select(rank.alias("doc"), "h1", F.xxhash64(F.lit(3), "text").alias("h2"), "g")
-    least = ids.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    copies = ids.join(least, ["h1", "h2"]).where("doc > least")
+    least = ids.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
+    copies = join_by_weight(ids, least, ["h1", "h2"], "n", rows).where("doc > least")
     told = copies.select("g", F.lit(0).alias("kind"), F.col("doc").alias("a"), F.col("h1").alias("b")).distinct()
     for level in range(1, len(levels_of(window)) + 1):
         sent = texts.cogroup(_by_group(told)).applyInArrow(_send(window, level), _SENT)
