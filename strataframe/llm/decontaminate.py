@@ -2,8 +2,7 @@
 
 Texts and test items are compared lower-cased, with each run of white space as
 one space. An item of m characters has an error budget of
-k = floor(rate * m) edits, less where its pieces would be under ``min_piece``
-characters. It is cut into k + 1 pieces of even length: a passage within k edits of it holds
+k = floor(rate * m) edits. It is cut into k + 1 pieces of even length: a passage within k edits of it holds
 at least one piece unchanged. One automaton over all pieces finds every exact
 hit in a document; around each hit's place the distance of the item to the best
 passage there is computed by Myers' bit-parallel search. Hits of one item whose places differ
@@ -29,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE = 0.07
-MIN_PIECE = 12
 BLOCK_CHARS = 4_000_000
 
 
@@ -37,8 +35,8 @@ def normalised(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def budget_of(m: int, rate: float = RATE, min_piece: int = MIN_PIECE) -> int:
-    return max(0, min(int(m * rate), m // min_piece - 1))
+def budget_of(m: int, rate: float = RATE) -> int:
+    return int(m * rate)
 
 
 def pieces_of(item: str, k: int) -> list[tuple[int, str]]:
@@ -77,12 +75,12 @@ def myers(pattern: str, text: str, k: int) -> int:
 
 
 class Matcher:
-    def __init__(self, items: dict[str, list[int]], rate: float = RATE, min_piece: int = MIN_PIECE):
+    def __init__(self, items: dict[str, list[int]], rate: float = RATE):
         import ahocorasick
 
         self.items = sorted(items)
         self.ids = [sorted(items[x]) for x in self.items]
-        self.k = [budget_of(len(x), rate, min_piece) for x in self.items]
+        self.k = [budget_of(len(x), rate) for x in self.items]
         owners: dict[str, list[tuple[int, int]]] = {}
         for i, (x, k) in enumerate(zip(self.items, self.k, strict=True)):
             for at, piece in pieces_of(x, k):
@@ -144,14 +142,25 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> list[dict[str, list[int]]
 _READY: dict[int, Matcher] = {}
 
 
-def _match_batches(items: dict[str, list[int]], rate: float, min_piece: int, clean_only: bool):
-    key = hash(tuple((k, tuple(v)) for k, v in items.items()))
+def _matcher(items: dict[str, list[int]], rate: float):
+    """A function that gives this block's matcher; a worker keeps the last two it made."""
+    key = hash((rate, tuple((k, tuple(v)) for k, v in items.items())))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def get() -> Matcher:
         if key not in _READY:
-            _READY.clear()
-            _READY[key] = Matcher(items, rate, min_piece)
-        m = _READY[key]
+            while len(_READY) > 1:
+                _READY.pop(next(iter(_READY)))
+            _READY[key] = Matcher(items, rate)
+        return _READY[key]
+
+    return get
+
+
+def _match_batches(items: dict[str, list[int]], rate: float, clean_only: bool):
+    ready = _matcher(items, rate)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = ready()
         for batch in batches:
             found = [m.hits(normalised(t.as_py())) for t in batch.column("text")]
             if clean_only:
@@ -171,31 +180,32 @@ def _match_batches(items: dict[str, list[int]], rate: float, min_piece: int, cle
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, min_piece: int = MIN_PIECE, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """doc_id, contaminated, item_ids, distances for each row of docs(doc_id, text); both lists are sorted by item id."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, contaminated boolean, item_ids array<bigint>, distances array<bigint>"
     blocks = _blocks(benchmark, block_chars)
     if len(blocks) == 1:
-        return src.mapInArrow(_match_batches(blocks[0], rate, min_piece, False), schema)
+        return src.mapInArrow(_match_batches(blocks[0], rate, False), schema)
     # With several blocks each adds a column of hits to the same row; rows are never joined.
     out = src
     columns = "doc_id bigint, text string"
     for n, items in enumerate(blocks):
         columns += f", hits_{n} array<struct<i:bigint,d:bigint>>"
-        out = out.mapInArrow(_append_batches(items, rate, min_piece, n), columns)
+        out = out.mapInArrow(_append_batches(items, rate, n), columns)
     hits = F.array_sort(F.concat(*(f"hits_{n}" for n in range(len(blocks)))))
     return out.select(
         "doc_id", (F.size(hits) > 0).alias("contaminated"), hits.getField("i").alias("item_ids"), hits.getField("d").alias("distances")
     )
 
 
-def _append_batches(items: dict[str, list[int]], rate: float, min_piece: int, n: int):
+def _append_batches(items: dict[str, list[int]], rate: float, n: int):
+    ready = _matcher(items, rate)
     kind = pa.list_(pa.struct([("i", pa.int64()), ("d", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Matcher(items, rate, min_piece)
+        m = ready()
         for batch in batches:
             found = [[{"i": i, "d": d} for i, d in m.hits(normalised(t.as_py()))] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, f"hits_{n}"])
@@ -204,9 +214,9 @@ def _append_batches(items: dict[str, list[int]], rate: float, min_piece: int, n:
 
 
 def keep_clean(
-    docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, min_piece: int = MIN_PIECE, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """The rows of docs, all columns, that hold no test item."""
     for items in _blocks(benchmark, block_chars):
-        docs = docs.mapInArrow(_match_batches(items, rate, min_piece, True), docs.schema)
+        docs = docs.mapInArrow(_match_batches(items, rate, True), docs.schema)
     return docs
