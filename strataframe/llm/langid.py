@@ -9,15 +9,18 @@ words' probabilities.
 
 Piece probabilities are fitted by expectation maximisation over the words of a
 bounded sample (``docs_per_language`` documents of each language, of these the
-``train_words`` most frequent (language, word) pairs). Words are lower-cased,
+``train_words`` most frequent words of each language). Words are runs between Unicode white space, lower-cased,
 stripped of non-letters, and marked at their start as the vocabulary does.
 
+Words are scored whole, whatever their length, over all their segmentations: up to ``SHORT`` letters many at once, longer ones (scripts without
+spaces) position by position with a window as long as the vocabulary's longest piece. Only in training words over
+``SHORT`` letters are cut into parts of that length.
+
 Cases: text null or without a letter gives ``und`` with score 0; repeated rows
 and equal texts get equal results; a null doc_id counts as an empty id for
 the fold and keeps its row; other columns are ignored, ``lang`` is only read
 from training rows; an empty table gives an empty result; without any training
-row every text is ``und``. Texts of any length are scored whole; words over
-``LONGEST`` letters are scored in parts.
+row every text is ``und``; ties go to the language first in order. Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -30,17 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fold_of, hash_below, mix64, sample_fraction
+from .common import fold_of, mix64, sample_fraction
 
 DOCS_PER_LANGUAGE = 1500
 TRAIN_WORDS = 60_000
 ROUNDS = 3
-LONGEST = 24
-LONGEST_PIECE = 16
+SHORT = 24
+LANGUAGES = 2000
 FLOOR = 1e-9
 CACHE_WORDS = 800_000
 CHUNK_WORDS = 100_000
-_NOT_LETTERS = r"[^\p{L}\x20\x09-\x0D]+"
+#: White space of Python's split, in the JVM's terms.
+_SPACE = r"\s\x1C-\x1F\x85\p{Z}"
+_NOT_LETTERS = rf"[^\p{{L}}{_SPACE}]+"
 
 
 def public_pieces(name: str = "piece_bpe_32k.model") -> list[str]:
@@ -58,7 +63,8 @@ class Pieces:
     BITS = 21
 
     def __init__(self, pieces: list[str]):
-        usable = sorted({p for p in pieces if p and len(p) <= LONGEST_PIECE and not p.startswith("<")})
+        usable = sorted({p for p in pieces if p and not p.startswith("<")})
+        self.longest = max(map(len, usable), default=1)
         self.pieces = usable
         self.n = len(usable)
         hashes = self._hash(usable)
@@ -111,7 +117,7 @@ class Pieces:
                 powers[j + 1] = powers[j] * self._R
             arcs = {}
             for i in range(longest):
-                for j in range(i + 1, min(longest, i + LONGEST_PIECE) + 1):
+                for j in range(i + 1, min(longest, i + self.longest) + 1):
                     rows = np.flatnonzero(lens >= j)
                     if not len(rows):
                         break
@@ -177,25 +183,59 @@ def fit(words: list[str], counts: np.ndarray, pieces: Pieces, rounds: int = ROUN
 
 
 def parts_of(word: str) -> list[str]:
-    """The marked word, cut where it is longer than LONGEST letters."""
+    """The marked word, cut where it is longer than SHORT letters: for training alone."""
     marked = "▁" + word
-    return [marked[i : i + LONGEST] for i in range(0, len(marked), LONGEST)]
+    return [marked[i : i + SHORT] for i in range(0, len(marked), SHORT)]
+
+
+def score_long(marked: str, pieces: Pieces, table: np.ndarray) -> np.ndarray:
+    """log p(word | language) of one word of any length: the forward pass with a rolling window, rescaled at each letter for each language."""
+    letters = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    n, longest = len(letters), pieces.longest
+    with np.errstate(over="ignore"):
+        # prefix[j] = sum of letters[i] R^(j-1-i), by powers of R and of its inverse.
+        inverse = np.uint64(pow(int(pieces._R), -1, 2**64))
+        powers = np.cumprod(np.r_[np.uint64(1), np.full(n, pieces._R)], dtype=np.uint64)
+        back = np.cumprod(np.full(n, inverse), dtype=np.uint64)
+        prefix = np.r_[np.uint64(0), np.cumsum(letters * back, dtype=np.uint64)] * powers
+        found = [pieces.find(prefix[k:] - prefix[:-k] * powers[k]) for k in range(1, min(longest, n) + 1)]
+    # Pieces that end at each letter, by length.
+    ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    for k, ids in enumerate(found, 1):
+        for i in np.flatnonzero(ids >= 0).tolist():
+            ends[i + k].append((k, int(ids[i])))
+    window = np.zeros((longest + 1, table.shape[1]))  # at row k: the sum before the k-th letter back, over that of the last one
+    window[1] = 1.0
+    out = np.zeros(table.shape[1])
+    for j in range(1, n + 1):
+        total = np.zeros(table.shape[1])
+        single = True
+        for k, piece in ends[j]:
+            total += window[k] * table[piece]
+            single = single and k > 1
+        if single:
+            total += window[1] * FLOOR
+        out += np.log(total)
+        window[2:] = window[1:-1] / total
+        window[1] = 1.0
+    return out
 
 
 def score_words(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """log p(word | language) for each word."""
-    flat, owner = [], []
-    for i, w in enumerate(words):
-        for p in parts_of(w):
-            flat.append(p)
-            owner.append(i)
     out = np.zeros((len(words), table.shape[1]))
-    order = np.argsort([len(p) for p in flat], kind="stable")
-    for at in range(0, len(order), 8192):
-        rows = order[at : at + 8192]
-        lens, _, arcs = pieces.lattice([flat[r] for r in rows])
+    short = []
+    for i, w in enumerate(words):
+        if len(w) < SHORT:
+            short.append(i)
+        else:
+            out[i] = score_long("▁" + w, pieces, table)
+    short.sort(key=lambda i: len(words[i]))
+    for at in range(0, len(short), 8192):
+        rows = short[at : at + 8192]
+        lens, _, arcs = pieces.lattice(["▁" + words[i] for i in rows])
         alpha = forward(lens, arcs, table)
-        np.add.at(out, np.array(owner)[rows], np.log(np.maximum(alpha[np.arange(len(rows)), lens], 1e-300)))
+        out[rows] = np.log(np.maximum(alpha[np.arange(len(rows)), lens], 1e-300))
     return out
 
 
@@ -279,15 +319,19 @@ def _score_batches(key: str, vocabulary: str, table: np.ndarray, prior: np.ndarr
 
 def train(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE, train_words: int = TRAIN_WORDS, vocabulary: str = "piece_bpe_32k.model"):
     """(languages, log prior, table) from docs(doc_id, text, lang); all rows given may be learnt from."""
-    rows = {r["lang"]: r["n"] for r in docs.where("lang is not null and text is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = docs.where("lang is not null and text is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # A value of lang is a column of the model; a table with more of them than this has no languages there.
+    if counts.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of lang")
+    rows = {r["lang"]: r["n"] for r in counts.collect()}
     langs = sorted(rows)
     if not langs:
         return [], np.zeros(0), np.zeros((0, 0))
-    keep = F.lit(False)
-    for lang in langs:
-        keep = F.when(F.col("lang") == lang, hash_below("doc_id", sample_fraction(rows[lang], docs_per_language))).otherwise(keep)
+    share = docs.sparkSession.createDataFrame([(lang, int(sample_fraction(n, docs_per_language) * 2**62)) for lang, n in rows.items()], "lang string, below bigint")
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col("doc_id"), F.xxhash64("text")), 2) <= F.col("below")
+    sample = docs.where("text is not null").join(F.broadcast(share), "lang").where(drawn)
     clean = F.regexp_replace(F.lower("text"), _NOT_LETTERS, "")
-    words = docs.where("text is not null").where(keep).select("lang", F.explode(F.split(clean, r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
+    words = sample.select("lang", F.explode(F.split(clean, f"[{_SPACE}]+")).alias("w")).where("w <> ''")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
     top = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", rank).where(F.col("rank") <= train_words)
     by_lang: dict[str, dict[str, int]] = {lang: {} for lang in langs}
