@@ -42,11 +42,13 @@ def fold_of(doc_id: str, folds: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; a folder of its own only where that is unset (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None):
+    """Uses spark.checkpoint.dir; a folder of its own only where that is unset and all runs on this machine (tests)."""
+    if spark.conf.get("spark.checkpoint.dir", None) or not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         return
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "strataframe-checkpoints"))
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "strataframe-checkpoints"))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,13 +58,28 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Has a folder removed when the application ends."""
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+
+
 def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: columns of its own cost, no lineage. Removed when the application ends."""
+    """df written as Parquet to the shared folder and read again, without lineage. Removed when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
