@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.llm import decontaminate, line_dedup, packing, quality_classifier, simhash
-from strataframe.llm.common import table
+from strataframe.llm.common import remove, remove_at_end, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,17 +63,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each but the last returns is written to the shared folder and read again."""
-    from strataframe.llm.common import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    root = f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; what each but the last returns is written to the shared folder and read again. A stage's
+    folder goes once the next one is written, the last at the end of the application."""
+    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    remove_at_end(spark, root)
     docs = table(spark, sf_dir, "documents")
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = f"{root}/{i}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
