@@ -39,7 +39,7 @@ from .common import WORD_BREAK_CHARS, ensure_checkpoint_dir, text_or_empty
 MAX_TOKENS = 2048
 END_ID = 1
 #: Tasks over which the rests of one length are ranked.
-SALTS = 128
+SALTS = 256
 #: Entries from which a worker's word cache starts a new generation, which changes no result.
 CACHE_WORDS = 400_000
 #: The last character of the blocks that are cut by a spelled-out pattern; NFC changes none of them.
@@ -249,7 +249,7 @@ def pack_documents(
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     pieces = src.mapInArrow(_piece_batches(tokenizer, max_tokens, end_id, salts), _PIECES).checkpoint()
 
-    # max_tokens x salts rows at most, whatever the data or the cluster; only the histogram, max_tokens rows, comes to the driver.
+    # max_tokens x salts rows at most, whatever the data or the cluster; of these only the histogram, max_tokens rows, comes to the driver.
     counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     prior = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("prior"))
@@ -271,11 +271,10 @@ def pack_documents(
     for s in sorted(slots):
         by_length.setdefault(s[0], []).append(s[1:])
 
-    ranked = (
-        pieces.join(F.broadcast(prior), ["length", "salt"])
-        .withColumn("rank", F.col("prior") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1)
-        .drop("prior", "salt")
-    )
+    # The join follows the window's partitioning, so the pieces are exchanged once.
+    number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32"))
+    ranked = pieces.withColumn("number", number).join(prior, ["length", "salt"]).withColumn("rank", F.col("prior") + F.col("number") - 1)
+    ranked = ranked.drop("prior", "salt", "number")
     return ranked.mapInArrow(
         _slot_batches(by_length),
         "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
