@@ -78,6 +78,39 @@ def test_quality_rules(docs, labels, rows, empty):
     assert quality_rules.quality_rules(empty, labels.limit(0)).count() == 0
 
 
+def spark_pair_hash(a, b):
+    """Spark's xxhash64 of two strings' hashes, one after the other."""
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in (a, b)]
+    return xxhash.xxh64_intdigest(h[1].to_bytes(8, "little"), xxhash.xxh64_intdigest(h[0].to_bytes(8, "little"), 42))
+
+
+@pytest.mark.parametrize("quantile", [0.2, 0.5])
+def test_quality_verdict_against_brute_force(spark, quantile):
+    rnd = random.Random(21)
+    rows = [(i, text_of(rnd, rnd.randrange(20, 200), 300 if i % 3 else 80), int(i % 3 > 0)) for i in range(60)] + [(70, None, 1), (71, "", 0), (5, "an id twice " * 30, 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] % 2 == 0 and r[0] < 60] + [(None, 1), (8, None)], "doc_id bigint, quality int")
+    got = sorted((r.doc_id, r.n_words, round(r.score, 5), r.kept, r.base_failed) for r in quality_rules.quality_rules(docs, labels, buckets=64, quantile=quantile, slack=0.01).collect())
+    trusted = {r[0] for r in rows if r[0] % 2 == 0 and r[0] < 60 and r[2] == 1}
+    cells = [[spark_pair_hash(a, b) % 64 for a, b in zip(w, w[1:], strict=False)] for w in (words(r[1]) for r in rows)]
+    raw, target = np.zeros(64), np.zeros(64)
+    for r, c in zip(rows, cells, strict=True):
+        np.add.at(raw, c, 1)
+        if r[0] in trusted:
+            np.add.at(target, c, 1)
+    ratio = np.round(np.log((target + 1) / (target.sum() + 64)) - np.log((raw + 1) / (raw.sum() + 64)), 6)
+    score = [ratio[c].sum() / max(len(c), 1) for c in cells]
+    cut = np.quantile([s for s, r in zip(score, rows, strict=True) if r[0] in trusted and len(words(r[1])) >= 50], quantile) - 0.01
+    exp = []
+    for r, s in zip(rows, score, strict=True):
+        n = len(words(r[1]))
+        base = next(g[4] for g in got if g[0] == r[0] and g[1] == n)
+        exp.append((r[0], n, round(float(s), 5), not base and bool(s >= cut), base))
+    assert got == sorted(exp) and 0 < sum(g[3] for g in got) < 55
+    alone = quality_rules.quality_rules(docs, labels.where("quality = 5")).collect()
+    assert all(r.score == 0 and r.kept == (not r.base_failed) for r in alone)
+
+
 def fingerprint(t):
     w = (t or "").encode().lower().split()
     sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else ([b" ".join(w)] if w else [])
@@ -301,6 +334,25 @@ def test_quality_classifier(spark, docs, labels, rows, empty):
     assert quality_classifier.score_quality(empty, labels.limit(0)).count() == 0
 
 
+def test_quality_scores_on_hard_rows(docs, labels, rows):
+    import math
+
+    got = quality_classifier.score_quality(docs, labels).collect()
+    good, bad, slope, offset = quality_classifier._model(docs, labels, 4, 2, quality_classifier.PER_CLASS)
+    c = quality_classifier.Compressors(good, bad)
+
+    def score(t):
+        raw = (t or "").encode()
+        sizes = [sum(len(z.compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024)) for z in (c.good, c.bad)]
+        return 1 / (1 + math.exp(-(slope * (sizes[1] - sizes[0]) / max(len(raw), 1) + offset)))
+
+    exp = sorted((str(d), zlib.crc32(("" if d is None else str(d)).encode()) % 4 == 2, round(score(t), 9)) for d, t, *_ in rows)
+    assert sorted((str(r.doc_id), r.held_out, round(r.score, 9)) for r in got) == exp
+    assert all(r.predicted == int(r.score >= 0.7) for r in got)
+    kept = quality_classifier.keep_good(docs, labels)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.predicted)
+
+
 def removal(rows):
     first, out = {}, []
     key = lambda d: 2**63 - 1 if d is None else d
@@ -548,6 +600,38 @@ def test_line_dedup_generalises(spark):
     assert [r.n_dropped for r in got] == [0] + [1] * 13
 
 
+def test_line_dedup_against_sql(spark, rows):
+    import duckdb
+    import pandas as pd
+
+    from strataframe.llm.queries import ORACLE_SQL
+
+    rnd = random.Random(18)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    made = [(r[0], r[1]) for r in rows] + [(None, None), (None, "Read more"), (9, "two\n\ntexts"), (9, "of one id")]
+    base = [word() for _ in range(16)]
+    families = [[word() for _ in range(14)] for _ in range(6)]
+    for i in range(500, 900):
+        lines = [" ".join(word() for _ in range(rnd.randrange(1, 9)))]
+        copy = ["In", "this", "issue", *base]  # near copies in one leaf
+        copy[3 + rnd.randrange(16)] = word() if rnd.random() < 0.7 else rnd.choice(base)
+        lines.append(" ".join(copy))
+        f = families[rnd.randrange(6)]  # families that share a leaf, each with fields of its own
+        lines.append(" ".join(["We", "all", "know", *(w if (k + len(f[0])) % 3 else word() for k, w in enumerate(f))]))
+        lines.append(f"Seite {i} von {rnd.randrange(99)}  am\t{rnd.randrange(30)}. Mai" if i % 2 else "© " + word())
+        lines.append(rnd.choice(["Read more", "", "   ", "to be or not", "* * * *", f"{i} 7"]))
+        rnd.shuffle(lines)
+        made.append((i, "\n".join(lines)))
+    df = spark.createDataFrame(made, "doc_id bigint, text string")
+    got = sorted(map(repr, (tuple(r) for r in line_dedup.line_dedup(df).collect())))
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame(made, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    con.execute("create view documents as select doc_id, text from frame")
+    exp = sorted(map(repr, con.execute(ORACLE_SQL["op9_line_dedup"]).fetchall()))
+    assert got == exp
+    assert sum(r.n_dropped for r in line_dedup.line_dedup(df).collect()) > 700
+
+
 def test_line_dedup_variable_fields(spark):
     fields = [
         "Page {0} of {1} in total",
@@ -610,6 +694,59 @@ def test_toxicity(spark, docs, labels, rows, empty):
     assert toxicity.score_toxicity(empty, labels.limit(0)).count() == 0
 
 
+def test_prior_from_positives_and_unlabelled_text():
+    rnd = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(300)]
+
+    def document(toxic):
+        d = rnd.choice(250, 30, replace=False)
+        return np.unique(np.r_[d, rnd.choice(np.arange(250, 300), 4)] if toxic else d).astype(np.int32)
+
+    for prior in (0.05, 0.2):
+        positive = [document(True) for _ in range(400)]
+        unlabelled = [document(rnd.random() < prior) for _ in range(3000)]
+        assert abs(toxicity.prior_of(positive, unlabelled, names) - prior) < 0.04
+    assert toxicity.prior_of(positive[:3], unlabelled, names) == toxicity.FIRST_PRIOR
+
+
+def test_toxicity_on_hard_rows(spark, docs, labels, rows):
+    import math
+
+    got = toxicity.score_toxicity(docs, labels).collect()
+    held = {r[0] for r in rows if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5 == 0}
+    texts = docs.select("doc_id", common.text_or_empty().alias("text"))
+    model = toxicity.train(texts.where("doc_id is not null").filter(~docs.doc_id.isin([i for i in held if i is not None])), labels.filter(~labels.doc_id.isin([i for i in held if i is not None])))
+    assert {str(r.doc_id) for r in got if r.held_out} == {str(i) for i in held}
+    weights, offset = model
+    score = lambda t: 1 / (1 + math.exp(-(offset + sum(weights.get(w, 0.0) for w in toxicity.word_set(t or "")))))
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted((str(d), round(score(t), 6)) for d, t, *_ in rows)
+    none = toxicity.score_toxicity(docs, labels.where("toxic = 0")).collect()
+    assert all(r.score < 1e-9 and r.predicted == 0 for r in none)
+
+
+def test_stages_on_hard_rows(spark, docs, rows, empty):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    src = "/root/testdata/sf0.001"
+    hard = docs.unionByName(spark.createDataFrame([(300, "another text of one id", None, None, None, None, None, None, None), (None, None, None, "s", 0, "r", "b", 0.5, 1)], SCHEMA))
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, hard, src), stage(spark, empty, src)
+        assert none.count() == 0
+        found = out.collect()
+        if name == "pack":
+            assert sum(r.start == 0 for r in found) == hard.count()
+            continue
+        assert out.columns == docs.columns and out.schema == docs.schema and len(found) <= hard.count()
+        if name == "lines":
+            assert len(found) == hard.count() and sum(r.text is None for r in found) == 2
+        if name == "near_duplicates":
+            fps = {fingerprint(r.text) for r in hard.collect()}
+            assert len(found) == len({c for c in brute_components([(k, f) for k, f in enumerate(sorted(fps))]).values()})
+        if name == "decontamination":
+            assert len(found) == hard.count()
+
+
 def test_near_duplicates_stage_with_repeated_and_missing_ids(spark):
     import corpus_pipeline
 
