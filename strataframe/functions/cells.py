@@ -73,6 +73,32 @@ def xzorder_code(r: Rect, extent: tuple[float, float, float, float], level: int)
     return out.cast("int")
 
 
+def _plain_range(box, extent, level: int) -> tuple[int, int, int, int]:
+    n = 1 << level
+    w, h = (extent[2] - extent[0]) / n or 1.0, (extent[3] - extent[1]) / n or 1.0
+    held = lambda v: max(0, min(n - 1, v))
+    c0, r0 = held(math.floor((box[0] - extent[0]) / w)), held(math.floor((box[1] - extent[1]) / h))
+    return c0, r0, max(c0, held(math.ceil((box[2] - extent[0]) / w) - 1)), max(r0, held(math.ceil((box[3] - extent[1]) / h) - 1))
+
+
+def plain_zorder_code(box, extent, level: int) -> int:
+    """The twin of zorder_code for one box."""
+    for lv in range(level, 0, -1):
+        c0, r0, c1, r1 = _plain_range(box, extent, lv)
+        if c0 == c1 and r0 == r1:
+            return cell_code(lv, c0, r0)
+    return 0
+
+
+def plain_xzorder_code(box, extent, level: int) -> int:
+    """The twin of xzorder_code for one box."""
+    for lv in range(level, 0, -1):
+        c0, r0, c1, r1 = _plain_range(box, extent, lv)
+        if c1 - c0 <= 1 and r1 - r0 <= 1:
+            return cell_code(lv, c0, r0)
+    return 0
+
+
 def level_of(code: int) -> int:
     lv = 0
     while cells_before(lv + 1) <= code:

@@ -31,6 +31,12 @@ class Rect:
     def lit(minx: float, miny: float, maxx: float, maxy: float) -> Rect:
         return Rect(*(F.lit(float(v)) for v in (minx, miny, maxx, maxy)))
 
+    @staticmethod
+    def empty() -> Rect:
+        """The start of a union: not valid, and any rectangle joined to it comes out unchanged."""
+        big = 1.7976931348623157e308
+        return Rect.lit(big, big, -big, -big)
+
     def struct(self) -> Column:
         return F.struct(*(c.alias(n) for c, n in zip(self.columns(), ("minx", "miny", "maxx", "maxy"), strict=True)))
 

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import cells, crs, geometry
+from ..functions import cells, crs, geometry, paths
 from ..functions.rect import Rect
 from ..functions.segment import Segment, angle, cross, distance2, ring_contains
-from ..operators import join, query, themes, tiles
+from ..operators import index, join, query, themes, tiles
 from ..operators.batches import slices
 from ..operators.where import where
 from .fixtures import cte, view
@@ -39,7 +39,9 @@ def register(views: tuple[str, ...], sql: str | None = None):
         if sql is not None:
             made = [v for v in views if v.startswith("fx_")]
             text = sql.strip()
-            if made and text.lower().startswith("with "):
+            if made and text.lower().startswith("with recursive "):
+                text = "with recursive " + cte(*made).rstrip()[5:] + ", " + text[15:]
+            elif made and text.lower().startswith("with "):
                 text = cte(*made).rstrip() + ", " + text[5:]
             elif made:
                 text = cte(*made) + text
@@ -723,10 +725,10 @@ def tile_ranges(b):
 
 @register(
     (B,),
-    """with e as (select max(maxx) - min(minx) as w, max(maxy) - min(miny) as h, count(*) as n from fx_boxes), l as (select l from unnest(range(0, 21)) t(l)),
- low as (select max(l) as low from l, e where l = 0 or 180 / pow(2e0, l) >= greatest(w, h)),
- high as (select coalesce(min(l), 20) as high from l, e, low where l >= low and w * h / n >= pow(180 / pow(2e0, l), 2))
- select cast(l as int) as level, 360e0 / pow(2e0, l) / 256 as degrees from l, low, high where l between low and high""",
+    """with recursive e as (select max(maxx) - min(minx) + max(maxy) - min(miny) as size, count(*) as n from fx_boxes),
+ low as (select min(l) as low from unnest(range(0, 60)) t(l), e where size >= 180 / pow(2e0, l)),
+ down as (select n, 0 as steps from e union all select n // 4, steps + 1 from down where n > 10)
+ select cast(l as int) as level, 360e0 / pow(2e0, l) / 256 as degrees from unnest(range(0, 99)) t(l), low where l between low and low + (select max(steps) from down)""",
 )
 def tile_levels(b):
     """Levels of use for a layer, from its extent and count, with their resolutions."""
@@ -807,14 +809,42 @@ def overview_factors(a):
     return df.select("fid", "factor", F.regexp_extract(name, r"_L(\d+)_", 1).cast("int").alias("level"))
 
 
+_PATH = "'/data/' || c_mktsegment || '/' || c_name || '.shp'"
+
+
 @register(
     ("customer",),
-    """select c_custkey as fid, regexp_extract('/data/' || c_mktsegment || '/' || c_name || '.shp', '([^/]*)\\.[^./]*$', 1) as title,
- regexp_extract('/data/' || c_mktsegment || '/' || c_name || '.shp', '\\.([^./]*)$', 1) as ext from customer""",
+    f"""select c_custkey as fid, regexp_extract({_PATH}, '([^/]*)\\.[^./]*$', 1) as title, regexp_extract({_PATH}, '\\.([^./]*)$', 1) as ext,
+ '/data/' || c_mktsegment || '/' || c_name || '.gmp' as changed, '../' || c_mktsegment || '/' || c_name || '.shp' as rel, {_PATH} as back from customer""",
 )
 def file_title_ext(c):
     path = F.concat(F.lit("/data/"), "c_mktsegment", F.lit("/"), "c_name", F.lit(".shp"))
-    return c.select(F.col("c_custkey").alias("fid"), F.regexp_extract(path, r"([^/]*)\.[^./]*$", 1).alias("title"), F.regexp_extract(path, r"\.([^./]*)$", 1).alias("ext"))
+    rel = paths.relative(F.lit("/data/maps/all.gmp"), path)
+    return c.select(
+        F.col("c_custkey").alias("fid"), paths.title(path).alias("title"), paths.extension(path).alias("ext"), paths.with_extension(path, "gmp").alias("changed"),
+        rel.alias("rel"), paths.absolute(F.lit("/data/maps/all.gmp"), rel).alias("back"),
+    )
+
+
+@register(
+    (P,),
+    """with q as (select fid, cast(floor((x + 180) / 45) as int) as c3, cast(floor((y + 90) / 22.5e0) as int) as r3 from fx_points), n3 as (select c3, r3, count(*) as n from q group by all),
+ n2 as (select c3 // 2 as c2, r3 // 2 as r2, sum(n) as n from n3 group by all), n1 as (select c2 // 2 as c1, r2 // 2 as r1, sum(n) as n from n2 group by all)
+ select case when n1.n <= 400 then 1 when n2.n <= 400 then 2 else 3 end as depth, count(*) as features from q
+ join n2 on c2 = c3 // 2 and r2 = r3 // 2 join n1 on c1 = c3 // 4 and r1 = r3 // 4 where (select count(*) from q) > 400 group by 1""",
+)
+def adaptive_quadtree(p):
+    """Leaves that are split only where they hold more than their capacity."""
+    leaves = index.quadtree_leaves(p.select("fid", F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy")), WORLD, capacity=400, depth=3)
+    return leaves.groupBy(F.length("leaf").alias("depth")).agg(F.count(F.lit(1)).alias("features"))
+
+
+@register((B,), f"select 'xzorder' as kind, code, count(*) as n from (select {_sql_code('xz', 1)} as code from fx_boxes) t group by code")
+def index_choice(b):
+    """The code index of a table at the level that its count asks for."""
+    kind, level, coded_ = index.with_index(b, WORLD, "xzorder", rows=5000)
+    assert level == 1
+    return coded_.groupBy("code").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "code", "n")
 
 
 @register((P,), "select fid, cast(floor(x + 0.5e0) as bigint) as rx, cast(abs(floor(y + 0.5e0)) as bigint) as ay, cast(kind = 'O' as int) as is_open from fx_points")
@@ -926,56 +956,156 @@ def mvt_tiles(p):
     return t.select("level", "col", F.col("row").alias("row_no"), F.length("data").cast("bigint").alias("bytes"), F.sha2("data", 256).alias("digest"))
 
 
-def sample_shapefile(folder: str) -> str:
-    """A small polyline shapefile with attributes, made with the stdlib; gives its path."""
-    path = os.path.join(folder, "lines.shp")
+def shapefile_bytes(lines: list[tuple[int, list[tuple[float, float]]]], attributes: list[tuple]) -> dict[str, bytes]:
+    """.shp, .shx and .dbf of polylines with attributes NAME, POP, AREA, DAY, OK."""
     records, index, at = b"", b"", 50
-    for i in range(20):
-        pts = [(float(i), 0.0), (i + 0.5, 1.0), (i + 1.0, 0.0)]
-        flat = [v for p in pts for v in p]
-        body = struct.pack("<i4d2i", 3, i, 0, i + 1, 1, 1, 3) + struct.pack("<i", 0) + struct.pack("<6d", *flat)
+    for i, pts in lines:
+        xs, ys = [p[0] for p in pts], [p[1] for p in pts]
+        body = struct.pack("<i4d2i", 3, min(xs), min(ys), max(xs), max(ys), 1, len(pts)) + struct.pack("<i", 0) + struct.pack(f"<{2 * len(pts)}d", *(v for p in pts for v in p))
         records += struct.pack(">2i", i + 1, len(body) // 2) + body
         index += struct.pack(">2i", at, len(body) // 2)
         at += 4 + len(body) // 2
-    head = lambda words: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i8d", 1000, 3, 0, 0, 20, 1, 0, 0, 0, 0)
-    with open(path, "wb") as f:
-        f.write(head(at) + records)
-    with open(path[:-4] + ".shx", "wb") as f:
-        f.write(head(50 + 4 * 20) + index)
-    fields = [("NAME", b"C", 8, 0), ("POP", b"N", 6, 0), ("AREA", b"N", 8, 2), ("DAY", b"D", 8, 0), ("OK", b"L", 1, 0)]
+    head = lambda words: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i8d", 1000, 3, -180, -90, 180, 90, 0, 0, 0, 0)
+    fields = [("NAME", b"C", 24, 0), ("POP", b"N", 12, 0), ("AREA", b"N", 12, 2), ("DAY", b"D", 8, 0), ("OK", b"L", 1, 0)]
     size = 1 + sum(f[2] for f in fields)
-    dbf = struct.pack("<4BIHH20x", 3, 120, 1, 1, 20, 32 + 32 * len(fields) + 1, size)
+    dbf = struct.pack("<4BIHH20x", 3, 120, 1, 1, len(lines), 32 + 32 * len(fields) + 1, size)
     for n, t, ln, d in fields:
         dbf += n.encode().ljust(11, b"\0") + t + b"\0" * 4 + bytes([ln, d]) + b"\0" * 14
     dbf += b"\r"
-    for i in range(20):
-        dbf += b" " + f"line{i}".ljust(8).encode() + f"{i * 10:6d}".encode() + f"{i / 4:8.2f}".encode() + b"20200102" + (b"T" if i % 2 else b"F")
-    with open(path[:-4] + ".dbf", "wb") as f:
-        f.write(dbf + b"\x1a")
+    for name, pop, area, day, ok in attributes:
+        dbf += b" " + name.encode().ljust(24)[:24] + f"{pop:12d}".encode() + f"{area:12.2f}".encode() + (day or " " * 8).encode() + (b"?" if ok is None else b"T" if ok else b"F")
+    return {"shp": head(at) + records, "shx": head(50 + 4 * len(lines)) + index, "dbf": dbf + b"\x1a"}
+
+
+def sample_shapefile(folder: str) -> str:
+    """A small polyline shapefile with attributes; gives its path."""
+    path = os.path.join(folder, "lines.shp")
+    lines = [(i, [(float(i), 0.0), (i + 0.5, 1.0), (i + 1.0, 0.0)]) for i in range(20)]
+    for kind, data in shapefile_bytes(lines, [(f"line{i}", i * 10, i / 4, "20200102", bool(i % 2)) for i in range(20)]).items():
+        with open(f"{path[:-3]}{kind}", "wb") as f:
+            f.write(data)
     return path
 
 
+def _table_folder(spark: SparkSession) -> str:
+    """A folder of its own for files made from a table: the shared one where there is one."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{root.rstrip('/')}/strataframe-{uuid.uuid4().hex}"
+
+
 @register(
-    ("region",),
-    """select cast(i as bigint) as fid, cast(5 as int) as gtype, cast(i as double) as minx, 'line' || cast(i as varchar) as name, cast(i * 10 as bigint) as pop, i / 4e0 as area, i % 2 = 1 as ok from unnest(range(0, 20)) t(i)""",
+    (V,),
+    """select fid, cast(5 as int) as gtype, count(*) as vertices, min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy from fx_vertices where fid <= 200 group by fid""",
 )
-def shp_scan(region):
+def shp_folder_scan(v):
+    """A table written as shapefiles of fifty lines each, then read as a folder."""
+    from ..sources import files
+    from ..sources.shapefile import read_folder
+
+    spark = v.sparkSession
+    folder = _table_folder(spark)
+    held: dict[int, list] = {}
+    for r in v.where("fid <= 200").orderBy("fid", "seq").collect():  # a fixture of 200 lines
+        held.setdefault(r["fid"], []).append((r["x"], r["y"]))
+    ids = sorted(held)
+    for at in range(0, len(ids), 50):
+        part = [(fid, held[fid]) for fid in ids[at : at + 50]]
+        made = shapefile_bytes(part, [("", 0, 0.0, None, None)] * len(part))
+        for kind in ("shp", "shx"):
+            files.put(spark, f"{folder}/part{at:05d}.{kind}", made[kind])
+    found = read_folder(spark, folder)
+    first = F.regexp_extract("file", r"part(\d+)$", 1).cast("bigint")
+    return found.select((first + F.col("fid") + min(ids, default=0)).alias("fid"), "gtype", geometry.point_count(F.col("parts")).cast("bigint").alias("vertices"), "minx", "miny", "maxx", "maxy")
+
+
+@register(
+    ("customer",),
+    """select c_custkey as fid, cast(5 as int) as gtype, cast(c_custkey % 360 - 180 as double) as minx, c_name as name, cast(c_nationkey as bigint) as pop, round(c_acctbal, 2) as area,
+ case when c_custkey % 3 = 0 then null else date '2020-01-02' end as day_, case when c_custkey % 5 = 0 then null else c_custkey % 2 = 1 end as ok from customer where c_custkey <= 300""",
+)
+def shp_scan(c):
+    """A table written as a shapefile with its attributes, then read by runs of records. Reader and writer share this machine's folder."""
     from ..sources.shapefile import ShapefileSource
 
-    spark = region.sparkSession
+    spark = c.sparkSession
     spark.dataSource.register(ShapefileSource)
-    path = sample_shapefile(tempfile.mkdtemp())
-    df = spark.read.format("strata_shp").option("records", "7").load(path)
-    return df.select("fid", "gtype", "minx", F.col("NAME").alias("name"), F.col("POP").alias("pop"), F.col("AREA").alias("area"), F.col("OK").alias("ok"))
+    rows = c.where("c_custkey <= 300").orderBy("c_custkey").collect()  # a fixture of 300 rows
+    lines = [(r["c_custkey"], [(float(r["c_custkey"] % 360 - 180), 0.0), (r["c_custkey"] % 360 - 179.0, 1.0)]) for r in rows]
+    made = shapefile_bytes(lines, [(r["c_name"], r["c_nationkey"], r["c_acctbal"], None if r["c_custkey"] % 3 == 0 else "20200102", None if r["c_custkey"] % 5 == 0 else r["c_custkey"] % 2 == 1) for r in rows])
+    path = _local_folder(spark)
+    for kind, data in made.items():
+        with open(f"{path}/t.{kind}", "wb") as f:
+            f.write(data)
+    df = spark.read.format("strata_shp").option("records", "70").load(f"{path}/t.shp")
+    names = {"NAME": "name", "POP": "pop", "AREA": "area", "DAY": "day_", "OK": "ok"}
+    return df.select("fid", "gtype", "minx", *(F.col(k).alias(v) for k, v in names.items()))
+
+
+def _local_folder(spark: SparkSession) -> str:
+    """A folder that the standard library reaches on each machine: the shared one, where it is a plain path."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root.removeprefix("file://") if root and (root.startswith("/") or root.startswith("file:///")) else None
+    if root:
+        os.makedirs(root, exist_ok=True)
+    return tempfile.mkdtemp(dir=root)
+
+
+@register(("nation",), "select n_nationkey::bigint + 1 as fid, n_name as name, n_regionkey * 2e0 as x, n_regionkey + 0.5e0 as weight from nation")
+def sqlite_scan(nation):
+    """A table written to a SQLite store with its catalogue, then read by runs of row ids."""
+    from ..sources.spatialite import SpatialiteSource, SqliteStore
+
+    spark = nation.sparkSession
+    spark.dataSource.register(SpatialiteSource)
+    store = SqliteStore(os.path.join(_local_folder(spark), "store.sqlite"))
+    name = store.create("nations", geometry.POINT, [("name", "string"), ("weight", "double")])
+    rows = nation.orderBy("n_nationkey").collect()  # twenty-five rows
+    store.write(name, [(r["n_nationkey"] + 1, geometry.POINT, [[[(r["n_regionkey"] * 2.0, 1.0)]]], r["n_name"], r["n_regionkey"] + 0.5) for r in rows])
+    df = spark.read.format("strata_sqlite").option("table", name).option("rows", "10").load(store.path)
+    return df.select("fid", "name", F.col("minx").alias("x"), "weight")
 
 
-@register(("region",), "select r_regionkey::bigint as fid, r_name as name, r_regionkey * 2e0 as x from region")
-def sqlite_scan(region):
-    from ..sources.spatialite import SpatialiteSource, write_table
+@register((B,), "select fid, minx, maxy from fx_boxes where minx <= 60 and maxx >= -20 and miny <= 40 and maxy >= -20")
+def key_store_scan(b):
+    """A table kept in the order of cell code and id, then a box read as ranges of codes."""
+    from ..sources.stores import KeyStore
 
-    spark = region.sparkSession
-    spark.dataSource.register(SpatialiteSource)
-    path = os.path.join(tempfile.mkdtemp(), "store.sqlite")
-    rows = [(r["r_regionkey"], 1, [[[(r["r_regionkey"] * 2.0, 1.0)]]], r["r_name"]) for r in region.collect()]  # five rows
-    write_table(rows, path, "regions", [("name", "string")])
-    return spark.read.format("strata_sqlite").option("table", "regions").load(path).select("fid", "name", F.col("minx").alias("x"))
+    spark = b.sparkSession
+    store = KeyStore(spark, _table_folder(spark))
+    store.create("boxes", geometry.POLYGON, WORLD, LEVEL)
+    store.write("boxes", b.select("fid", F.lit(geometry.POLYGON).alias("gtype"), geometry.rect_parts(Rect.of()).alias("parts")))
+    return store.scan("boxes", BOX).select("fid", "minx", "maxy")
+
+
+@register((P,), "select fid, x from fx_points where x >= -180 and x <= 60 and y >= -20 and y <= 40 and fid > 1000 order by fid limit 200")
+def point_index_search(p):
+    """A page of documents in a box that reaches over the world's bounds."""
+    from ..sources.stores import PointIndex
+
+    store = PointIndex(p.sparkSession, _table_folder(p.sparkSession))
+    store.create("points")
+    store.write("points", p)
+    return store.search("points", (-400.0, -20.0, 60.0, 40.0), 1000, 200).select(F.col("gid").alias("fid"), F.col("location.lon").alias("x"))
+
+
+@register((A,), "select lvl, cast(count(*) as int) as files, min(minx) as minx, max(maxy) as maxy, max(res) as res from fx_rasters where fid <= 400 group by lvl")
+def mosaic_catalog(a):
+    """A raster catalogue saved as JSON and opened again."""
+    from ..sources import catalogs
+
+    spark = a.sparkSession
+    path = f"{_table_folder(spark)}/all.gmr"
+    named = a.where("fid <= 400").withColumn("file", F.concat(F.lit(f"{path[:-8]}/img"), F.col("fid"), F.lit(".tif")))
+    catalogs.save_mosaic(named, path)
+    return catalogs.open_mosaic(spark, path).groupBy("lvl").agg(F.count("file").cast("int").alias("files"), F.min("minx").alias("minx"), F.max("maxy").alias("maxy"), F.max("res").alias("res"))
+
+
+@register((V,), "select fid, cast(5 as int) as gtype from fx_vertices group by fid")
+def pyramid_roundtrip(v):
+    """Levels of detail saved in chunks; the finest is read back whole."""
+    f = geometry.from_vertices(v, geometry.POLYLINE)
+    path = _table_folder(v.sparkSession)
+    tiles.save_pyramid(f, [0, 6], path, chunk=500)
+    return tiles.load_pyramid(v.sparkSession, path, 9).select("fid", "gtype")

@@ -6,6 +6,11 @@
 Columns: fid (record number from 0), gtype, parts, minx, miny, maxx, maxy and
 the attributes. Numbers without decimals become bigint, others double; dates
 are read as yyyyMMdd. The path must be readable on every worker.
+
+Options: ``records`` (of a partition), ``encoding``, ``only`` ("box": fid and box alone, from the first bytes of each record),
+``ids`` (record numbers, with commas: neighbours are read together).
+
+``read_folder`` reads all shapefiles below a folder of any file system that Spark reaches, a file a task, as whole binaries.
 """
 
 from __future__ import annotations
@@ -14,6 +19,9 @@ import datetime
 import os
 import struct
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -93,20 +101,47 @@ def cast(raw: str, kind: str):
         return None
 
 
+def decode_box(head: bytes):
+    """The box in the first 36 bytes of a record's content; None for a null shape."""
+    (kind,) = struct.unpack_from("<i", head)
+    if kind not in TYPES:
+        return None
+    if kind == 1:
+        x, y = struct.unpack_from("<2d", head, 4)
+        return x, y, x, y
+    return struct.unpack_from("<4d", head, 4)
+
+
+def runs_of(ids: list[int], most: int) -> list[tuple[int, int]]:
+    """(first, count) of neighbouring record numbers."""
+    out: list[tuple[int, int]] = []
+    for i in sorted(set(ids)):
+        if out and i == sum(out[-1]) and out[-1][1] < most:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((i, 1))
+    return out
+
+
 class _Run(InputPartition):
     def __init__(self, first: int, count: int):
         self.first, self.count = first, count
 
 
 class ShapefileReader(DataSourceReader):
-    def __init__(self, path: str, encoding: str, size: int):
-        self.path, self.encoding, self.size = path, encoding, size
+    def __init__(self, path: str, encoding: str, size: int, only: str = "", ids: list[int] | None = None):
+        self.path, self.encoding, self.size, self.only, self.ids = path, encoding, size, only, ids
 
     def partitions(self):
         n = (os.path.getsize(self.path[:-4] + ".shx") - 100) // 8
+        if self.ids is not None:
+            return [_Run(a, k) for a, k in runs_of([i for i in self.ids if 0 <= i < n], self.size)] or [_Run(0, 0)]
         return [_Run(i, min(self.size, n - i)) for i in range(0, n, self.size)] or [_Run(0, 0)]
 
     def read(self, run: _Run):
+        if self.only == "box":
+            yield from self._boxes(run)
+            return
         dbf = self.path[:-4] + ".dbf"
         rows, start, size, fields = dbf_fields(dbf) if os.path.exists(dbf) else (0, 0, 0, [])
         with open(self.path[:-4] + ".shx", "rb") as shx, open(self.path, "rb") as shp:
@@ -132,15 +167,54 @@ class ShapefileReader(DataSourceReader):
                     table.close()
 
 
+    def _boxes(self, run: _Run):
+        with open(self.path[:-4] + ".shx", "rb") as shx, open(self.path, "rb") as shp:
+            shx.seek(100 + 8 * run.first)
+            index = struct.unpack(f">{2 * run.count}i", shx.read(8 * run.count))
+            for k in range(run.count):
+                shp.seek(index[2 * k] * 2 + 8)
+                yield (run.first + k, *(decode_box(shp.read(min(36, index[2 * k + 1] * 2))) or (None,) * 4))
+
+
 class ShapefileSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "strata_shp"
 
     def schema(self) -> str:
+        if self.options.get("only") == "box":
+            return "fid bigint, minx double, miny double, maxx double, maxy double"
         dbf = self.options["path"][:-4] + ".dbf"
         fields = dbf_fields(dbf)[3] if os.path.exists(dbf) else []
         return ", ".join([_HEAD, *(f"`{n}` {_kind(t, d)}" for n, t, _, d in fields)])
 
     def reader(self, schema: StructType) -> ShapefileReader:
-        return ShapefileReader(self.options["path"], self.options.get("encoding", "utf-8"), int(self.options.get("records", RECORDS)))
+        return ShapefileReader(self.options["path"], self.options.get("encoding", "utf-8"), int(self.options.get("records", RECORDS)), self.options.get("only", ""), self._ids())
+
+    def _ids(self) -> list[int] | None:
+        ids = self.options.get("ids")
+        return None if ids is None else [int(i) for i in ids.split(",") if i.strip()]
+
+
+def records_of(shp: bytes, shx: bytes):
+    """(number, gtype, parts, box) of each record of a file held whole."""
+    for k in range((len(shx) - 100) // 8):
+        at, n = struct.unpack_from(">2i", shx, 100 + 8 * k)
+        yield (k, *(decode(shp[2 * at + 8 : 2 * at + 8 + 2 * n]) or (None, None, (None,) * 4)))
+
+
+def read_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, fid, gtype, parts, box) of all shapefiles below a folder; .shp and .shx of one name meet in one task."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[sS][hH][pPxX]").load(folder)
+    found = found.select(F.regexp_replace("path", r"\.[^.]*$", "").alias("file"), F.lower(F.right("path", F.lit(3))).alias("kind"), "content")
+
+    def decode_file(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        by = dict(zip(held["kind"], held["content"], strict=True))
+        rows = []
+        if {"shp", "shx"} <= set(by):
+            for k, gtype, parts, box in records_of(bytes(by["shp"]), bytes(by["shx"])):
+                rows.append((key[0], k, gtype, parts and [[[{"x": x, "y": y} for x, y in r] for r in p] for p in parts], *box))
+        out = pd.DataFrame(rows, columns=["file", "fid", "gtype", "parts", "minx", "miny", "maxx", "maxy"])
+        return out.astype({"gtype": "Int32"})
+
+    return found.groupBy("file").applyInPandas(decode_file, f"file string, {_HEAD}")

@@ -208,6 +208,33 @@ def test_mercator_round_trip(spark):
     assert crs.from_wkt('GEOGCS["GCS_WGS_1984",DATUM["x"]]') == 4326
 
 
+def test_transverse_mercator(spark):
+    # Published values: the middle meridian at the equator, and a point of zone 33.
+    for lon, lat, epsg, x, y in ((15.0, 0.0, 32633, 500000.0, 0.0), (-3.0, 60.0, 32630, 500000.0, 6651411.19), (117.0, 0.0, 4548, 500000.0, 0.0), (117.0, 0.0, 4527, 39500000.0, 0.0)):
+        a, b = crs.transform(F.lit(lon), F.lit(lat), 4326, epsg)
+        got = one(spark, x=a, y=b)
+        assert math.isclose(got.x, x, abs_tol=0.01) and math.isclose(got.y, y, abs_tol=0.01), (epsg, got)
+    for lon, lat, epsg in ((12.3, 45.6, 32633), (17.9, -33.0, 32733), (118.2, 31.9, 4548), (115.7, 22.2, 4527)):
+        back = crs.transform(*crs.transform(F.lit(lon), F.lit(lat), 4326, epsg), epsg, 4326)
+        got = one(spark, x=back[0], y=back[1])
+        assert math.isclose(got.x, lon, abs_tol=1e-8) and math.isclose(got.y, lat, abs_tol=1e-8)
+    with pytest.raises(ValueError):
+        crs.transform(F.lit(1.0), F.lit(1.0), 4326, 99999)
+
+
+def test_rings_and_points(spark):
+    from strataframe.functions import segment
+
+    pts = lambda *v: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in v))
+    ring = pts((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))
+    got = one(
+        spark, a=segment.points_in_ring(pts((1, 1), (0, 2), (4, 2), (5, 5)), ring), b=segment.points_in_ring(pts((1, 1), (0, 2), (4, 2), (5, 5)), ring, True),
+        c=segment.ring_has_all(pts((1, 1), (0, 2)), ring), d=segment.ring_has_all(pts((1, 1), (0, 2)), ring, True), e=segment.ring_has_any(pts((9, 9), (4, 4)), ring),
+        f=Rect.empty().union(Rect.lit(1, 2, 3, 4)).maxx, g=Rect.empty().is_valid(),
+    )
+    assert tuple(got) == ([True, False, False, False], [True, True, True, False], False, True, True, 3.0, False)
+
+
 def test_thinning():
     line = [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (2.0, 5.0)]
     assert geometry.slim_line(line) == [(0.0, 0.0), (2.0, 0.0), (2.0, 5.0)]

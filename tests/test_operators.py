@@ -180,6 +180,121 @@ def test_store(spark, tmp_path):
     assert store.drop("cities") and store.names() == []
 
 
+def test_sqlite_store(spark, tmp_path):
+    from strataframe.sources.spatialite import SqliteStore
+
+    store = SqliteStore(str(tmp_path / "s.sqlite"))
+    name = store.create("Roads", 1, [("name", "string"), ("pk", "bigint"), ("len", "double")])
+    assert store.create("roads", 1, []) == "roads001" and store.tables()[0] == {"name": "Roads", "gtype": 1, "srid": 4326, "level": -1, "index": "xzorder"}
+    assert store.statistics("roads001") == (0, None)
+    assert store.write(name, [(None, 1, [[[(1.0, 2.0)]]], "a", 0.5), (None, 1, [[[(3.0, 9.0)]]], "b", None), (None, 1, None, "c", 1.0)]) == 3
+    assert store.statistics(name) == (3, (1.0, 2.0, 3.0, 9.0))
+    assert store.column_exists(name, "LEN") and not store.column_exists(name, "wide")
+    store.add_column(name, "wide", "double")
+    store.add_index(name, "len")
+    spark.dataSource.register(SpatialiteSource)
+    rows = spark.read.format("strata_sqlite").option("table", name).load(store.path).orderBy("fid").collect()
+    assert [(r.fid, r.name, r.len, r.minx, r.wide) for r in rows] == [(1, "a", 0.5, 1.0, None), (2, "b", None, 3.0, None), (3, "c", 1.0, None, None)]
+    assert store.delete(name) and not store.delete(name) and [t["name"] for t in store.tables()] == ["roads001"]
+
+
+def test_key_store(spark, tmp_path):
+    from strataframe.functions import geometry
+    from strataframe.sources.stores import KeyStore
+
+    rnd = random.Random(31)
+    rows = [(i, s, rnd.uniform(-170, 170) if s == 0 else 0.0, rnd.uniform(-80, 80)) for i in range(200) for s in (0,)]
+    rows += [(i, 1, x + rnd.uniform(0, 5), y + rnd.uniform(0, 5)) for i, _, x, y in rows]
+    lines = geometry.from_vertices(spark.createDataFrame(rows, "fid bigint, seq int, x double, y double"), 5)
+    store = KeyStore(spark, str(tmp_path / "keys"))
+    store.create("lines", 5, (-180.0, -90.0, 180.0, 90.0), 6)
+    with pytest.raises(ValueError):
+        store.create("lines", 5, (-180.0, -90.0, 180.0, 90.0), 6)
+    store.write("lines", lines.where("fid < 100"))
+    store.write("lines", lines.where("fid >= 100"))
+    info = store.info("lines")
+    boxes = {i: (min(a[2], b[2]), min(a[3], b[3]), max(a[2], b[2]), max(a[3], b[3])) for a, b in zip(rows[:200], rows[200:], strict=True) for i in (a[0],)}
+    assert info["count"] == 200 and info["bbox"] == [min(b[0] for b in boxes.values()), min(b[1] for b in boxes.values()), max(b[2] for b in boxes.values()), max(b[3] for b in boxes.values())]
+    q = (-30.0, -20.0, 60.0, 40.0)
+    got = store.scan("lines", q).collect()
+    assert sorted(r.fid for r in got) == sorted(i for i, b in boxes.items() if b[0] <= q[2] and q[0] <= b[2] and b[1] <= q[3] and q[1] <= b[3])
+    assert all(len(r.rowkey) == 12 and int.from_bytes(r.rowkey[4:], "big") == r.fid for r in got)
+    assert store.names() == ["lines"] and store.delete("lines") and store.names() == []
+
+
+def test_point_index(spark, tmp_path):
+    from strataframe.sources.stores import PointIndex
+
+    store = PointIndex(spark, str(tmp_path / "docs"))
+    store.create("shops")
+    store.write("shops", spark.range(100).selectExpr("id as fid", "cast(id as double) x", "cast(id % 10 as double) y"))
+    box = (10.0, 0.0, 500.0, 4.0)
+    first = [r.gid for r in store.search("shops", box, size=7).collect()]
+    second = [r.gid for r in store.search("shops", box, after=first[-1], size=7).collect()]
+    assert first + second == [i for i in range(10, 100) if i % 10 <= 4][:14]
+    assert store.names() == ["shops"] and store.delete("shops") and store.names() == []
+
+
+def test_catalogs(spark, tmp_path):
+    from strataframe.sources import catalogs, files
+
+    root = str(tmp_path)
+    for name in ("a/x.SHP", "a/y.tif", "a/Thumbnails/z.tif", "b/w.tiff"):
+        files.put(spark, f"{root}/{name}", b"1")
+    assert [p.rsplit("/", 1)[1] for p in catalogs.shapefiles(spark, root)] == ["x.SHP"]
+    assert [p.rsplit("/", 1)[1] for p in catalogs.rasters(spark, root)] == ["y.tif", "w.tiff"]
+    doc = catalogs.MapDocument("all", 4326, [catalogs.Layer("x", f"{root}/a/x.SHP", "range", {"classes": 10})])
+    doc.save(spark, f"{root}/maps/all.gmp")
+    assert b"../a/x.SHP" in files.get(spark, f"{root}/maps/all.gmp") and catalogs.MapDocument.open(spark, f"{root}/maps/all.gmp") == doc
+    catalogs.save_services(spark, f"{root}/list.gms", [f"{root}/maps/all.gmp"])
+    files.put(spark, f"{root}/list2.gms", b"// no\n\nmaps/all.gmp\n")
+    assert catalogs.open_services(spark, f"{root}/list.gms") == catalogs.open_services(spark, f"{root}/list2.gms") == [f"{root}/maps/all.gmp"]
+    rows = [(0, f"{root}/a/y.tif", 0.0, 0.0, 10.0, 10.0, 0.5), (0, f"{root}/b/w.tiff", 10.0, 0.0, 20.0, 10.0, 0.5), (1, f"{root}/a/Thumbnails/z.tif", 0.0, 0.0, 20.0, 10.0, 2.0)]
+    catalogs.save_mosaic(spark.createDataFrame(rows, catalogs.MOSAIC), f"{root}/m/all.gmr")
+    assert sorted(map(tuple, catalogs.open_mosaic(spark, f"{root}/m/all.gmr").collect())) == sorted(rows)
+    assert catalogs.raster_box((100.0, 0.5, 0.0, 50.0, 0.0, -0.25), 20, 40) == (100.0, 40.0, 110.0, 50.0)
+
+
+def test_paths():
+    from strataframe.functions import paths
+
+    assert paths.free_name("Roads", ["roads", "roads001"]) == "Roads002" and paths.free_name("x", ["y"]) == "x"
+    assert paths.relative_path("/c/temp/a.gmp", "/c/abc.def") == "../abc.def" and paths.absolute_path("hdfs://h/c/temp/a.gmp", "../x") == "hdfs://h/c/x"
+    assert paths.json_objects('x {"a": "}{"} , {"b": {"c": 1}}]') == ['{"a": "}{"}', '{"b": {"c": 1}}']
+    assert paths.progress(50, 200, 10.0) == (25, 5.0, 30.0)
+
+
+def test_pyramid_and_tiles_are_stored(spark, tmp_path):
+    from strataframe.functions import geometry
+
+    rows = [(i, s, float(s) / 100, (s % 2) / 1000) for i in range(3) for s in range(200)]
+    f = geometry.with_bounds(geometry.from_vertices(spark.createDataFrame(rows, "fid bigint, seq int, x double, y double"), 5))
+    tiles.save_pyramid(f, [0, 6, 12], str(tmp_path / "p"))
+    sizes = [tiles.load_pyramid(spark, str(tmp_path / "p"), v).select(F.sum(geometry.point_count(F.col("parts")))).first()[0] for v in (0, 3, 6, 12, 20)]
+    assert sizes[0] == sizes[1] < sizes[3] == sizes[4] and sizes[3] == 600
+    tiles.save_tiles(tiles.feature_tiles(f, 1), str(tmp_path / "t"))
+    assert tiles.tile(spark, str(tmp_path / "t"), 1, 2, 0) and tiles.tile(spark, str(tmp_path / "t"), 1, 0, 0) is None
+
+
+def test_indexes_follow_the_table(spark):
+    from strataframe.operators import index
+
+    rnd = random.Random(33)
+    rows = [(i, *(v := (rnd.gauss(0, 1), rnd.gauss(0, 1))), *v) for i in range(3000)] + [(9000 + i, -50.0, -50.0, 50.0, 50.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "fid bigint, minx double, miny double, maxx double, maxy double")
+    leaves = index.quadtree_leaves(df, (-64.0, -64.0, 64.0, 64.0), 100)
+    counts = {r.leaf: r.n for r in leaves.groupBy("leaf").agg(F.count("fid").alias("n")).collect()}
+    assert sum(counts.values()) == 3005 and counts[""] >= 5 and max(len(k) for k in counts) > 4 and max(n for k, n in counts.items() if 0 < len(k) < 8) <= 100
+    q = (0.2, 0.2, 0.6, 0.9)
+    hit = leaves.where(f"minx <= {q[2]} and maxx >= {q[0]} and miny <= {q[3]} and maxy >= {q[1]}")
+    kept = leaves.where(index.leaf_meets(F.col("leaf"), q, (-64.0, -64.0, 64.0, 64.0)))
+    assert hit.join(kept.select("fid"), "fid", "left_anti").count() == 0 and kept.count() < 2000
+    assert index.with_index(df, kind="noindex")[2] is df and index.leaf_capacity(10**6) == 3906
+    assert "code" in index.with_index(df, kind="zorder")[2].columns and "cx" in index.with_index(df, kind="grid")[2].columns
+    with pytest.raises(ValueError):
+        index.with_index(df, kind="rtree2")
+
+
 def test_tiles(spark):
     p = spark.createDataFrame([(1, -180.0, 90.0), (2, 179.0, -89.0)], "fid bigint, x double, y double")
     got = sorted((r.level, r.col, r.row, r.features) for r in tiles.assign_points(p, [0, 1]).collect())
