@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fold_of, mix64, sample_fraction
+from .common import fold_of, sample_fraction
 
 DOCS_PER_LANGUAGE = 1500
 TRAIN_WORDS = 60_000
@@ -70,17 +70,17 @@ class Pieces:
         hashes = self._hash(usable)
         self.slots = np.full(1 << self.BITS, -1, np.int32)
         self.hashes = hashes
-        self.more: dict[int, int] = {}
-        where = (mix64(hashes) >> np.uint64(64 - self.BITS)).astype(np.int64)
-        for i, w in enumerate(where.tolist()):
+        more: dict[int, int] = {}
+        for i, w in enumerate(self._slot(hashes).tolist()):
             if self.slots[w] < 0:
                 self.slots[w] = i
             else:
-                self.more[int(hashes[i])] = i
-        self.more_keys = np.array(sorted(self.more), np.uint64)
-        self.more_ids = np.array([self.more[int(k)] for k in self.more_keys], np.int32)
+                more[int(hashes[i])] = i
+        self.more_keys = np.array(sorted(more), np.uint64)
+        self.more_ids = np.array([more[int(k)] for k in self.more_keys], np.int32)
 
     _R = np.uint64(0x9E3779B97F4A7C15)
+    _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
     def _hash(self, strings: list[str]) -> np.ndarray:
         out = np.zeros(len(strings), np.uint64)
@@ -92,16 +92,21 @@ class Pieces:
                 out[i] = h
         return out
 
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((h * self._SPREAD) >> np.uint64(64 - self.BITS)).view(np.int64)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece number of each hash, or -1."""
-        got = self.slots[(mix64(h) >> np.uint64(64 - self.BITS)).astype(np.int64)]
-        ok = (got >= 0) & (self.hashes[got] == h)
-        ids = np.where(ok, got, -1)
-        if len(self.more_keys):
-            at = np.searchsorted(self.more_keys, h)
-            at[at == len(self.more_keys)] = 0
-            ids = np.where(self.more_keys[at] == h, self.more_ids[at], ids)
-        return ids
+        got = self.slots[self._slot(h)]
+        wrong = np.flatnonzero(got >= 0)
+        wrong = wrong[self.hashes[got[wrong]] != h[wrong]]
+        got[wrong] = -1
+        if len(wrong) and len(self.more_keys):
+            # Another piece has this one's place.
+            at = np.minimum(np.searchsorted(self.more_keys, h[wrong]), len(self.more_keys) - 1)
+            got[wrong] = np.where(self.more_keys[at] == h[wrong], self.more_ids[at], -1)
+        return got
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]]:
         """lengths, word letters, and for each (start, end) the words that have a piece there with its number."""
@@ -109,43 +114,48 @@ class Pieces:
         lens = np.fromiter(map(len, words), np.int64, n)
         longest = int(lens.max(initial=0))
         letters = np.array(words, dtype=f"<U{max(longest, 1)}").view("<u4").reshape(n, -1).astype(np.uint64)
-        prefix = np.zeros((n, longest + 1), np.uint64)
+        prefix = np.zeros((longest + 1, n), np.uint64)
         powers = np.ones(longest + 1, np.uint64)
+        in_order = bool((lens[1:] >= lens[:-1]).all())
         with np.errstate(over="ignore"):
             for j in range(longest):
-                prefix[:, j + 1] = prefix[:, j] * self._R + letters[:, j] + np.uint64(1)
+                prefix[j + 1] = prefix[j] * self._R + letters[:, j] + np.uint64(1)
                 powers[j + 1] = powers[j] * self._R
             arcs = {}
-            for i in range(longest):
-                for j in range(i + 1, min(longest, i + self.longest) + 1):
-                    rows = np.flatnonzero(lens >= j)
-                    if not len(rows):
-                        break
-                    ids = self.find(prefix[rows, j] - prefix[rows, i] * powers[j - i])
-                    hit = ids >= 0
-                    if hit.any():
-                        arcs[i, j] = rows[hit], ids[hit]
+            for j in range(1, longest + 1):
+                # Words by length, as in scoring, are a slice; others are picked.
+                rows = slice(int(np.searchsorted(lens, j)), n) if in_order else np.flatnonzero(lens >= j)
+                end = prefix[j][rows]
+                for i in range(max(0, j - self.longest), j):
+                    ids = self.find(end - prefix[i][rows] * powers[j - i])
+                    hit = np.flatnonzero(ids >= 0)
+                    if len(hit):
+                        arcs[i, j] = hit + rows.start if in_order else rows[hit], ids[hit]
         return lens, letters, arcs
 
 
 def forward(lens: np.ndarray, arcs: dict, table: np.ndarray) -> np.ndarray:
-    """alpha[word, position, language]: probability of the letters before a position, over all segmentations.
+    """alpha[position, word, language]: probability of the letters before a position, over all segmentations.
 
     A single letter that is no piece counts as an unknown piece with probability FLOOR.
     """
     n, longest, k = len(lens), int(lens.max(initial=0)), table.shape[1]
-    alpha = np.zeros((n, longest + 1, k))
-    alpha[:, 0] = 1.0
+    alpha = np.zeros((longest + 1, n, k))
+    alpha[0] = 1.0
     ending: dict[int, list] = {}
     for (i, j), v in arcs.items():
         ending.setdefault(j, []).append((i, *v))
     for j in range(1, longest + 1):
+        here = alpha[j]
         single = np.ones(n, bool)
         for i, rows, ids in ending.get(j, ()):
-            alpha[rows, j] += alpha[rows, i] * table[ids]
+            gain = alpha[i].take(rows, 0)
+            gain *= table.take(ids, 0)
+            here[rows] += gain
             if i == j - 1:
                 single[rows] = False
-        alpha[single, j] += alpha[single, j - 1] * FLOOR
+        alone = np.flatnonzero(single)
+        here[alone] += alpha[j - 1].take(alone, 0) * FLOOR
     return alpha
 
 
@@ -161,7 +171,7 @@ def fit(words: list[str], counts: np.ndarray, pieces: Pieces, rounds: int = ROUN
         starting.setdefault(i, []).append((j, *v))
     for _ in range(rounds):
         alpha = forward(lens, arcs, table)
-        total = alpha[at_end, lens]
+        total = alpha[lens, at_end]
         beta = np.zeros((n, longest + 1, k))
         beta[at_end, lens] = 1.0
         weight = counts / np.maximum(total, 1e-300)
@@ -175,7 +185,7 @@ def fit(words: list[str], counts: np.ndarray, pieces: Pieces, rounds: int = ROUN
             if i + 1 <= longest:
                 beta[single, i] += FLOOR * beta[single, i + 1]
         for (i, j), (rows, ids) in arcs.items():
-            gain = alpha[rows, i] * table[ids] * beta[rows, j] * weight[rows]
+            gain = alpha[i, rows] * table[ids] * beta[rows, j] * weight[rows]
             for c in range(k):
                 soft[:, c] += np.bincount(ids, gain[:, c], pieces.n)
         table = soft / soft.sum(0)
@@ -235,7 +245,7 @@ def score_words(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarr
         rows = short[at : at + 8192]
         lens, _, arcs = pieces.lattice(["▁" + words[i] for i in rows])
         alpha = forward(lens, arcs, table)
-        out[rows] = np.log(np.maximum(alpha[np.arange(len(rows)), lens], 1e-300))
+        out[rows] = np.log(np.maximum(alpha[lens, np.arange(len(rows))], 1e-300))
     return out
 
 
