@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_weight, mix64, text_or_empty, word_bounds, xxh64_slices
+from .common import ensure_checkpoint_dir, join_by_weight, mix64, text_or_empty, word_bounds, xxh64_slices
 
 WINDOW = 13
 GROUP_DOCS = 500
@@ -259,6 +259,7 @@ def _by_group(told: DataFrame):
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, group_docs: int = GROUP_DOCS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) for each row of docs(doc_id, text)."""
+    ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.count()
     groups = max(1, -(-rows // group_docs))
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
@@ -267,10 +268,11 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, group_docs: int = G
     src = src.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.pmod(F.xxhash64(F.lit(1), rank, "text"), F.lit(groups)).cast("int").alias("g"))
     texts = src.groupBy("g")
 
-    ids = src.select(rank.alias("doc"), "h1", F.xxhash64(F.lit(3), "text").alias("h2"), "g")
+    # Hashes of whole texts, kept as they are asked for three times.
+    ids = src.select(rank.alias("doc"), "h1", F.xxhash64(F.lit(3), "text").alias("h2"), "g").checkpoint()
     least = ids.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
     copies = join_by_weight(ids, least, ["h1", "h2"], "n", rows).where("doc > least")
-    told = copies.select("g", F.lit(0).alias("kind"), F.col("doc").alias("a"), F.col("h1").alias("b")).distinct()
+    told = copies.select("g", F.lit(0).alias("kind"), F.col("doc").alias("a"), F.col("h1").alias("b")).distinct().checkpoint()
     for level in range(1, len(levels_of(window)) + 1):
         sent = texts.cogroup(_by_group(told)).applyInArrow(_send(window, level), _SENT)
         back = sent.repartition("hash").sortWithinPartitions("hash", "least").mapInArrow(_repeated(level), _TOLD)
