@@ -101,7 +101,7 @@ class WordTokenizer:
 
     def _known(self, strings: set[str]) -> set[str]:
         """Those not in the cache; those of the old generation come back into it."""
-        strings = {s for s in strings if s not in self.words}
+        strings = strings.difference(self.words)
         back = {s: self.old_words[s] for s in strings if s in self.old_words}
         self.words.update(back)
         return strings.difference(back)
@@ -127,9 +127,10 @@ class WordTokenizer:
         """uint32 ids of each whole text, without an end mark."""
         if len(self.words) > CACHE_WORDS:
             self.old_words, self.words = self.words, {}
-        found: list[tuple[list[str], list[bytes | None], list[int]]] = []  # strings of a text, their ids, places without
+        found: list[bytes | tuple[list[str], list[bytes | None], list[int]]] = []  # a text's ids, or its strings, their ids, places without
         runs: set[str] = set()
         words: set[str] = set()
+        get = self.words.get
         for t in texts:
             low = t.lower()
             if "<|" not in t and (low.isascii() or np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4").max() <= LATIN):
@@ -138,16 +139,24 @@ class WordTokenizer:
                 for c in WORD_BREAK_CHARS[1:]:
                     t = t.replace(c, " ")
                 strings, new = t.split(" "), words
-            ids = list(map(self.words.get, strings))
-            gaps = [i for i, known in enumerate(ids) if known is None]
-            new.update([strings[i] for i in gaps])
-            found.append((strings, ids, gaps))
+            ids = list(map(get, strings))
+            try:
+                found.append(b"".join(ids))
+            except TypeError:  # a string is not known yet
+                gaps = [i for i, known in enumerate(ids) if known is None]
+                new.update([strings[i] for i in gaps])
+                found.append((strings, ids, gaps))
         self._learn_runs(runs)
         self._learn_words(words)
-        for strings, ids, gaps in found:
-            for i in gaps:
-                ids[i] = self.words[strings[i]]
-        return [np.frombuffer(b"".join(ids), "<u4") for _, ids, _ in found]
+        out = []
+        for x in found:
+            if not isinstance(x, bytes):
+                strings, ids, gaps = x
+                for i in gaps:
+                    ids[i] = self.words[strings[i]]
+                x = b"".join(ids)
+            out.append(np.frombuffer(x, "<u4"))
+        return out
 
 
 @lru_cache(1)
