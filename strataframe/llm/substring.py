@@ -38,12 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, join_by_weight, mix64, text_or_empty, word_bounds, xxh64_slices
+from .common import ensure_checkpoint_dir, join_by_weight, mix64, text_or_empty, word_bounds
 
 WINDOW = 13
 GROUP_DOCS = 500
 _LAST = 2**63 - 1
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def levels_of(window: int, shortest: int = 7) -> list[int]:
@@ -54,9 +53,41 @@ def levels_of(window: int, shortest: int = 7) -> list[int]:
     return out
 
 
+#: Odd numbers of the hashes of words and of windows, and their inverses modulo 2^64.
+_BYTE_STEP, _WORD_STEP = 0xD1342543DE82EF95, 0x9E3779B97F4A7C15
+#: Bytes of a text whose words are hashed together.
+BLOCK = 1 << 21
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """step^0 ... step^(n-1) and the same of its inverse, modulo 2^64; kept and extended."""
+    held = _POWERS.get(step)
+    if held is None or len(held[0]) < n:
+        size = max(n, 1 << 16)
+        up, down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(s))], dtype=np.uint64) for s in (step, pow(step, -1, 2**64)))
+        held = up, down
+        if size <= 4 * BLOCK:
+            _POWERS[step] = held
+    return held[0][:n], held[1][:n]
+
+
 def word_hashes(joined: bytes) -> np.ndarray:
+    """Hash of each word: a polynomial of its bytes, from sums over all bytes before each place, then mixed with its length."""
     starts, ends = word_bounds(joined)
-    return xxh64_slices(joined, starts, ends - starts)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK)))
+            first, last = int(starts[at]), int(ends[to - 1])
+            up, down = _powers(_BYTE_STEP, last - first + 1)
+            sums = np.zeros(last - first + 1, np.uint64)
+            np.cumsum((np.frombuffer(joined, np.uint8, last - first, first).astype(np.uint64) + np.uint64(1)) * down[:-1], out=sums[1:])
+            s, e = starts[at:to] - first, ends[at:to] - first
+            out[at:to] = (sums[e] - sums[s]) * up[s] + (e - s).astype(np.uint64) * np.uint64(_WORD_STEP)
+            at = to
+    return mix64(out)
 
 
 def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
@@ -65,10 +96,10 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for j in range(length):
-            h = h * _STEP + words[j : j + n]
-    return mix64(h)
+        up, down = _powers(_WORD_STEP, len(words))
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * down, out=sums[1:])
+        return mix64((sums[length:] - sums[:n]) * up[length - 1 :])
 
 
 def minimisers(short: np.ndarray, span: int) -> np.ndarray:
@@ -76,8 +107,16 @@ def minimisers(short: np.ndarray, span: int) -> np.ndarray:
     n = len(short) - span + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(short, span)
-    return view.argmin(1) + np.arange(n)
+    least, place, width = short, np.arange(len(short)), 1
+    while width < span:
+        # Two runs side by side, or overlapping at the last step.
+        by = min(width, span - width)
+        a, b = least[:-by], least[by:]
+        left = a <= b
+        place = np.where(left, place[:-by], place[by:])
+        least = np.where(left, a, b)
+        width += by
+    return place
 
 
 def _joined(table: pa.Table) -> list[bytes]:
