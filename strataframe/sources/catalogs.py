@@ -64,6 +64,7 @@ def rasters(spark: SparkSession, folder: str) -> list[str]:
     return files.listing(spark, folder, "*.tif", "*.tiff", skip=(THUMBNAILS,))
 
 
+#: Keys of a mosaic catalogue: Bbox, Namess and Bboxess by level and file, Ress by level; boxes as Min and Max with X and Y (fixed values of the format).
 def mosaic_rows(text: str, path: str) -> list[tuple[int, str, float, float, float, float, float]]:
     """(level, file, box, resolution) of a mosaic catalogue's JSON."""
     held = json.loads(text)
