@@ -945,9 +945,9 @@ def de9im_polygons(b):
     """Polygons whose boxes meet, with their matrices; the box test is a join of its own before the Arrow function."""
     from ..operators.relate import matrix_of
 
-    parts = lambda p: b.select(F.col("fid").alias(p), geometry.rect_parts(Rect.of()).alias(f"p{p}"))
-    pairs = join.boxes_meet(b, b).where("a < b").join(parts("a"), "a").join(parts("b"), "b")
-    return pairs.select("a", "b", matrix_of(F.lit(geometry.POLYGON), "pa", F.lit(geometry.POLYGON), "pb").alias("matrix"))
+    parts = lambda p: geometry.rect_parts(Rect.of(f"{p}_"))
+    pairs = join.boxes_meet(b, b, carry=True, once=True)
+    return pairs.select("a", "b", matrix_of(F.lit(geometry.POLYGON), parts("a"), F.lit(geometry.POLYGON), parts("b")).alias("matrix"))
 
 
 @register((P,))

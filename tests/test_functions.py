@@ -121,6 +121,34 @@ def test_rectangles_by_columns_and_exactly(spark):
         assert matrix(b, a) == transposed(got[i])
 
 
+def test_matrices_of_a_batch_of_rectangles(monkeypatch):
+    import pyarrow as pa
+
+    from strataframe.functions.geometry import POLYGON
+    from strataframe.operators import relate as module
+
+    rnd = random.Random(8)
+    far = lambda v: v + rnd.choice([0.0, 0.0, 1e-10])
+    ring = lambda a, b, c, d: [[[(a, b), (c, b), (c, d), (a, d), (a, b)]]]
+    some = []
+    for _ in range(400):
+        x, y = rnd.randrange(5), rnd.randrange(5)
+        some.append(ring(*map(far, (x, y, x + rnd.randrange(1, 4), y + rnd.randrange(1, 4)))))
+    some += [[[p[0][0][k:] + p[0][0][1 : k + 1]]] for p in some[:50] for k in (1, 2)] + [[[p[0][0][::-1]]] for p in some[:50]]
+    odd = [None, [], [[]], ring(1, 1, 1, 3), [ring(0, 0, 4, 4)[0] + ring(1, 1, 2, 2)[0]], ring(0, 0, 2, 2) + ring(2, 2, 4, 4), [[[(0, 0), (3, 0), (3, 3), (1, 2), (0, 0)]]]]
+    pairs = [(rnd.choice(some), rnd.choice(some)) for _ in range(3000)] + [(o, rnd.choice(some)) for o in odd for _ in range(3)]
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    side = lambda k: pa.array([None if p[k] is None else [[[{"x": x, "y": y} for x, y in r] for r in part] for part in p[k]] for p in pairs], kind)
+    gtype = pa.array([POLYGON] * len(pairs), pa.int32())
+    calls = []
+    monkeypatch.setattr(module, "matrix", lambda a, b: calls.append(1) or matrix(a, b))
+    got = module.matrix_of.func(gtype, side(0), gtype, side(1)).to_pylist()
+    assert got == [None if p is None else matrix(Shape(POLYGON, p), Shape(POLYGON, q)) for p, q in pairs]
+    # Only pairs with sides that are close but not equal, and geometries that are no rectangles, are compared one by one.
+    close = lambda p, q: any(0 < abs(v - w) < 1e-8 for k in (0, 1) for v in {t[k] for r in (p, q) for t in r[0][0]} for w in {t[k] for r in (p, q) for t in r[0][0]})
+    assert len(calls) <= 18 + sum(close(p, q) for p, q in pairs[:3000]) < 2500
+
+
 def test_modes():
     from strataframe.operators.relate import may_be_apart
 
