@@ -13,11 +13,9 @@ Everything on the path is a DataFrame or SQL function.
 * text length is not limited: the work for a text is n log n in its words.
 
 The method: pairs of neighbouring words are hashed into ``buckets`` cells. Two multinomials with add-one smoothing are counted, one
-over a bounded sample of trusted rows (labels.quality = 1, at most ``trusted_bound``),
-one over all documents. A document's score is the mean of
+over all trusted rows (labels.quality = 1), one over all documents. A document's score is the mean of
 log(p_target / p_raw) over its word pairs. The threshold is the ``quantile`` of the
-trusted sample's own scores minus ``slack``, one number for all documents: the
-same document gets the same verdict whatever is drawn at random elsewhere.
+scores of all trusted rows minus ``slack``, one number for all documents; nothing is drawn at random.
 """
 
 from __future__ import annotations
@@ -25,12 +23,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_below, sample_fraction, saved, text_or_empty, words_of
+from .common import saved, text_or_empty, words_of
 
 BUCKETS = 1 << 14
-TRUSTED_BOUND = 20_000
 QUANTILE = 0.002
 SLACK = 0.02
+#: Ranges into which scores are counted at once where a quantile is looked for.
+RANGES = 4096
 SYMBOLS_KEPT = r"[^#*$%&|<>]++"
 
 
@@ -93,25 +92,47 @@ def _base_counts(docs: DataFrame, buckets: int) -> DataFrame:
     )
 
 
+def quantile_of(scores: DataFrame, quantile: float) -> float | None:
+    """The quantile of ``score``, with linear interpolation between neighbours; None without rows. Scores are counted by ranges, and the range that
+    holds the quantile again until it is found exactly: no task holds more than ``RANGES`` numbers."""
+    n, lo, hi = scores.agg(F.count("score"), F.min("score"), F.max("score")).first()
+    if not n:
+        return None
+    first = int(quantile * (n - 1))
+    share = quantile * (n - 1) - first
+    below = 0  # rows under lo
+    while lo < hi:
+        place = F.least(F.floor((F.col("score") - lo) / (hi - lo) * RANGES), F.lit(RANGES - 1)).alias("r")
+        inside = scores.where((F.col("score") >= lo) & (F.col("score") <= hi)).groupBy(place)
+        ranges = sorted(inside.agg(F.count("score").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).collect(), key=lambda r: r["r"])
+        for k, r in enumerate(ranges):
+            if first < below + r["n"]:
+                break
+            below += r["n"]
+        if first == below + r["n"] - 1:
+            # The last of its range: the next row is the first of the next one.
+            after = ranges[k + 1]["lo"] if k + 1 < len(ranges) else hi
+            return r["hi"] + share * (after - r["hi"])
+        lo, hi = r["lo"], r["hi"]
+    return lo
+
+
 def quality_rules(
     docs: DataFrame,
     labels: DataFrame,
     *,
     buckets: int = BUCKETS,
-    trusted_bound: int = TRUSTED_BOUND,
     quantile: float = QUANTILE,
     slack: float = SLACK,
 ) -> DataFrame:
     """Base counts, ``score`` (mean log-likelihood ratio), ``base_failed`` and ``kept`` for every row of docs(doc_id, text)."""
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    trusted = good.where(hash_below("doc_id", sample_fraction(good.count(), trusted_bound)))
-    trusted = trusted.withColumn("trusted", F.lit(1))  # about trusted_bound ids at most: safe to broadcast
 
     # The texts are read once: what is told of each row, its pairs' buckets among it (less than two bytes a pair), is kept as a table.
-    marked = docs.join(F.broadcast(trusted), "doc_id", "left")
-    told = saved(_base_counts(marked, buckets), "rules")
-    counts = told.select("trusted", F.explode("cells").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
+    told = saved(_base_counts(docs, buckets), "rules")
+    cells = lambda df, n: df.select(F.explode("cells").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias(n))
+    counts = cells(told, "raw").join(cells(told.select("doc_id", "cells").join(good, "doc_id", "left_semi"), "target"), "b", "left")
     # One row: an array with the log ratio of each bucket. Its size is set by ``buckets``, not by the data.
     full = docs.sparkSession.range(buckets, numPartitions=1).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
     full = full.select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
@@ -133,7 +154,7 @@ def quality_rules(
 
     total = F.aggregate("cells", F.lit(0.0), lambda a, b: a + F.get(ratios, b))
     scored = told.withColumn("score", total / F.greatest(F.size("cells"), F.lit(1)))
-    cut = scored.where("trusted is not null and n_words >= 50").agg(F.percentile("score", F.lit(quantile)).alias("q")).first()["q"]
+    cut = quantile_of(saved(scored.where("n_words >= 50").select("doc_id", "score").join(good, "doc_id", "left_semi").select("score"), "scores"), quantile)
     cut = 0.0 if cut is None else cut - slack
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select(

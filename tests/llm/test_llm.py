@@ -111,6 +111,27 @@ def test_quality_verdict_against_brute_force(spark, quantile):
     assert all(r.score == 0 and r.kept == (not r.base_failed) for r in alone)
 
 
+def test_quality_rules_learn_from_all_trusted_rows(spark):
+    """With the least score of the trusted rows as threshold none of them is left out, however many there are."""
+    rnd = random.Random(12)
+    texts = [(i, " ".join(f"w{rnd.randrange(400)}" for _ in range(52))) for i in range(40_000)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    got = quality_rules.quality_rules(docs, labels, quantile=0.0, slack=0.0)
+    assert got.where("not base_failed and not kept").count() == 0
+    # Trusted and raw text are the same, and all of it is counted: the ratio says nothing.
+    assert got.selectExpr("max(abs(score))").first()[0] < 1e-9
+
+
+@pytest.mark.parametrize("quantile", [0.0, 0.002, 0.3, 0.5, 1.0])
+def test_quantile_against_numpy(spark, monkeypatch, quantile):
+    monkeypatch.setattr(quality_rules, "RANGES", 4)
+    rnd = random.Random(3)
+    for values in ([], [1.5], [2.0] * 7, [rnd.gauss(0, 1) for _ in range(301)], [0.0] * 50 + [1e-300, 1.0, 1.0 + 2**-52] + [rnd.choice([-3.0, 7.0]) for _ in range(50)]):
+        got = quality_rules.quantile_of(spark.createDataFrame([(v,) for v in values], "score double"), quantile)
+        assert got is None if not values else got == pytest.approx(float(np.quantile(values, quantile)), abs=1e-12)
+
+
 def fingerprint(t):
     w = (t or "").encode().lower().split()
     sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else ([b" ".join(w)] if w else [])
