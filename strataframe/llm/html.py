@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host share a wrapper. A page becomes a tree of its block-level elements, with its text blocks as leaves.
-Some pages of each host, and of each layout of a host (pages whose blocks have the same paths down to ``LAYOUT_DEPTH``
+All pages of each host, and of each layout of a host (pages whose blocks have the same paths down to ``LAYOUT_DEPTH``
 tags), are aligned by simple tree matching into a template: matched nodes are counted, unmatched subtrees are added where they stand.
 A leaf of the template is constant if one text stands there in more than half of the pages that have the leaf, two at
 least; the others are slots. Every page is then aligned with the templates of its host and layout: a block that meets a
@@ -11,16 +11,17 @@ the number of matched nodes, equal texts counting twice, and a node may only mat
 What the page's own markup calls a menu, header, footer, sidebar, notice, advert, form, script, style or comment
 is no content even where it varies. Two things are less plain and are settled by markup and template together: an
 element inside ``article`` or ``main`` with a class word that may mean either (``AMBIGUOUS``) goes only if it is constant,
-and other blocks there, which may repeat rightly, only if all of ``UNANIMOUS`` pages or more have them.
+and other blocks there, which may repeat rightly, only if all pages of the scope that have the leaf, ``UNANIMOUS`` or more, have them.
 
 Blocks are separated by block-level tags; a line break is white space. Character references are
 decoded, white space becomes single spaces, empty blocks vanish, blocks are
 joined by \\n.
 
-Templates are learnt from ``sample`` pages a scope (host or layout), those with the least hashes of their blocks;
-pages of the same blocks count once, as copies tell nothing. Pages are read whole, all of them are aligned, and there is
-no limit to the nodes of a tree. Only trees of sampled pages, with hashes for texts, are exchanged; html is not, unless
-the templates of all hosts exceed ``broadcast_bytes``.
+Templates are learnt from all pages of a scope (host or layout), ``PART`` pages by themselves and then the parts' trees together;
+pages of the same blocks count once, as copies tell nothing. A leaf keeps ``VOTES`` texts with least counts of theirs and the most that any
+count may lack (a Misra-Gries summary, which holds every text of more than a share of 1 / ``VOTES``); scopes where that leaves a majority open are
+learnt again with all texts counted. Pages are read whole, all of them are aligned, and there is no limit to the nodes of a tree. Only trees,
+with hashes for texts, are exchanged; html is not, unless the templates of all hosts exceed ``broadcast_bytes``.
 
 Cases: null or empty html gives an empty text; a page without any slot block
 gives an empty text; pages without a readable host share the host ''; a host
@@ -41,13 +42,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import ensure_checkpoint_dir, saved
 
 LAYOUT_DEPTH = 4
-SAMPLE = 8
-#: Sampled pages that must all have a block for it to go although it stands in ``article`` or ``main``.
+#: Pages of a scope that are merged in one task before the parts are.
+PART = 256
+#: Texts counted at a leaf.
+VOTES = 32
+#: Pages that must all have a block for it to go although it stands in ``article`` or ``main``.
 UNANIMOUS = 5
 #: Size up to which the templates of all hosts are sent to each executor.
 BROADCAST_BYTES = 8_000_000
@@ -516,49 +519,89 @@ def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
 # --- templates -------------------------------------------------------------------
 
 
-def template_of(trees: list[Tree], unanimous: int = UNANIMOUS) -> tuple[Tree, list[list[int]]] | None:
-    """The template of several pages and the constant texts of each of its nodes (none for slots); None if nothing is constant."""
-    if len(trees) < 2:
-        return None
-    largest = max(range(len(trees)), key=lambda k: len(trees[k].tag))  # the first of equals
-    merged = trees[largest]
-    seen = [Counter({x: 1} if x else ()) for x in merged.text]
-    count = [1] * len(merged.tag)
-    for k, t in enumerate(trees):
+class Merged:
+    """A tree of several pages. Of each node: how many of them have it, the texts that stand there with their counts, and what any count may lack."""
+
+    __slots__ = ("tree", "count", "seen", "lost")
+
+    def __init__(self, tree: Tree, count: list[int], seen: list[Counter], lost: list[int]):
+        self.tree, self.count, self.seen, self.lost = tree, count, seen, lost
+
+    @staticmethod
+    def of(tree: Tree) -> Merged:
+        n = len(tree.tag)
+        return Merged(tree, [1] * n, [Counter({x: 1} if x else ()) for x in tree.text], [0] * n)
+
+
+def _votes(a: Counter, b: Counter, most: int | None) -> tuple[Counter, int]:
+    """Both counts together, put into a, and what is taken off each where there are more than ``most`` texts."""
+    a.update(b)
+    if most is None or len(a) <= most:
+        return a, 0
+    off = sorted(a.values(), reverse=True)[most]
+    return Counter({x: n - off for x, n in a.items() if n > off}), off
+
+
+def merged_all(parts: list[Merged], votes: int | None = None) -> Merged:
+    largest = max(range(len(parts)), key=lambda k: len(parts[k].tree.tag))  # the first of equals
+    out = parts[largest]
+    for k, p in enumerate(parts):
         if k != largest:
-            merged, seen, count = _merged(merged, seen, count, t)
-    constant = []
-    for i in range(len(merged.tag)):
-        often = [x for x, n in seen[i].items() if n >= 2 and 2 * n > count[i]]
-        if often and merged.marked[i] and not merged.weak[i] and (count[i] < unanimous or seen[i][often[0]] < count[i]):
+            out = _merged(out, p, votes)
+    return out
+
+
+def constants_of(m: Merged, unanimous: int = UNANIMOUS) -> tuple[list[list[int]], bool]:
+    """The constant texts of each node (none for slots), and whether the counts were enough to tell."""
+    constant, settled = [], True
+    for i, count in enumerate(m.count):
+        often = [x for x, n in m.seen[i].items() if n >= 2 and 2 * n > count]
+        if not often and any(n + m.lost[i] >= 2 and 2 * (n + m.lost[i]) > count for n in m.seen[i].values()) and m.lost[i]:
+            settled = False
+        if often and m.tree.marked[i] and not m.tree.weak[i] and (count < unanimous or m.seen[i][often[0]] < count):
             often = []
         constant.append(often)
-    if not any(constant):
+    return constant, settled
+
+
+def _template(m: Merged, constant: list[list[int]]) -> tuple[Tree, list[list[int]]] | None:
+    if m.count[0] < 2 or not any(constant):
         return None
     # What only one page has is no part of the template.
-    keep = [n > 1 for n in count]
-    return merged.only(keep), [c for c, k in zip(constant, keep, strict=True) if k]
+    keep = [n > 1 for n in m.count]
+    return m.tree.only(keep), [c for c, k in zip(constant, keep, strict=True) if k]
+
+
+def template_of(trees: list[Tree], unanimous: int = UNANIMOUS) -> tuple[Tree, list[list[int]]] | None:
+    """The template of several pages and the constant texts of each of its nodes (none for slots); None if nothing is constant."""
+    if len(trees) < 2:
+        return None
+    m = merged_all([Merged.of(t) for t in trees])
+    return _template(m, constants_of(m, unanimous)[0])
 
 
-def _merged(w: Tree, seen: list[Counter], count: list[int], t: Tree) -> tuple[Tree, list[Counter], list[int]]:
-    """w with the counts of one more page; subtrees of the page that match nothing are added after their matched neighbour."""
+def _merged(v: Merged, p: Merged, votes: int | None) -> Merged:
+    """v with the counts of p; subtrees of p that match nothing are added after their matched neighbour."""
+    w, t = v.tree, p.tree
     found = match(w, t)
     of_w, of_t = dict(found), {j: i for i, j in found}
-    out, new_seen, new_count = Tree(), [], []
+    out, seen, count, lost = Tree(), [], [], []
     # (tree, node, new parent), in page order.
     stack: list[tuple[Tree, int, int]] = [(w, 0, -1)]
     while stack:
         tree, i, up = stack.pop()
         here = out.add(tree.tag[i], up, 0, tree.marked[i], tree.weak[i])
         if tree is t:
-            new_seen.append(Counter({t.text[i]: 1} if t.text[i] else ()))
-            new_count.append(1)
+            seen.append(p.seen[i])
+            count.append(p.count[i])
+            lost.append(p.lost[i])
             stack += [(t, k, here) for k in reversed(t.kids[i])]
         else:
             j = of_w.get(i)
-            votes = seen[i] if j is None or not t.text[j] else seen[i] + Counter({t.text[j]: 1})
-            new_seen.append(votes)
-            new_count.append(count[i] + (j is not None))
+            both, off = (v.seen[i], 0) if j is None else _votes(v.seen[i], p.seen[j], votes)
+            seen.append(both)
+            count.append(v.count[i] + (0 if j is None else p.count[j]))
+            lost.append(v.lost[i] + off + (0 if j is None else p.lost[j]))
             kids: list[tuple[Tree, int, int]] = []
             fresh: dict[int, list[int]] = {}  # after which matched child of w
             if j is not None:
@@ -573,9 +616,9 @@ def _merged(w: Tree, seen: list[Counter], count: list[int], t: Tree) -> tuple[Tr
                 kids.append((w, k, here))
                 kids += [(t, q, here) for q in fresh.get(k, ())]
             stack += reversed(kids)
-        # A leaf's text is what most pages have there.
-        out.text[here] = min(new_seen[-1], key=lambda x: (-new_seen[-1][x], x)) if new_seen[-1] else 0
-    return out.finish(), new_seen, new_count
+        # A leaf's text is what most pages have there; the one it had, where all counts are taken off.
+        out.text[here] = min(seen[-1], key=lambda x: (-seen[-1][x], x)) if seen[-1] else tree.text[i]
+    return Merged(out.finish(), count, seen, lost)
 
 
 def constant_leaves(tree: Tree, template: tuple[Tree, list[list[int]]] | None) -> set[int]:
@@ -628,34 +671,79 @@ def _tree(columns: dict[str, list], i: int) -> Tree:
     return t.finish()
 
 
-def _induce(unanimous: int):
+_PARTIAL = f"host string, scope bigint, part bigint, {_TREE}, count array<bigint>, lost array<bigint>, texts array<array<bigint>>, times array<array<bigint>>"
+
+
+def _key(key: tuple, n: int) -> dict[str, pa.Array]:
+    return {"host": pa.array([key[0].as_py()] * n, pa.string()), "scope": pa.array([key[1].as_py()] * n, pa.int64())}
+
+
+def _merge_pages(votes: int | None):
     def run(key: tuple, pages: pa.Table) -> pa.Table:
         columns = pages.sort_by("page").to_pydict()
-        made = template_of([_tree(columns, i) for i in range(pages.num_rows)], unanimous)
-        rows = [] if made is None else [made]
+        m = merged_all([Merged.of(_tree(columns, i)) for i in range(pages.num_rows)], votes)
+        return pa.table(
+            {
+                **_key(key, 1),
+                "part": pa.array([key[2].as_py()], pa.int64()),
+                **{n: pa.array([getattr(m.tree, n)], kind) for n, kind in _COLUMNS},
+                "count": pa.array([m.count], pa.list_(pa.int64())),
+                "lost": pa.array([m.lost], pa.list_(pa.int64())),
+                "texts": pa.array([[list(c) for c in m.seen]], pa.list_(pa.list_(pa.int64()))),
+                "times": pa.array([[list(c.values()) for c in m.seen]], pa.list_(pa.list_(pa.int64()))),
+            }
+        )
+
+    return run
+
+
+def _induce(unanimous: int, votes: int | None):
+    def run(key: tuple, parts: pa.Table) -> pa.Table:
+        columns = parts.sort_by("part").to_pydict()
+        several = []
+        for i in range(parts.num_rows):
+            seen = [Counter(dict(zip(x, n, strict=True))) for x, n in zip(columns["texts"][i], columns["times"][i], strict=True)]
+            several.append(Merged(_tree(columns, i), columns["count"][i], seen, columns["lost"][i]))
+        m = merged_all(several, votes)
+        constant, settled = constants_of(m, unanimous)
+        made = _template(m, constant)
+        rows = [made or (Tree(), [])] if made or not settled else []
         return pa.table(
             {
-                "host": pa.array([key[0].as_py()] * len(rows), pa.string()),
-                "scope": pa.array([key[1].as_py()] * len(rows), pa.int64()),
+                **_key(key, len(rows)),
                 **{n: pa.array([getattr(t, n) for t, _ in rows], kind) for n, kind in _COLUMNS},
                 "constant": pa.array([c for _, c in rows], pa.list_(pa.list_(pa.int64()))),
+                "settled": pa.array([settled] * len(rows), pa.bool_()),
             }
         )
 
     return run
 
 
-def templates(src: DataFrame, sample: int = SAMPLE, unanimous: int = UNANIMOUS) -> DataFrame:
+def templates(src: DataFrame, unanimous: int = UNANIMOUS, votes: int = VOTES, part: int = PART) -> DataFrame:
     """(host, scope, tree, constant): templates of src(host, html) that have a constant leaf; scope 0 is the host, others are layouts."""
     parsed = src.where("html <> ''").select("host", "html").mapInArrow(_tree_batches, f"host string, layout bigint, page bigint, {_TREE}")
     parsed = saved(parsed, "trees")
-    once = parsed.select("host", "layout", "page").distinct()
-    once = once.select("host", "page", "layout", F.explode(F.array(F.lit(0).cast("bigint"), "layout")).alias("scope"))
-    # The least hashes of each scope: Spark keeps no more than that many of a scope before it exchanges them.
-    rank = F.row_number().over(Window.partitionBy("host", "scope").orderBy("page"))
-    chosen = once.withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
-    trees = parsed.join(chosen, ["host", "layout", "page"]).select("host", "scope", "page", *(n for n, _ in _COLUMNS)).dropDuplicates(["host", "scope", "page"])
-    return trees.groupBy("host", "scope").applyInArrow(_induce(unanimous), f"host string, scope bigint, {_TREE}, constant array<array<bigint>>")
+    scopes = F.explode(F.array(F.lit(0).cast("bigint"), "layout"))
+    names = [n for n, _ in _COLUMNS]
+    # Scopes of more than one part: one for each ``part`` pages at most, so few that they may be sent everywhere.
+    large = parsed.select("host", "layout", "page").distinct().withColumn("scope", scopes).groupBy("host", "scope").agg(F.count(F.lit(1)).alias("n"))
+    large = saved(large.where(F.col("n") > part).select("host", "scope", F.ceil(F.col("n") / part).alias("parts")), "scopes")
+    pages = parsed.dropDuplicates(["host", "layout", "page"]).withColumn("scope", scopes)
+    pages = pages.join(F.broadcast(large), ["host", "scope"], "left").withColumn("part", F.coalesce(F.expr("pmod(xxhash64(page), parts)"), F.lit(0).cast("bigint")))
+    pages = pages.select("host", "scope", "part", "page", *names)
+
+    def induced(pages: DataFrame, votes: int | None) -> DataFrame:
+        parts = pages.groupBy("host", "scope", "part").applyInArrow(_merge_pages(votes), _PARTIAL)
+        kind = f"host string, scope bigint, {_TREE}, constant array<array<bigint>>, settled boolean"
+        return saved(parts.groupBy("host", "scope").applyInArrow(_induce(unanimous, votes), kind), "induced")
+
+    found = induced(pages, votes)
+    left = found.where("not settled").select("host", "scope")
+    found = found.where("settled")
+    if not left.isEmpty():
+        found = found.unionByName(induced(pages.join(left, ["host", "scope"], "left_semi"), None))
+    return found.drop("settled")
 
 
 def _extract_batches(known: dict | None):
@@ -709,12 +797,12 @@ def _with_layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _RESULT = "page_id bigint, url string, text string, n_chars bigint"
 
 
-def extract_pages(pages: DataFrame, *, sample: int = SAMPLE, unanimous: int = UNANIMOUS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def extract_pages(pages: DataFrame, *, unanimous: int = UNANIMOUS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html)."""
     ensure_checkpoint_dir(pages.sparkSession)
     src = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     src = src.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#:]*)", 1), F.lit(""))))
-    wrappers = saved(templates(src, sample, unanimous), "wrappers")
+    wrappers = templates(src, unanimous)
     bytes_ = wrappers.agg(F.sum(F.octet_length("host") + 40 * F.size("tag") + 8 * F.size(F.flatten("constant")))).first()[0] or 0
     if bytes_ <= broadcast_bytes:
         known: dict = {}

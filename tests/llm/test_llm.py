@@ -547,6 +547,16 @@ def test_wrappers_of_small_hosts_and_layouts(spark):
     assert all(r.text.startswith(("story", "tale", "said")) for r in got)
 
 
+def test_templates_count_all_pages(spark):
+    """A line on 26 of 50 pages of a host is a constant, one on 25 is none, whichever pages have the least hashes; few votes and small parts tell the same."""
+    page = lambda h, i: f"<html><body><div><p>{'Seen on most pages' if i < h else f'line {i}'}</p></div><section><p>text {i}</p></section></body></html>"
+    rows = [(f"h{h}", page(h, i)) for h in range(22, 30) for i in range(50)]
+    src = spark.createDataFrame(rows, "host string, html string")
+    for options in ({}, {"votes": 2, "part": 7}, {"votes": 4, "part": 20}):
+        got = {r.host for r in html.templates(src, **options).where("scope = 0").collect()}
+        assert got == {"h26", "h27", "h28", "h29"}, options
+
+
 def test_wrapper_at_the_end_of_long_pages(spark):
     make = lambda k, n: "<body>" + "".join(f"<div><p>row <i>{k}</i> of <b>{j}</b></p></div>" for j in range(n)) + "<div>Legal line</div></body>"
     rows = [(i, "http://long.example/x", make(i, 900 if i % 4 else 2)) for i in range(12)]
