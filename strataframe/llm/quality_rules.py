@@ -23,13 +23,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_or_empty, words_of
+from .common import bit_table, marked_rows, saved, text_or_empty, words_of
 
 BUCKETS = 1 << 14
 QUANTILE = 0.002
 SLACK = 0.02
 #: Ranges into which scores are counted at once where a quantile is looked for.
 RANGES = 4096
+#: Words of 64 rows up to which the marks of trusted rows are sent to each executor; more are exchanged, with the pairs' buckets.
+MARK_WORDS = 1 << 20
 SYMBOLS_KEPT = r"[^#*$%&|<>]++"
 
 
@@ -130,9 +132,13 @@ def quality_rules(
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
     # The texts are read once: what is told of each row, its pairs' buckets among it (less than two bytes a pair), is kept as a table.
-    told = saved(_base_counts(docs, buckets), "rules")
-    cells = lambda df, n: df.select(F.explode("cells").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias(n))
-    counts = cells(told, "raw").join(cells(told.select("doc_id", "cells").join(good, "doc_id", "left_semi"), "target"), "b", "left")
+    told = saved(_base_counts(docs, buckets).withColumn("row", F.monotonically_increasing_id()), "rules")
+    # Only ids and numbers of rows meet the labels; what comes back is one bit a row, so the buckets stay where they are.
+    trusted = told.select("doc_id", F.col("row").alias("key")).join(good, "doc_id", "left_semi")
+    marks = saved(bit_table(trusted, 64), "trusted")
+    everywhere = marks.count() <= MARK_WORDS
+    cells = marked_rows(told.select("row", "cells"), "row", marks, "trusted", everywhere).select("trusted", F.explode("cells").alias("b"))
+    counts = cells.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target"))
     # One row: an array with the log ratio of each bucket. Its size is set by ``buckets``, not by the data.
     full = docs.sparkSession.range(buckets, numPartitions=1).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
     full = full.select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
@@ -154,7 +160,8 @@ def quality_rules(
 
     total = F.aggregate("cells", F.lit(0.0), lambda a, b: a + F.get(ratios, b))
     scored = told.withColumn("score", total / F.greatest(F.size("cells"), F.lit(1)))
-    cut = quantile_of(saved(scored.where("n_words >= 50").select("doc_id", "score").join(good, "doc_id", "left_semi").select("score"), "scores"), quantile)
+    long = scored.where("n_words >= 50").select("row", "score")
+    cut = quantile_of(saved(marked_rows(long, "row", marks, "trusted", everywhere).where("trusted").select("score"), "scores"), quantile)
     cut = 0.0 if cut is None else cut - slack
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select(

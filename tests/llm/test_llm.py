@@ -123,6 +123,32 @@ def test_quality_rules_learn_from_all_trusted_rows(spark):
     assert got.selectExpr("max(abs(score))").first()[0] < 1e-9
 
 
+def test_trusted_rows_are_told_without_exchanging_pairs(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i // 2, text_of(rnd, 2000, 5000)) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (None, "a b")], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 3 and 1) for i in range(100)] + [(None, 1)], "doc_id bigint, quality int")
+    store = spark.sparkContext._jsc.sc()
+
+    def run():
+        written = lambda: sum(store.statusStore().executorList(False).apply(0).totalShuffleWrite() for _ in [store.listenerBus().waitUntilEmpty()])
+        before = written()
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, round(r.score, 6), r.kept) for r in quality_rules.quality_rules(docs, labels, buckets=64).collect())
+        return got, written() - before
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        docs = common.saved(docs, "docs")
+        sent, size = run()
+        assert len(sent) == 201 and size < 200_000  # of 400,000 pairs
+        monkeypatch.setattr(quality_rules, "MARK_WORDS", 0)
+        exchanged, more = run()
+        assert exchanged == sent and more > size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 @pytest.mark.parametrize("quantile", [0.0, 0.002, 0.3, 0.5, 1.0])
 def test_quantile_against_numpy(spark, monkeypatch, quantile):
     monkeypatch.setattr(quality_rules, "RANGES", 4)
