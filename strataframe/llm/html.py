@@ -17,7 +17,7 @@ Blocks are separated by block-level tags; a line break is white space. Character
 decoded, white space becomes single spaces, empty blocks vanish, blocks are
 joined by \\n.
 
-Templates are learnt from all pages of a scope (host or layout), ``PART`` pages by themselves and then the parts' trees together;
+Templates are learnt from all pages of a scope (host, or layout where a host has several), ``PART`` pages by themselves and then the parts' trees together;
 pages of the same blocks count once, as copies tell nothing. A leaf keeps ``VOTES`` texts with least counts of theirs and the most that any
 count may lack (a Misra-Gries summary, which holds every text of more than a share of 1 / ``VOTES``); scopes where that leaves a majority open are
 learnt again with all texts counted. Pages are read whole, all of them are aligned, and there is no limit to the nodes of a tree. Only trees,
@@ -56,6 +56,8 @@ UNANIMOUS = 5
 BROADCAST_BYTES = 8_000_000
 #: Cells up to which the table of one list of children against another is kept whole.
 CELLS = 4_000_000
+#: Names of subtrees that may be kept from one matching to the next.
+NAMES = 100_000
 
 #: Tags by role (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -325,31 +327,70 @@ def layout_of(tree: Tree) -> int:
 # --- simple tree matching ------------------------------------------------------
 
 
+class Names:
+    """Numbers of a tree's equal subtrees, of its subtrees equal but for texts, their sizes and numbers of leaves. Trees that are matched share
+    ``names``; ``plain`` holds the weights found for two shapes without a common text."""
+
+    __slots__ = ("names", "plain", "used", "exact", "shape", "size", "leaves")
+
+    def __init__(self, t: Tree, names: dict | None = None):
+        self.names: dict = {} if names is None else names
+        self.plain: dict[tuple[int, int], int] = {}
+        self.used = 0  # nodes named since
+        names, n = self.names, len(t.tag)
+        exact, shape, size, leaves = [0] * n, [0] * n, [1] * n, [0] * n
+        for i in range(n - 1, -1, -1):
+            kids = t.kids[i]
+            if kids:
+                exact[i] = names.setdefault((t.tag[i], t.text[i], tuple([exact[k] for k in kids])), len(names))
+                shape[i] = names.setdefault((t.tag[i], tuple([shape[k] for k in kids])), len(names))
+                size[i] = 1 + sum([size[k] for k in kids])
+                leaves[i] = sum([leaves[k] for k in kids])
+            else:
+                exact[i] = names.setdefault((t.tag[i], t.text[i], ()), len(names))
+                shape[i] = names.setdefault((t.tag[i], ()), len(names))
+            if t.tag[i] == "#":
+                leaves[i] = 1
+        self.exact, self.shape, self.size, self.leaves = exact, shape, size, leaves
+
+    def full(self) -> bool:
+        """Whether trees that are gone have left so many names that they had better be made anew."""
+        return self.used > NAMES + 4 * len(self.exact) or len(self.plain) > NAMES
+
+    def copy(self) -> Names:
+        """For one matching, whose names are not kept."""
+        out = object.__new__(Names)
+        out.names, out.plain, out.used = dict(self.names), {}, 0
+        out.exact, out.shape, out.size, out.leaves = self.exact, self.shape, self.size, self.leaves
+        return out
+
+    def renew(self, t: Tree, changed: list[int]) -> None:
+        """The texts of some leaves have changed."""
+        todo = set(changed)
+        for i in changed:
+            u = t.up[i]
+            while u >= 0 and u not in todo:
+                todo.add(u)
+                u = t.up[u]
+        for i in sorted(todo, reverse=True):
+            self.used += 1 + len(t.kids[i])
+            self.exact[i] = self.names.setdefault((t.tag[i], t.text[i], tuple([self.exact[k] for k in t.kids[i]])), len(self.names))
+
+
 class Matching:
     """The best matching of two trees: most matched nodes, leaves of equal text counting twice."""
 
-    def __init__(self, a: Tree, b: Tree):
+    def __init__(self, a: Tree, b: Tree, names: Names | None = None):
         self.a, self.b = a, b
-        names: dict = {}
-        self.exact_a, self.shape_a, self.size_a, self.leaves_a = self._named(a, names)
-        self.exact_b, self.shape_b, self.size_b, self.leaves_b = self._named(b, names)
+        of_a = names or Names(a)
+        of_b = Names(b, of_a.names)
+        of_a.used += len(b.tag)
+        self.exact_a, self.shape_a, self.size_a, self.leaves_a = of_a.exact, of_a.shape, of_a.size, of_a.leaves
+        self.exact_b, self.shape_b, self.size_b, self.leaves_b = of_b.exact, of_b.shape, of_b.size, of_b.leaves
         texts_a, texts_b = set(a.text), set(b.text)
         self.shared_a, self.shared_b = self._sharing(a, texts_b), self._sharing(b, texts_a)
         self.known: dict[tuple[int, int], int] = {}
-        self.plain: dict[tuple[int, int], int] = {}
-
-    @staticmethod
-    def _named(t: Tree, names: dict):
-        """Numbers of equal subtrees, of subtrees equal but for texts, their sizes and numbers of leaves."""
-        n = len(t.tag)
-        exact, shape, size, leaves = [0] * n, [0] * n, [1] * n, [0] * n
-        for i in range(n - 1, -1, -1):
-            kids = t.kids[i]
-            exact[i] = names.setdefault((t.tag[i], t.text[i], tuple([exact[k] for k in kids])), len(names))
-            shape[i] = names.setdefault((t.tag[i], tuple([shape[k] for k in kids])), len(names))
-            size[i] = 1 + sum([size[k] for k in kids])
-            leaves[i] = 1 if t.tag[i] == "#" else sum([leaves[k] for k in kids])
-        return exact, shape, size, leaves
+        self.plain = of_a.plain
 
     @staticmethod
     def _sharing(t: Tree, texts: set[int]) -> list[bool]:
@@ -423,6 +464,23 @@ class Matching:
             prev = np.maximum.accumulate(now)
         return prev
 
+    @staticmethod
+    def _table(rows: list[np.ndarray]) -> np.ndarray:
+        """Best sums of the first rows against the first columns, made along the longer side."""
+        w = np.array(rows)
+        table = np.zeros((w.shape[0] + 1, w.shape[1] + 1), np.int64)
+        t, w = (table, w) if w.shape[0] <= w.shape[1] else (table.T, w.T)
+        for r in range(len(w)):
+            np.maximum(t[r, 1:], t[r, :-1] + w[r], out=t[r + 1, 1:])
+            np.maximum.accumulate(t[r + 1], out=t[r + 1])
+        return table
+
+    def _best(self, weights: list[np.ndarray], m: int) -> int:
+        """The best sum, by the shorter of both lists."""
+        if m < len(weights) and m * len(weights) <= CELLS:
+            weights, m = list(np.array(weights).T), len(weights)
+        return int(self._last_row(weights, m)[-1])
+
     def weight(self, i: int, j: int) -> int:
         """Weight of the best matching of two subtrees with their roots matched."""
         w = self._quick(i, j)
@@ -442,7 +500,7 @@ class Matching:
                 if missing:
                     todo += missing
                     continue
-                total += int(self._last_row(weights, len(y))[-1])
+                total += self._best(weights, len(y))
             kids = self.a.kids[p]
             for k in [*kids[:lo], *kids[lo + len(x) :]]:
                 total += self.size_a[k] + self.leaves_a[k]
@@ -455,6 +513,8 @@ class Matching:
 
     def _children(self, x: list[int], y: list[int]) -> list[tuple[int, int]]:
         """Pairs of children in a best matching of two lists."""
+        if len(x) == len(y) == 1:
+            return [(x[0], y[0])] if self.a.tag[x[0]] == self.b.tag[y[0]] else []
         out = []
         todo = [(0, len(x), 0, len(y))]
         while True:
@@ -476,11 +536,7 @@ class Matching:
                 cut = c + int((top + low).argmax())
                 todo += [(a, mid, c, cut), (mid, b, cut, d)]
                 continue
-            table = [np.zeros(d - c + 1, np.int64)]
-            for w in weights[a:b]:
-                now = table[-1].copy()
-                np.maximum(now[1:], table[-1][:-1] + w[c:d], out=now[1:])
-                table.append(np.maximum.accumulate(now))
+            table = self._table([w[c:d] for w in weights[a:b]])
             r, k = b - a, d - c
             while r and k:
                 w = weights[a + r - 1][c + k - 1]
@@ -512,8 +568,9 @@ class Matching:
         return out
 
 
-def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    return Matching(a, b).pairs() if a.tag and b.tag else []
+def match(a: Tree, b: Tree, names: Names | None = None) -> list[tuple[int, int]]:
+    """Matched nodes; names: those of a, if they are kept."""
+    return Matching(a, b, names).pairs() if a.tag and b.tag else []
 
 
 # --- templates -------------------------------------------------------------------
@@ -522,29 +579,32 @@ def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
 class Merged:
     """A tree of several pages. Of each node: how many of them have it, the texts that stand there with their counts, and what any count may lack."""
 
-    __slots__ = ("tree", "count", "seen", "lost")
+    __slots__ = ("tree", "count", "seen", "lost", "names")
 
-    def __init__(self, tree: Tree, count: list[int], seen: list[Counter], lost: list[int]):
+    def __init__(self, tree: Tree, count: list[int], seen: list[dict[int, int]], lost: list[int]):
         self.tree, self.count, self.seen, self.lost = tree, count, seen, lost
+        self.names: Names | None = None
 
     @staticmethod
     def of(tree: Tree) -> Merged:
         n = len(tree.tag)
-        return Merged(tree, [1] * n, [Counter({x: 1} if x else ()) for x in tree.text], [0] * n)
+        return Merged(tree, [1] * n, [{x: 1} if x else {} for x in tree.text], [0] * n)
 
 
-def _votes(a: Counter, b: Counter, most: int | None) -> tuple[Counter, int]:
+def _votes(a: dict[int, int], b: dict[int, int], most: int | None) -> tuple[dict[int, int], int]:
     """Both counts together, put into a, and what is taken off each where there are more than ``most`` texts."""
-    a.update(b)
+    for x, n in b.items():
+        a[x] = a.get(x, 0) + n
     if most is None or len(a) <= most:
         return a, 0
     off = sorted(a.values(), reverse=True)[most]
-    return Counter({x: n - off for x, n in a.items() if n > off}), off
+    return {x: n - off for x, n in a.items() if n > off}, off
 
 
 def merged_all(parts: list[Merged], votes: int | None = None) -> Merged:
     largest = max(range(len(parts)), key=lambda k: len(parts[k].tree.tag))  # the first of equals
-    out = parts[largest]
+    first = parts[largest]
+    out = Merged(first.tree.only([True] * len(first.count)), [*first.count], [*first.seen], [*first.lost])
     for k, p in enumerate(parts):
         if k != largest:
             out = _merged(out, p, votes)
@@ -581,52 +641,63 @@ def template_of(trees: list[Tree], unanimous: int = UNANIMOUS) -> tuple[Tree, li
 
 
 def _merged(v: Merged, p: Merged, votes: int | None) -> Merged:
-    """v with the counts of p; subtrees of p that match nothing are added after their matched neighbour."""
+    """v with the counts of p, in place where all of p's nodes match; subtrees of p that match nothing are added after their matched neighbour."""
     w, t = v.tree, p.tree
-    found = match(w, t)
+    if v.names is None or v.names.full():
+        v.names = Names(w)
+    found = match(w, t, v.names)
+    changed = []
+    for i, j in found:
+        v.count[i] += p.count[j]
+        v.lost[i] += p.lost[j]
+        if p.seen[j]:
+            # A leaf's text is what most pages have there; the one it had, where all counts are taken off. Only counts of p's texts have grown.
+            both, off = _votes(v.seen[i], p.seen[j], votes)
+            v.seen[i] = both
+            v.lost[i] += off
+            if both:
+                text = min((x for x in (w.text[i], *p.seen[j]) if x in both), key=lambda x: (-both[x], x))
+                if text != w.text[i]:
+                    w.text[i] = text
+                    changed.append(i)
+    if len(found) == len(t.tag):
+        v.names.renew(w, changed)
+        return v
     of_w, of_t = dict(found), {j: i for i, j in found}
     out, seen, count, lost = Tree(), [], [], []
     # (tree, node, new parent), in page order.
     stack: list[tuple[Tree, int, int]] = [(w, 0, -1)]
     while stack:
         tree, i, up = stack.pop()
-        here = out.add(tree.tag[i], up, 0, tree.marked[i], tree.weak[i])
-        if tree is t:
-            seen.append(p.seen[i])
-            count.append(p.count[i])
-            lost.append(p.lost[i])
-            stack += [(t, k, here) for k in reversed(t.kids[i])]
-        else:
-            j = of_w.get(i)
-            both, off = (v.seen[i], 0) if j is None else _votes(v.seen[i], p.seen[j], votes)
-            seen.append(both)
-            count.append(v.count[i] + (0 if j is None else p.count[j]))
-            lost.append(v.lost[i] + off + (0 if j is None else p.lost[j]))
-            kids: list[tuple[Tree, int, int]] = []
-            fresh: dict[int, list[int]] = {}  # after which matched child of w
-            if j is not None:
-                last = -1
-                for k in t.kids[j]:
-                    if k in of_t:
-                        last = of_t[k]
-                    else:
-                        fresh.setdefault(last, []).append(k)
+        here = out.add(tree.tag[i], up, tree.text[i], tree.marked[i], tree.weak[i])
+        m = p if tree is t else v
+        seen.append(m.seen[i])
+        count.append(m.count[i])
+        lost.append(m.lost[i])
+        kids: list[tuple[Tree, int, int]] = []
+        fresh: dict[int, list[int]] = {}  # after which matched child of w
+        j = of_w.get(i) if tree is w else None
+        if j is not None:
+            last = -1
+            for k in t.kids[j]:
+                if k in of_t:
+                    last = of_t[k]
+                else:
+                    fresh.setdefault(last, []).append(k)
             kids += [(t, k, here) for k in fresh.get(-1, ())]
-            for k in w.kids[i]:
-                kids.append((w, k, here))
-                kids += [(t, q, here) for q in fresh.get(k, ())]
-            stack += reversed(kids)
-        # A leaf's text is what most pages have there; the one it had, where all counts are taken off.
-        out.text[here] = min(seen[-1], key=lambda x: (-seen[-1][x], x)) if seen[-1] else tree.text[i]
+        for k in tree.kids[i]:
+            kids.append((tree, k, here))
+            kids += [(t, q, here) for q in fresh.get(k, ())]
+        stack += reversed(kids)
     return Merged(out.finish(), count, seen, lost)
 
 
-def constant_leaves(tree: Tree, template: tuple[Tree, list[list[int]]] | None) -> set[int]:
-    """Nodes of a page's tree that meet a constant leaf and have its text."""
+def constant_leaves(tree: Tree, template: tuple[Tree, list[list[int]]] | None, names: Names | None = None) -> set[int]:
+    """Nodes of a page's tree that meet a constant leaf and have its text; names: those of the template's tree, if they are kept."""
     if template is None:
         return set()
     t, constant = template
-    return {j for i, j in match(t, tree) if tree.text[j] and tree.text[j] in constant[i]}
+    return {j for i, j in match(t, tree, names) if tree.text[j] and tree.text[j] in constant[i]}
 
 
 def extract(html: str | None, *templates: tuple[Tree, list[list[int]]] | None) -> str:
@@ -681,16 +752,23 @@ def _key(key: tuple, n: int) -> dict[str, pa.Array]:
 def _merge_pages(votes: int | None):
     def run(key: tuple, pages: pa.Table) -> pa.Table:
         columns = pages.sort_by("page").to_pydict()
-        m = merged_all([Merged.of(_tree(columns, i)) for i in range(pages.num_rows)], votes)
+        scopes = {key[1].as_py(): range(pages.num_rows)}
+        if None in scopes:  # all pages of a host: its layouts are scopes of their own where there are several
+            scopes = {0: scopes[None]}
+            for i, layout in enumerate(columns["layout"]):
+                scopes.setdefault(layout, []).append(i)
+            scopes = {k: v for k, v in scopes.items() if k == 0 or 1 < len(v) < pages.num_rows}
+        made = [merged_all([Merged.of(_tree(columns, i)) for i in rows], votes) for rows in scopes.values()]
         return pa.table(
             {
-                **_key(key, 1),
-                "part": pa.array([key[2].as_py()], pa.int64()),
-                **{n: pa.array([getattr(m.tree, n)], kind) for n, kind in _COLUMNS},
-                "count": pa.array([m.count], pa.list_(pa.int64())),
-                "lost": pa.array([m.lost], pa.list_(pa.int64())),
-                "texts": pa.array([[list(c) for c in m.seen]], pa.list_(pa.list_(pa.int64()))),
-                "times": pa.array([[list(c.values()) for c in m.seen]], pa.list_(pa.list_(pa.int64()))),
+                "host": pa.array([key[0].as_py()] * len(made), pa.string()),
+                "scope": pa.array(list(scopes), pa.int64()),
+                "part": pa.array([key[2].as_py()] * len(made), pa.int64()),
+                **{n: pa.array([getattr(m.tree, n) for m in made], kind) for n, kind in _COLUMNS},
+                "count": pa.array([m.count for m in made], pa.list_(pa.int64())),
+                "lost": pa.array([m.lost for m in made], pa.list_(pa.int64())),
+                "texts": pa.array([[list(c) for c in m.seen] for m in made], pa.list_(pa.list_(pa.int64()))),
+                "times": pa.array([[list(c.values()) for c in m.seen] for m in made], pa.list_(pa.list_(pa.int64()))),
             }
         )
 
@@ -702,7 +780,7 @@ def _induce(unanimous: int, votes: int | None):
         columns = parts.sort_by("part").to_pydict()
         several = []
         for i in range(parts.num_rows):
-            seen = [Counter(dict(zip(x, n, strict=True))) for x, n in zip(columns["texts"][i], columns["times"][i], strict=True)]
+            seen = [dict(zip(x, n, strict=True)) for x, n in zip(columns["texts"][i], columns["times"][i], strict=True)]
             several.append(Merged(_tree(columns, i), columns["count"][i], seen, columns["lost"][i]))
         m = merged_all(several, votes)
         constant, settled = constants_of(m, unanimous)
@@ -721,19 +799,29 @@ def _induce(unanimous: int, votes: int | None):
 
 
 def templates(src: DataFrame, unanimous: int = UNANIMOUS, votes: int = VOTES, part: int = PART) -> DataFrame:
-    """(host, scope, tree, constant): templates of src(host, html) that have a constant leaf; scope 0 is the host, others are layouts."""
+    """(host, scope, tree, constant): templates of src(host, html) that have a constant leaf; scope 0 is the host, others are layouts of hosts with several."""
     parsed = src.where("html <> ''").select("host", "html").mapInArrow(_tree_batches, f"host string, layout bigint, page bigint, {_TREE}")
     parsed = saved(parsed, "trees")
-    scopes = F.explode(F.array(F.lit(0).cast("bigint"), "layout"))
     names = [n for n, _ in _COLUMNS]
-    # Scopes of more than one part: one for each ``part`` pages at most, so few that they may be sent everywhere.
-    large = parsed.select("host", "layout", "page").distinct().withColumn("scope", scopes).groupBy("host", "scope").agg(F.count(F.lit(1)).alias("n"))
-    large = saved(large.where(F.col("n") > part).select("host", "scope", F.ceil(F.col("n") / part).alias("parts")), "scopes")
-    pages = parsed.dropDuplicates(["host", "layout", "page"]).withColumn("scope", scopes)
-    pages = pages.join(F.broadcast(large), ["host", "scope"], "left").withColumn("part", F.coalesce(F.expr("pmod(xxhash64(page), parts)"), F.lit(0).cast("bigint")))
-    pages = pages.select("host", "scope", "part", "page", *names)
+    # Scopes of more than one part, and hosts of more than one: one for each ``part`` pages at most, so few that they may be sent everywhere.
+    counts = parsed.select("host", "layout", "page").distinct().groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"))
+    hosts = counts.groupBy("host").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("layouts"))
+    hosts = hosts.select("host", F.lit(0).cast("bigint").alias("scope"), "n", "layouts")
+    large = hosts.unionByName(counts.select("host", F.col("layout").alias("scope"), "n", F.lit(None).cast("bigint").alias("layouts")))
+    large = saved(large.where(F.col("n") > part).select("host", "scope", F.ceil(F.col("n") / part).alias("parts"), "layouts"), "scopes")
+    once = parsed.dropDuplicates(["host", "layout", "page"])
+    both = F.array(F.lit(0).cast("bigint"), "layout")
+    # A host that is one part is merged in one task with its layouts (scope null); a layout that is all of its host tells the same as the host.
+    wide = large.where("scope = 0").select("host", "layouts")
+    scopes = F.when(F.col("layouts") > 1, both).otherwise(F.array(F.when(F.col("layouts") == 1, F.lit(0).cast("bigint"))))
+    pages = once.join(F.broadcast(wide), "host", "left").withColumn("scope", F.explode(scopes))
 
     def induced(pages: DataFrame, votes: int | None) -> DataFrame:
+        pages = pages.join(F.broadcast(large.drop("layouts")), ["host", "scope"], "left")
+        pages = pages.withColumn("part", F.coalesce(F.expr("pmod(xxhash64(page), parts)"), F.lit(0).cast("bigint")))
+        pages = pages.select("host", "scope", "part", "layout", "page", *names)
+        # A number of partitions of its own: few bytes are much work here.
+        pages = pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "host", "scope", "part")
         parts = pages.groupBy("host", "scope", "part").applyInArrow(_merge_pages(votes), _PARTIAL)
         kind = f"host string, scope bigint, {_TREE}, constant array<array<bigint>>, settled boolean"
         return saved(parts.groupBy("host", "scope").applyInArrow(_induce(unanimous, votes), kind), "induced")
@@ -742,23 +830,29 @@ def templates(src: DataFrame, unanimous: int = UNANIMOUS, votes: int = VOTES, pa
     left = found.where("not settled").select("host", "scope")
     found = found.where("settled")
     if not left.isEmpty():
-        found = found.unionByName(induced(pages.join(left, ["host", "scope"], "left_semi"), None))
+        found = found.unionByName(induced(once.withColumn("scope", F.explode(both)).join(left, ["host", "scope"], "left_semi"), None))
     return found.drop("settled")
 
 
 def _extract_batches(known: dict | None):
     """Texts of pages; known: (host, scope) -> columns of the template, or None where they come with each row."""
-    ready: dict[tuple[str, int], tuple | None] = {}
+    ready: dict[tuple[str, int], tuple[tuple, Names]] = {}
+    held = 0  # nodes of the templates in ready
 
     def template(host: str, scope: int, columns: dict | None):
+        nonlocal held
         if columns is None:
-            return None
+            return None, None
         key = (host, scope)
         if key not in ready:
-            if len(ready) > 4000:
+            if held > NAMES:
                 ready.clear()
-            ready[key] = (_tree({n: [columns[n]] for n, _ in _COLUMNS}, 0), columns["constant"])
-        return ready[key]
+                held = 0
+            tree = _tree({n: [columns[n]] for n, _ in _COLUMNS}, 0)
+            ready[key] = ((tree, columns["constant"]), Names(tree))
+            held += len(tree.tag)
+        made, names = ready[key]
+        return made, names.copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -777,7 +871,7 @@ def _extract_batches(known: dict | None):
                     found = {s: known.get((host, s)) for s in (0, layout)}
                 gone: set[int] = set()
                 for scope, columns in found.items():
-                    gone |= constant_leaves(tree, template(host, scope, columns))
+                    gone |= constant_leaves(tree, *template(host, scope, columns))
                 leaves = (i for i, t in enumerate(tree.tag) if t == "#")
                 texts.append("\n".join(b for i, b in zip(leaves, blocks, strict=True) if i not in gone))
             yield pa.RecordBatch.from_arrays(

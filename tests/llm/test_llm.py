@@ -583,6 +583,44 @@ def test_templates_count_all_pages(spark):
         assert got == {"h26", "h27", "h28", "h29"}, options
 
 
+def test_pages_of_one_layout_are_merged_once_and_in_place(spark, monkeypatch):
+    page = lambda i: "<body><p>Our motto</p>" + "".join(f"<p>text {i} {k}</p>" for k in range(i % 20 + 1)) + "<div>Legal line</div></body>"
+    trees = [html.tree_of(page(i))[0] for i in range(200)]
+    made = []
+    add = html.Tree.add
+    monkeypatch.setattr(html.Tree, "add", lambda self, *a: made.append(1) or add(self, *a))
+    m = html.merged_all([html.Merged.of(t) for t in trees])
+    assert len(made) < 5 * len(m.tree.tag)  # not the whole tree again for each page
+    assert sorted(x for x in html.constants_of(m)[0] if x) == sorted([html._hash(x)] for x in ("Our motto", "Legal line"))
+    monkeypatch.undo()
+    rows = [("one", page(i)) for i in range(60)]
+    rows += [("two", f"<body><div>Motto {i % 2}</div>" + ("<section><p>x</p></section>" if i % 2 else "") + f"<p>tale {i}</p></body>") for i in range(60)]
+    src = spark.createDataFrame(rows, "host string, html string")
+    for options in ({}, {"part": 20}, {"votes": 2}, {"votes": 2, "part": 20}):
+        got = [(r.host, r.scope == 0) for r in html.templates(src, **options).collect()]
+        assert sorted(got) == [("one", True), ("two", False), ("two", False), ("two", True)], options
+
+
+def test_merging_with_names_kept_or_made_anew(monkeypatch):
+    rnd = random.Random(23)
+    for _ in range(40):
+        base = random_tree(rnd, 30, 6)
+        trees = [random_tree(rnd, rnd.randrange(2, 30), 6) for _ in range(3)]
+        for _ in range(12):
+            t = base.only([True] * len(base.tag))
+            t.text = [x and rnd.choice([x, rnd.randrange(1, 6)]) for x in t.text]
+            trees.append(t)
+        rnd.shuffle(trees)
+        texts, told = [list(t.text) for t in trees], []
+        for names in (0, 10**6):
+            monkeypatch.setattr(html, "NAMES", names)
+            m = html.merged_all([html.Merged.of(t) for t in trees], 3)
+            told.append((m.tree.tag, m.tree.up, m.tree.text, m.count, m.lost, m.seen))
+        assert told[0] == told[1] and texts == [t.text for t in trees]  # the pages' own trees stay as they are
+        assert m.count[0] == len(trees) and sum(m.count) == sum(len(t.tag) for t in trees)
+        assert all(lost or n == sum(c.values()) for n, c, lost, tag in zip(m.count, m.seen, m.lost, m.tree.tag, strict=True) if tag == "#")
+
+
 def test_wrapper_at_the_end_of_long_pages(spark):
     make = lambda k, n: "<body>" + "".join(f"<div><p>row <i>{k}</i> of <b>{j}</b></p></div>" for j in range(n)) + "<div>Legal line</div></body>"
     rows = [(i, "http://long.example/x", make(i, 900 if i % 4 else 2)) for i in range(12)]
