@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 RATE = 0.07
 BLOCK_CHARS = 4_000_000
 
@@ -187,13 +189,13 @@ def contamination(
     schema = "doc_id bigint, contaminated boolean, item_ids array<bigint>, distances array<bigint>"
     blocks = _blocks(benchmark, block_chars)
     if len(blocks) == 1:
-        return src.mapInArrow(_match_batches(blocks[0], rate, False), schema)
+        return map_texts(src, _match_batches(blocks[0], rate, False), schema)
     # With several blocks each adds a column of hits to the same row; rows are never joined.
     out = src
     columns = "doc_id bigint, text string"
     for n, items in enumerate(blocks):
         columns += f", hits_{n} array<struct<i:bigint,d:bigint>>"
-        out = out.mapInArrow(_append_batches(items, rate, n), columns)
+        out = map_texts(out, _append_batches(items, rate, n), columns)
     hits = F.array_sort(F.concat(*(f"hits_{n}" for n in range(len(blocks)))))
     return out.select(
         "doc_id", (F.size(hits) > 0).alias("contaminated"), hits.getField("i").alias("item_ids"), hits.getField("d").alias("distances")
@@ -218,5 +220,5 @@ def keep_clean(
 ) -> DataFrame:
     """The rows of docs, all columns, that hold no test item."""
     for items in _blocks(benchmark, block_chars):
-        docs = docs.mapInArrow(_match_batches(items, rate, True), docs.schema)
+        docs = map_texts(docs, _match_batches(items, rate, True), docs.schema)
     return docs

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_BREAK_CHARS, ensure_checkpoint_dir, text_or_empty
+from .common import WORD_BREAK_CHARS, ensure_checkpoint_dir, map_texts, text_or_empty
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -256,7 +256,7 @@ def pack_documents(
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    pieces = src.mapInArrow(_piece_batches(tokenizer, max_tokens, end_id, salts), _PIECES).checkpoint()
+    pieces = map_texts(src, _piece_batches(tokenizer, max_tokens, end_id, salts), _PIECES).checkpoint()
 
     # max_tokens x salts rows at most, whatever the data or the cluster; of these only the histogram, max_tokens rows, comes to the driver.
     counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).checkpoint()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, hash_below, sample_fraction, text_or_empty
+from .common import fold_of, hash_below, map_texts, sample_fraction, text_or_empty
 
 PER_CLASS = 1200
 DICT_BYTES = 112_640
@@ -165,7 +165,7 @@ def score_quality(
     model = _model(docs, labels, folds, held_fold, per_class)
     held = fold_of("doc_id", folds) == held_fold
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), text_or_empty().alias("text"))
-    return src.mapInArrow(_score_batches(*model, threshold, False), "doc_id bigint, held_out boolean, score double, predicted int")
+    return map_texts(src, _score_batches(*model, threshold, False), "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def keep_good(
@@ -173,4 +173,4 @@ def keep_good(
 ) -> DataFrame:
     """The rows of docs, all columns, whose score is at least the threshold."""
     model = _model(docs, labels, folds, held_fold, per_class)
-    return docs.mapInArrow(_score_batches(*model, threshold, True), docs.schema)
+    return map_texts(docs, _score_batches(*model, threshold, True), docs.schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, ensure_checkpoint_dir, join_by_weight, maybe_in, text_or_empty, word_bounds, xxh64_slices
+from .common import bit_table, ensure_checkpoint_dir, join_by_weight, map_texts, maybe_in, text_or_empty, word_bounds, xxh64_slices
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -122,7 +122,7 @@ def _fingerprints(texts: list[bytes]) -> np.ndarray:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp bigint) for each row of docs(doc_id, text)."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return src.mapInArrow(_fingerprint_batches, "doc_id bigint, fp bigint")
+    return map_texts(src, _fingerprint_batches, "doc_id bigint, fp bigint")
 
 
 # --- Golay keys ---------------------------------------------------------------

@@ -880,3 +880,63 @@ def test_pipeline(spark, tmp_path):
             held = {r.doc_id for r in before.collect() if any(x in decontaminate.normalised(r.text) for x in items)}
             assert not kept & held
     assert {r.doc_id for r in docs.select("doc_id").collect()} == kept
+
+
+def _sizes(batches):
+    """A row a batch, of the columns of documents: its bytes and rows."""
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([str(b.num_rows)])], names=["doc_id", "text"])
+
+
+def _size_fingerprints(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["doc_id", "fp"])
+
+
+def _size_pieces(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        rest = [pa.array([x], pa.int64()) for x in (b.nbytes, 0, 1, b.num_rows, 1)]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array([0], pa.int32())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "decontamination", "pack"])
+def test_texts_reach_workers_in_bounded_batches(spark, stage, monkeypatch):
+    """However long the texts are, a worker holds few bytes of them at a time; each row stays whole, one longer than the bound, too."""
+    row, longest = 300_000, 5_000_000
+    docs = spark.range(41, numPartitions=1).selectExpr("id as doc_id", f"if(id = 20, repeat('long ', {longest // 5}), repeat('word ', {row // 5})) as text")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    items = spark.createDataFrame([(1, "an item of a benchmark")], "item_id bigint, text string")
+    monkeypatch.setattr(quality_classifier, "_score_batches", lambda *_: _sizes)
+    monkeypatch.setattr(decontaminate, "_match_batches", lambda *_: _sizes)
+    monkeypatch.setattr(simhash, "_fingerprint_batches", _size_fingerprints)
+    monkeypatch.setattr(packing, "_piece_batches", lambda *_: _size_pieces)
+    run = {
+        "quality": lambda: quality_classifier.keep_good(docs, labels),
+        "near_duplicates": lambda: simhash.fingerprints(docs),
+        "decontamination": lambda: decontaminate.keep_clean(docs, items),
+        "pack": lambda: packing.pack_documents(docs),
+    }[stage]
+    spark.conf.unset(common.BATCH_BOUND)
+    rows = [tuple(r) for r in run().collect()]
+    counts = [int(r[3] if stage == "pack" else r[1]) for r in rows]
+    assert sum(counts) == 41 and sum(r[0] for r in rows) >= 40 * row + longest
+    long = [r for r in rows if r[0] >= longest]
+    assert len(long) == 1 and long[0][0] < longest + common.BATCH_BYTES + row
+    assert all(r[0] <= common.BATCH_BYTES + 2 * row for r in rows if r not in long)
+
+
+def test_a_session_keeps_its_own_bound_of_batches(spark):
+    docs = spark.range(40, numPartitions=1).selectExpr("id as doc_id", "repeat('word ', 20000) as text")
+    spark.conf.set(common.BATCH_BOUND, "1m")
+    try:
+        rows = common.map_texts(docs, _sizes, "doc_id bigint, text string").collect()
+        assert spark.conf.get(common.BATCH_BOUND) == "1m"
+        assert max(r.doc_id for r in rows) < 1.3e6 and sum(int(r.text) for r in rows) == 40
+    finally:
+        spark.conf.unset(common.BATCH_BOUND)
