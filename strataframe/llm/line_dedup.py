@@ -23,6 +23,7 @@ altogether.
 Counts go through two steps, (template, text) and then template, so a line that
 a third of all documents share is combined before it is exchanged. Texts are
 exchanged twice: to read the tokens of lines in shared leaves, and to be rebuilt.
+What is found on the way is checkpointed in files by its size, not by the number of shuffle partitions (``common.gathered``).
 
 Cases: null text stays null (n_lines 0); an empty text has one empty line, which is kept; ids rank
 null last; repeated rows are rebuilt alike; line ends stay as they are (only
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bit_table, join_by_weight, maybe_in, saved, words_of
+from .common import bit_table, files_for, gathered, join_by_weight, maybe_in, saved, words_of
 
 DEPTH = 3
 SIMILARITY = 0.7
@@ -76,7 +77,7 @@ def _needed(weight: Column, min_docs: int, min_tokens: int) -> Column:
     return few.when(weight >= min_tokens, min_docs).otherwise(max(SHORT_DOCS, min_docs))
 
 
-def _matched(members: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
+def _matched(members: DataFrame, depth: int, similarity: float, min_docs: int, files: int) -> DataFrame:
     """(doc, body, at, key): lines of members(doc, body, at, leaf, tokens) with each generalised template of their leaf that they belong to.
 
     In a template a variable field is an empty token and ANY a place of digits.
@@ -84,12 +85,12 @@ def _matched(members: DataFrame, depth: int, similarity: float, min_docs: int) -
     # Lines are named by the hash of their tokens, which they lose where they are taken apart. Equal texts vote once.
     members = members.withColumn("line", F.xxhash64("tokens"))
     lines = members.groupBy("leaf", "line", "body").agg(F.first("tokens").alias("tokens")).groupBy("leaf", "line")
-    lines = lines.agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("texts")).checkpoint()
+    lines = gathered(lines.agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("texts")), files)
     places = lines.select("leaf", "line", "texts", F.posexplode("tokens").alias("place", "token"))
     votes = places.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n"))
     # Levels of frequency: tokens that stand at their place in min_docs, 4 min_docs, 16 min_docs ... lines; -1 for fewer.
     level = F.when(F.col("n") >= min_docs, F.floor(F.log(F.col("n") / min_docs + 1e-9) / math.log(4)).cast("int")).otherwise(-1)
-    votes = votes.withColumn("level", level).checkpoint()
+    votes = gathered(votes.withColumn("level", level), files)
     best = votes.groupBy("leaf", "place").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
     best = best.select("leaf", "place", F.when(2 * F.col("top.n") >= F.col("all"), F.col("top.token")).otherwise("").alias("token"))
     most = best.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda p: p["token"]).alias("template"))
@@ -107,7 +108,7 @@ def _matched(members: DataFrame, depth: int, similarity: float, min_docs: int) -
     each = levelled.select("leaf", "line", "texts", "at", F.explode(F.array_distinct(F.transform("at", lambda p: p["level"]))).alias("from")).where("`from` >= 0")
     each = each.withColumn("template", F.transform("at", lambda p: F.when(p["level"] >= F.col("from"), p["token"]).otherwise(""))).where(_telling(depth, similarity))
     filled = F.transform("at", lambda p: F.when(p["level"] >= F.col("from"), p["token"]).otherwise(F.coalesce(F.element_at(p["fill"], F.col("from")), F.lit(""))))
-    each = each.select("leaf", "line", "texts", "template", filled.alias("filled")).checkpoint()
+    each = gathered(each.select("leaf", "line", "texts", "template", filled.alias("filled")), files)
     families = each.select("leaf", "line", F.xxhash64(F.lit(1), "leaf", "template").alias("key")).distinct()
     own = members.join(families, ["leaf", "line"]).select("doc", "body", "at", "key")
 
@@ -121,7 +122,7 @@ def _matched(members: DataFrame, depth: int, similarity: float, min_docs: int) -
     of_tail = F.when(F.size("tail") >= MIN_CONSTANTS, F.ceil(similarity * F.size("tail") - 1e-9))
     needed = F.greatest(F.lit(0), F.least(of_all, of_tail))
     template = all_.withColumn("tail", tail).select("leaf", F.xxhash64(F.lit(2), "leaf", "template").alias("key"), "tail", needed.alias("needed"))
-    template = template.where("needed <= size(tail)").checkpoint()
+    template = gathered(template.where("needed <= size(tail)"), files)
     # A template that asks for none takes all lines of its leaf, so one of them does.
     whole = template.where("needed = 0").groupBy("leaf").agg(F.min("key").alias("key"))
     any_line = members.join(whole, "leaf").select("doc", "body", "at", "key")
@@ -185,7 +186,9 @@ def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SI
     Only hashes of lines are counted and travel; words are read again for lines of leaves that enough texts share.
     """
     plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("same", "leaf")}
-    lines = saved(_lines(docs, depth, min_docs, min_tokens), "lines", **plain).where("need is not null")
+    lines = saved(_lines(docs, depth, min_docs, min_tokens), "lines", **plain)
+    files = files_for(lines)
+    lines = lines.where("need is not null")
     # (line, text), then line: what many texts share is combined before it is exchanged.
     once = lines.groupBy("same", "body").agg(F.min("doc").alias("doc"), F.min("need").alias("need"), F.min("leaf").alias("leaf"))
     each = once.groupBy("same").agg(F.count(F.lit(1)).alias("texts"), F.min("doc").alias("first"), F.min("need").alias("need"), F.min("leaf").alias("leaf"))
@@ -193,7 +196,7 @@ def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SI
     # Lines that recur by themselves, and leaves whose other lines may (a text counts once for each of its lines here).
     keyed = each.select(equal.alias("equal"), F.when(equal, F.col("same")).otherwise(F.col("leaf")).alias("key"), "texts", "first")
     found = keyed.groupBy("equal", "key").agg(F.sum("texts").alias("texts"), F.min("first").alias("first"))
-    found = found.where((F.col("equal") | (F.col("texts") >= min_docs)) & F.col("key").isNotNull()).checkpoint()
+    found = gathered(found.where((F.col("equal") | (F.col("texts") >= min_docs)) & F.col("key").isNotNull()), files)
     lots = {r["equal"]: r["n"] for r in found.groupBy("equal").agg(F.sum("texts").alias("n")).collect()}
     equal = found.where("equal").select(F.col("key").alias("same"), "texts", "first")
     leaves = found.where("not equal").select(F.col("key").alias("leaf"), "texts")
@@ -206,10 +209,10 @@ def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SI
 
     # Lines of leaves that enough texts share, with their words.
     rest = told.where("leaf is not null").join(equal.select("same"), "same", "left_anti").select("doc", "body", "at", "leaf")
-    wanted = join_by_weight(rest, leaves, ["leaf"], "texts", lots.get(False, 0)).select("doc", "body", "at", "leaf").checkpoint()
-    matched = _matched(_read_again(docs, wanted).checkpoint(), depth, similarity, min_docs).checkpoint()
+    wanted = gathered(join_by_weight(rest, leaves, ["leaf"], "texts", lots.get(False, 0)).select("doc", "body", "at", "leaf"), files)
+    matched = gathered(_matched(gathered(_read_again(docs, wanted), files), depth, similarity, min_docs, files), files)
     texts = matched.groupBy("key", "body").agg(F.min("doc").alias("doc")).groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min("doc").alias("first"))
-    general = texts.where(F.col("texts") >= min_docs).checkpoint()
+    general = gathered(texts.where(F.col("texts") >= min_docs), files)
     lots = general.agg(F.sum("texts")).first()[0] or 0
     second_kind = join_by_weight(matched, general, ["key"], "texts", lots).where("doc > first").select("doc", "body", "at")
     return first_kind.unionByName(second_kind)

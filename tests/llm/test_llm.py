@@ -772,6 +772,31 @@ def test_line_dedup_by_length(spark):
     assert left == {2: 1, 3: 1, 9: 9, 12: 1, 100: 1, 99: 99, 101: 101}
 
 
+def test_line_dedup_checkpoints_few_files(spark):
+    from pathlib import Path
+
+    made = [(i, f"text {i} alone\nThe door named {'abcdefghijklmnop'[i % 16]}{i}x opens to the north side\nThis page was printed for all readers today") for i in range(60)]
+    made += [(i, f"All shows of partner {'abcdefghijklmnopqrst'[i - 60]}y sell their tickets only online") for i in range(60, 80)]
+    df = spark.createDataFrame(made, "doc_id bigint, text string")
+    few = sorted(map(tuple, line_dedup.line_dedup(df).collect()))
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {k: spark.conf.get(k) for k in names}
+    root = Path(common.shared_folder(spark).removeprefix("file:"))
+    files = lambda: set(root.rglob("rdd-*/part-*"))
+    try:
+        for k, v in zip(names, ("32", "false"), strict=True):
+            spark.conf.set(k, v)
+        old = files()
+        many = sorted(map(tuple, line_dedup.line_dedup(df).collect()))
+        new = files() - old
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert many == few and sum(r[3] for r in many) == 59 + 59 + 19
+    # One for each core and checkpoint, about, whatever the number of shuffle partitions.
+    assert 0 < len(new) <= 64
+
+
 def test_toxicity(spark, docs, labels, rows, empty):
     rnd = random.Random(12)
     made, marks = [], []
