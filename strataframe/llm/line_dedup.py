@@ -77,8 +77,9 @@ def _needed(weight: Column, min_docs: int, min_tokens: int) -> Column:
     return few.when(weight >= min_tokens, min_docs).otherwise(max(SHORT_DOCS, min_docs))
 
 
-def _matched(members: DataFrame, depth: int, similarity: float, min_docs: int, files: int) -> DataFrame:
+def _matched(members: DataFrame, leaves: DataFrame, lots: int, depth: int, similarity: float, min_docs: int, files: int) -> DataFrame:
     """(doc, body, at, key): lines of members(doc, body, at, leaf, tokens) with each generalised template of their leaf that they belong to.
+    leaves(leaf, texts) has the weights of leaves, which sum up to lots or less.
 
     In a template a variable field is an empty token and ANY a place of digits.
     """
@@ -124,8 +125,9 @@ def _matched(members: DataFrame, depth: int, similarity: float, min_docs: int, f
     template = all_.withColumn("tail", tail).select("leaf", F.xxhash64(F.lit(2), "leaf", "template").alias("key"), "tail", needed.alias("needed"))
     template = gathered(template.where("needed <= size(tail)"), files)
     # A template that asks for none takes all lines of its leaf, so one of them does.
-    whole = template.where("needed = 0").groupBy("leaf").agg(F.min("key").alias("key"))
-    any_line = members.join(whole, "leaf").select("doc", "body", "at", "key")
+    whole = gathered(template.where("needed = 0").groupBy("leaf").agg(F.min("key").alias("key")).join(leaves, "leaf"), files)
+    of_whole = maybe_in(members.select("doc", "body", "at", "leaf"), "leaf", bit_table(whole.select(F.col("leaf").alias("key"))), "may").where("may")
+    any_line = join_by_weight(of_whole, whole, ["leaf"], "texts", lots).select("doc", "body", "at", "key")
     # A line that has enough of the constants has one of any (all - needed + 1) of them: the rarest are asked for.
     asked = template.where("needed > 0").select("leaf", "key", (F.size("tail") - F.col("needed") + 1).alias("few"), F.explode("tail").alias("p"))
     asked = asked.select("leaf", "key", "few", "p.place", "p.token")
@@ -210,7 +212,8 @@ def dropped_lines(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SI
     # Lines of leaves that enough texts share, with their words.
     rest = told.where("leaf is not null").join(equal.select("same"), "same", "left_anti").select("doc", "body", "at", "leaf")
     wanted = gathered(join_by_weight(rest, leaves, ["leaf"], "texts", lots.get(False, 0)).select("doc", "body", "at", "leaf"), files)
-    matched = gathered(_matched(gathered(_read_again(docs, wanted), files), depth, similarity, min_docs, files), files)
+    matched = _matched(gathered(_read_again(docs, wanted), files), leaves, lots.get(False, 0), depth, similarity, min_docs, files)
+    matched = gathered(matched, files)
     texts = matched.groupBy("key", "body").agg(F.min("doc").alias("doc")).groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min("doc").alias("first"))
     general = gathered(texts.where(F.col("texts") >= min_docs), files)
     lots = general.agg(F.sum("texts")).first()[0] or 0
